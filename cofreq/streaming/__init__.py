@@ -1,0 +1,6 @@
+"""Streaming.
+
+The mined workload is a batch job over a closed input: the reference has no
+watermark, window, stateful operator or late-data handling, so there is no
+streaming operator to provide.  Every miner accepts any DataFrame, so a
+``foreachBatch`` sink can call them on micro-batches if a caller wants to."""
