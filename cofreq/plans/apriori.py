@@ -10,21 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.operators.basket import explode_items, frequent_items, prune_items
+from cofreq.operators.basket import explode_items, frequent_items
 from cofreq.operators.levelwise import (
     DEFAULT_GROUP_LIMIT,
     count_extensions,
     extend_occurrences,
     filter_min_support,
-    grow_occurrences,
     level_to_itemsets,
     prefix_group_stats,
     seed_occurrences,
 )
-from cofreq.session import materialize
+from cofreq.session import BROADCAST_MAX_ROWS, bucketed_table
 
 
 @dataclass
@@ -39,6 +39,8 @@ class Levels:
     levels: list[DataFrame] = field(default_factory=list)
     occurrences: dict[int, DataFrame] = field(default_factory=dict)
     min_sup: int = 1
+    sizes: list[int] = field(default_factory=list)
+    buckets: int = 8
 
     @property
     def depth(self) -> int:
@@ -62,15 +64,29 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _keep_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persist an output-sized table and count it once; the count decides
+    both emptiness and whether it may be broadcast.  Its lineage is one
+    aggregate over checkpointed inputs, so a lost block is cheap to rebuild."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count()
+
+
+def _side(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
+
+
 def first_level(data: DataFrame, min_sup: int) -> Levels:
     basket = as_basket(data)
-    l1 = materialize(frequent_items(basket, min_sup))
-    pruned = prune_items(basket, l1)
-    # tid-partition the pruned basket once; every level joins on tid
-    pruned = materialize(pruned.repartition(_partitions(basket), "tid"))
+    l1, n1 = _keep_small(frequent_items(basket, min_sup))
+    pruned = basket.join(_side(l1.select("item"), n1), "item", "left_semi")
+    # tid-bucketed once; every level joins on tid without an exchange
+    n_parts = _partitions(basket)
+    pruned = bucketed_table(pruned.repartition(n_parts, "tid"), "tid", n_parts)
     level1 = l1.select(F.array().cast("array<int>").alias("prefix"), "item", "support")
-    res = Levels(basket=pruned, min_sup=min_sup)
+    res = Levels(basket=pruned, min_sup=min_sup, buckets=n_parts)
     res.levels.append(level1)
+    res.sizes.append(n1)
     res.occurrences[1] = seed_occurrences(pruned)
     return res
 
@@ -78,13 +94,26 @@ def first_level(data: DataFrame, min_sup: int) -> Levels:
 def next_level(res: Levels) -> bool:
     """Add level k+1; returns False when it is empty."""
     k = res.depth
+    if res.sizes[-1] < k + 1 and k > 1:
+        # a (k+1)-set needs k+1 frequent k-subsets
+        return False
+    if res.sizes[-1] == 0:
+        return False
     occ = res.occurrences[k]
     ext = extend_occurrences(occ, res.basket)
-    level = materialize(filter_min_support(count_extensions(ext), res.min_sup))
-    if level.isEmpty():
+    level, n = _keep_small(filter_min_support(count_extensions(ext), res.min_sup))
+    if n == 0:
+        level.unpersist()
         return False
     res.levels.append(level)
-    res.occurrences[k + 1] = materialize(grow_occurrences(ext, level))
+    res.sizes.append(n)
+    keys = _side(level.select("prefix", "item"), n)
+    occ_next = ext.join(keys, ["prefix", "item"], "left_semi").select(
+        "tid", F.concat("prefix", F.array("item")).alias("items")
+    )
+    # written bucketed like the basket: no exchange at the next level, and
+    # the lineage is cut here
+    res.occurrences[k + 1] = bucketed_table(occ_next, "tid", res.buckets)
     # only the newest occurrences are needed from here on
     res.occurrences.pop(k, None)
     return True
@@ -93,8 +122,6 @@ def next_level(res: Levels) -> bool:
 def apriori(data: DataFrame, min_sup: int, max_len: int | None = None) -> Levels:
     """all frequent itemsets up to ``max_len`` (None: until a level is empty)."""
     res = first_level(data, min_sup)
-    if res.levels[0].isEmpty():
-        return res
     while max_len is None or res.depth < max_len:
         if not next_level(res):
             break
@@ -108,8 +135,6 @@ def adaptive_apriori(
     of the newest level is above ``group_limit`` tids (sum of its extensions'
     supports).  The decision is one small aggregate over all groups."""
     res = first_level(data, min_sup)
-    if res.levels[0].isEmpty():
-        return res
     while True:
         k = res.depth
         if k >= prefix_len:

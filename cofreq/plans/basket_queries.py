@@ -109,7 +109,7 @@ def q_merge_tids(spark, sf_dir):
 # -- level-wise building blocks --------------------------------------------
 
 def _two_levels(c: Ctx):
-    res = first_level(c.tx, c.min_sup)
+    res = first_level(c.basket, c.min_sup)
     next_level(res)
     return res
 
@@ -184,58 +184,58 @@ def q_prefix_group_stats(spark, sf_dir):
 
 def q_apriori(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(apriori(c.tx, c.min_sup).itemsets())
+    return _text(apriori(c.basket, c.min_sup).itemsets())
 
 
 def q_vertical_mine(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(vertical_mine(c.tx, c.min_sup, prefix_len=2, mode="all"))
+    return _text(vertical_mine(c.basket, c.min_sup, prefix_len=2, mode="all"))
 
 
 def q_hybrid_mine(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(hybrid_mine(c.tx, c.min_sup, prefix_len=2, mode="all"))
+    return _text(hybrid_mine(c.basket, c.min_sup, prefix_len=2, mode="all"))
 
 
 def q_seed_prefixes(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    fis = apriori(c.tx, c.min_sup, 3).itemsets(2, 3)
+    fis = apriori(c.basket, c.min_sup, 3).itemsets(2, 3)
     return _text(fis)
 
 
 def q_closed_itemsets(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(C.closed_only(apriori(c.tx, c.min_sup).itemsets()))
+    return _text(C.closed_only(apriori(c.basket, c.min_sup).itemsets()))
 
 
 def q_maximal_itemsets(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(C.maximal_only(apriori(c.tx, c.min_sup).itemsets()))
+    return _text(C.maximal_only(apriori(c.basket, c.min_sup).itemsets()))
 
 
 def q_forward_closed_itemsets(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(hybrid_mine(c.tx, c.min_sup, prefix_len=1, mode="forward_closed"))
+    return _text(hybrid_mine(c.basket, c.min_sup, prefix_len=1, mode="forward_closed"))
 
 
 def q_adaptive_depth(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(hybrid_mine(c.tx, c.min_sup, prefix_len=1, mode="all", group_limit=GROUP_LIMIT_LOW))
+    return _text(hybrid_mine(c.basket, c.min_sup, prefix_len=1, mode="all", group_limit=GROUP_LIMIT_LOW))
 
 
 def q_length_counts(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return C.length_counts(apriori(c.tx, c.min_sup).itemsets())
+    return C.length_counts(apriori(c.basket, c.min_sup).itemsets())
 
 
 def q_itemset_total(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return C.itemset_total(apriori(c.tx, c.min_sup).itemsets())
+    return C.itemset_total(apriori(c.basket, c.min_sup).itemsets())
 
 
 def q_all_results(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    m = hybrid_mine(c.tx, c.min_sup, prefix_len=2, mode="forward_closed", split=True)
+    m = hybrid_mine(c.basket, c.min_sup, prefix_len=2, mode="forward_closed", split=True)
     return _text(C.all_results(m.short, m.long))
 
 
@@ -247,19 +247,19 @@ def q_encode_short_itemsets(spark, sf_dir):
 
 def q_encode_decode_roundtrip(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    fis = apriori(c.tx, c.min_sup).itemsets()
+    fis = apriori(c.basket, c.min_sup).itemsets()
     lines = W.encoded_lines(W.encode_itemsets(fis))
     return _text(R.decode_itemsets(lines))
 
 
 def q_itemset_text(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return W.itemset_lines(apriori(c.tx, c.min_sup).itemsets())
+    return W.itemset_lines(apriori(c.basket, c.min_sup).itemsets())
 
 
 def q_vertical_forward_closed(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return _text(vertical_mine(c.tx, c.min_sup, prefix_len=3, mode="forward_closed"))
+    return _text(vertical_mine(c.basket, c.min_sup, prefix_len=3, mode="forward_closed"))
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,21 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     """Broadcast hint only when the side is proven small; otherwise the join
     stays a shuffle join (and AQE may still pick broadcast at run time)."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def bucketed_table(df: DataFrame, key: str, buckets: int, sort: bool = True) -> DataFrame:
+    """Write ``df`` as a table bucketed (and sorted) by ``key`` under the
+    shared checkpoint folder and read it back.
+
+    Joins between two such tables on ``key`` with the same bucket count need
+    no exchange, and the written table cuts the lineage (it survives executor
+    loss).  ``df`` should already be hash-partitioned on ``key`` into
+    ``buckets`` partitions, so each task writes one file per bucket."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    name = f"cofreq_{uuid.uuid4().hex[:16]}"
+    writer = df.write.bucketBy(buckets, key)
+    if sort:
+        writer = writer.sortBy(key)
+    writer.option("path", f"{base}/tables/{name}").mode("overwrite").format("parquet").saveAsTable(name)
+    return spark.table(name)
