@@ -17,8 +17,12 @@ BROADCAST_MAX_ROWS = 2_000_000
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session configured the way the library expects a cluster
     session to be configured (AQE on, UI off)."""
+    builder = SparkSession.builder
+    event_dir = os.environ.get("COFREQ_EVENT_LOG_DIR")
+    if event_dir:  # stage/task timings for profiling, written to a scratch folder
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("cofreq")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -12,42 +12,55 @@ from cofreq.sources.formats import CLOSESUP, COUNT_SEPARATOR, OPENSUP, SEPARATOR
 MAX_SETS_PER_LINE = 100_000
 
 
-def _common_prefix_len(a, b):
-    """Length of the common prefix of two int arrays (null b -> 0)."""
-    n = F.least(F.size(a), F.coalesce(F.size(b), F.lit(0)))
-    flags = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                        lambda i: F.when(i <= n, F.element_at(a, i) == F.element_at(b, i)).otherwise(F.lit(False)))
-    # position of the first mismatch - 1, or n when all match
-    first_false = F.array_position(flags, F.lit(False))
-    return F.when(n == 0, F.lit(0)).when(first_false == 0, n).otherwise(first_false - 1)
-
-
-def encode_itemsets(fis: DataFrame, max_sets: int = MAX_SETS_PER_LINE, key_len: int = 1) -> DataFrame:
-    """K1: sets in depth-first (lexicographic) order -> ``[n, encoded]``
-    lines.  Lines are cut per leading-item group and every ``max_sets`` sets;
-    each line starts from the empty set so it decodes on its own."""
-    sets = fis.select(F.array_sort("items").alias("items"), "support").withColumn(
-        "_key", F.slice("items", 1, key_len)
-    )
-    w = Window.partitionBy("_key").orderBy("items")
-    sets = sets.withColumn("_rn", F.row_number().over(w) - 1).withColumn(
-        "_chunk", F.floor(F.col("_rn") / F.lit(max_sets))
-    )
-    prev = F.when(F.col("_rn") % F.lit(max_sets) != 0, F.lag("items").over(w))
-    sets = sets.withColumn("_prev", prev)
-    depth = _common_prefix_len(F.col("items"), F.col("_prev"))
-    ups = F.when(F.col("_prev").isNull(), F.lit("")).otherwise(
-        F.repeat(F.lit(SYMBOL), (F.size("_prev") - depth).cast("int"))
-    )
-    tail = itemset_string(F.slice("items", depth + 1, F.size("items")), SEPARATOR)
-    frag = F.concat(ups, tail, F.lit(OPENSUP), F.col("support").cast("string"), F.lit(CLOSESUP))
-    frags = sets.select("_key", "_chunk", "_rn", frag.alias("_frag"))
-    return frags.groupBy("_key", "_chunk").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_frag"))), lambda x: x["_frag"]), ""
-        ).alias("encoded"),
-    ).select("n", "encoded")
+def _encode_partition(max_sets: int):
+    """Stream one sorted partition into self-contained encoded lines of at
+    most ``max_sets`` sets (each line starts from the empty set)."""
+    import pandas as pd
+
+    def run(batches):
+        parts: list[str] = []
+        prev: list[int] | None = None
+        n = 0
+        lines_n: list[int] = []
+        lines_s: list[str] = []
+        for pdf in batches:
+            for items, sup in zip(pdf["items"], pdf["support"]):
+                cur = [int(x) for x in items]
+                if prev is None:
+                    parts.append(SEPARATOR.join(map(str, cur)))
+                else:
+                    depth = 0
+                    while depth < len(cur) and depth < len(prev) and cur[depth] == prev[depth]:
+                        depth += 1
+                    parts.append(SYMBOL * (len(prev) - depth) + SEPARATOR.join(map(str, cur[depth:])))
+                parts.append(f"{OPENSUP}{int(sup)}{CLOSESUP}")
+                prev = cur
+                n += 1
+                if n == max_sets:
+                    lines_n.append(n)
+                    lines_s.append("".join(parts))
+                    parts, prev, n = [], None, 0
+            if lines_n:
+                yield pd.DataFrame({"n": lines_n, "encoded": lines_s})
+                lines_n, lines_s = [], []
+        if n:
+            yield pd.DataFrame({"n": [n], "encoded": ["".join(parts)]})
+
+    return run
+
+
+def encode_itemsets(fis: DataFrame, max_sets: int = MAX_SETS_PER_LINE) -> DataFrame:
+    """K1: sets in depth-first (lexicographic) order -> ``[n, encoded]`` lines.
+
+    The sets are range-partitioned and sorted by their item arrays (a
+    distributed sort: a hot leading item is split across partitions by the
+    sampled bounds), then each partition is streamed into lines of at most
+    ``max_sets`` sets.  Every line starts from the empty set, so lines decode
+    independently."""
+    sets = fis.select(F.array_sort("items").alias("items"), F.col("support").cast("bigint"))
+    n_parts = int(fis.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sets.repartitionByRange(n_parts, "items").sortWithinPartitions("items")
+    return ordered.mapInPandas(_encode_partition(max_sets), "n bigint, encoded string")
 
 
 def encoded_lines(enc: DataFrame) -> DataFrame:
