@@ -27,6 +27,7 @@ BLOCK = 1 << 16
 MIN_LENGTH = 6
 GROUP_LIMIT_LOW = 2_000
 STATS_LIMIT = 3_000
+GROUPED_LIMIT = 10_000
 
 
 @dataclass
@@ -262,6 +263,23 @@ def q_vertical_forward_closed(spark, sf_dir):
     return _text(vertical_mine(c.basket, c.min_sup, prefix_len=3, mode="forward_closed"))
 
 
+def q_grouped_forward_closed(spark, sf_dir):
+    """F4 through the grouped (applyInPandas) engine; equals the rule."""
+    c = ctx(spark, sf_dir)
+    return _text(hybrid_mine(c.basket, c.min_sup, prefix_len=1, mode="forward_closed", engine="grouped"))
+
+
+def q_grouped_all(spark, sf_dir):
+    """F4 grouped engine in ``all`` mode with a group limit low enough that
+    the heaviest groups take the level-wise path."""
+    from cofreq.plans.groups import mine_groups  # noqa: F401
+
+    c = ctx(spark, sf_dir)
+    m = hybrid_mine(c.basket, c.min_sup, prefix_len=1, mode="all", engine="grouped", split=True,
+                    max_group_tids=GROUPED_LIMIT)
+    return _text(m.all())
+
+
 QUERIES = {
     "parse_transactions": q_parse_transactions,
     "transaction_count": q_transaction_count,
@@ -294,4 +312,6 @@ QUERIES = {
     "encode_decode_roundtrip": q_encode_decode_roundtrip,
     "itemset_text": q_itemset_text,
     "vertical_forward_closed": q_vertical_forward_closed,
+    "grouped_forward_closed": q_grouped_forward_closed,
+    "grouped_all": q_grouped_all,
 }

@@ -79,6 +79,7 @@ def hybrid_mine(
     group_limit: int = DEFAULT_GROUP_LIMIT,
     engine: str = "levelwise",
     split: bool = False,
+    max_group_tids: int | None = None,
 ) -> DataFrame | MineResult:
     """levels 1..k by Apriori (k >= prefix_len, deepened by F7 while a
     prefix group is above ``group_limit`` tids); short = all frequent sets of
@@ -97,7 +98,8 @@ def hybrid_mine(
             long = short.limit(0)
         else:
             groups = prefix_groups(res)
-            long = mine_groups(groups, min_sup, mode=mode, max_len=max_len, levels=res)
+            kw = {} if max_group_tids is None else {"max_group_tids": max_group_tids}
+            long = mine_groups(groups, min_sup, mode=mode, max_len=max_len, levels=res, **kw)
     else:
         _continue(res, max_len)
         rest = res.itemsets(k + 1)

@@ -151,6 +151,8 @@ SELECT count(*) AS n,
        CAST(i1 AS VARCHAR) || '|' || string_agg(CAST(i2 AS VARCHAR) || '(' || CAST(support AS VARCHAR) || ')', '$' ORDER BY i2) AS encoded
 FROM f2 GROUP BY i1"""),
         "encode_decode_roundtrip": apriori,
+        "grouped_forward_closed": _forward_closed(1),
+        "grouped_all": apriori,
         "itemset_text": _with(
             "SELECT array_to_string(items, ' ') || ' (' || CAST(support AS VARCHAR) || ')' AS value FROM fis"),
     }
