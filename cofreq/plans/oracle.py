@@ -71,6 +71,49 @@ fc AS (SELECT items, support FROM fis WHERE len(items) <= {k}
 SELECT array_to_string(items, ' ') AS itemset, support FROM fc""")
 
 
+def _vertical_forward_closed(p: int) -> str:
+    """The vertical miner's output in rank space: rank-ordered seeds up to
+    length p with the closure break from the first level, then (p-1)-prefix
+    groups over the reported length-p seeds, mapped back to item ids."""
+    return _with(f""",
+rk1 AS (SELECT i1 AS item, row_number() OVER (ORDER BY support, i1) AS r FROM f1),
+rf AS (SELECT list_sort(list(rk1.r)) AS ri, f.support
+       FROM (SELECT items, support, unnest(items) AS it FROM fis) f JOIN rk1 ON rk1.item = f.it
+       GROUP BY f.items, f.support),
+sm AS (SELECT ri, support, ri[1:1] AS grp, ri[2:] AS rs FROM rf WHERE len(ri) BETWEEN 2 AND {p}),
+sb AS (SELECT t.grp, t.rs[1:len(t.rs) - 1] AS seg, t.rs[len(t.rs)] AS ylast, len(t.ri) AS tlen
+       FROM sm t JOIN sm a ON a.grp = t.grp AND a.rs = t.rs[1:len(t.rs) - 1] AND a.support = t.support
+       WHERE len(t.rs) >= 2
+       UNION ALL
+       SELECT t.grp, CAST([] AS BIGINT[]), t.rs[1], len(t.ri)
+       FROM sm t JOIN rf g ON g.ri = t.grp AND g.support = t.support WHERE len(t.rs) = 1),
+ss AS (SELECT ri, grp, len(ri) AS slen, rs[1:d] AS seg, CASE WHEN d < len(rs) THEN rs[d + 1] END AS nxt
+       FROM (SELECT ri, grp, rs, unnest(generate_series(0, len(rs))) AS d FROM sm)),
+skill AS (SELECT DISTINCT g.ri FROM ss g JOIN sb b ON b.grp = g.grp AND b.seg = g.seg
+          WHERE (g.nxt IS NULL AND g.slen < {p}) OR (g.nxt IS NOT NULL AND b.ylast < g.nxt AND b.tlen < {p})),
+seeds AS (SELECT ri, support FROM sm WHERE NOT EXISTS (SELECT 1 FROM skill k WHERE k.ri = sm.ri)),
+ext AS (SELECT ri[1:{p - 1}] AS grp, ri[{p}] AS x, support FROM seeds WHERE len(ri) = {p}),
+rk AS (SELECT grp, x, row_number() OVER (PARTITION BY grp ORDER BY support, x) AS r FROM ext),
+memx AS (SELECT ri, support, ri[1:{p - 1}] AS grp, len(ri) - {p - 1} AS m, unnest(ri[{p}:]) AS x
+         FROM rf WHERE len(ri) >= {p}),
+memr AS (SELECT m.ri, m.support, m.grp, list_sort(list(rk.r)) AS rs
+         FROM memx m JOIN rk ON rk.grp = m.grp AND rk.x = m.x
+         GROUP BY m.ri, m.support, m.grp, m.m HAVING count(*) = m.m),
+brk AS (SELECT t.grp, t.rs[1:len(t.rs) - 1] AS seg, t.rs[len(t.rs)] AS ylast
+        FROM memr t JOIN memr a ON a.grp = t.grp AND a.rs = t.rs[1:len(t.rs) - 1] AND a.support = t.support
+        WHERE len(t.rs) >= 2),
+segs AS (SELECT ri, grp, rs[1:d] AS seg, CASE WHEN d < len(rs) THEN rs[d + 1] END AS nxt
+         FROM (SELECT ri, grp, rs, unnest(generate_series(1, len(rs))) AS d FROM memr)),
+killed AS (SELECT DISTINCT g.ri FROM segs g JOIN brk b ON b.grp = g.grp AND b.seg = g.seg
+           WHERE g.nxt IS NULL OR b.ylast < g.nxt),
+outr AS (SELECT ri, support FROM rf WHERE len(ri) = 1
+         UNION ALL SELECT ri, support FROM seeds WHERE len(ri) < {p}
+         UNION ALL SELECT ri, support FROM memr WHERE NOT EXISTS (SELECT 1 FROM killed k WHERE k.ri = memr.ri))
+SELECT array_to_string(list_sort(list(rk1.item)), ' ') AS itemset, o.support
+FROM (SELECT ri, support, unnest(ri) AS r FROM outr) o JOIN rk1 ON rk1.r = o.r
+GROUP BY o.ri, o.support""")
+
+
 def _tid_lists_of_pairs(prefix_cols: str) -> str:
     return _with(f"""
 SELECT {prefix_cols}, CAST(floor(a.tid / {BLOCK}) AS BIGINT) AS block,
@@ -152,6 +195,7 @@ SELECT count(*) AS n,
 FROM f2 GROUP BY i1"""),
         "encode_decode_roundtrip": apriori,
         "grouped_forward_closed": _forward_closed(1),
+        "vertical_forward_closed": _vertical_forward_closed(3),
         "grouped_all": apriori,
         "itemset_text": _with(
             "SELECT array_to_string(items, ' ') || ' (' || CAST(support AS VARCHAR) || ')' AS value FROM fis"),
