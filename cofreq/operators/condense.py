@@ -7,6 +7,7 @@ transactions."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,8 @@ def forward_closed_rule(
             .where(F.size("rs") == F.col("_m"))
             .drop("_m")
         )
-    ranked = ranked.withColumn("_len", F.size("items"))
+    # read four times below: keep it (output-sized) instead of re-deriving it
+    ranked = ranked.withColumn("_len", F.size("items")).persist(StorageLevel.MEMORY_AND_DISK)
 
     # breakers with A(T) inside the group (d >= 1)
     t = ranked.where(F.size("rs") >= 2).select(
@@ -131,6 +133,7 @@ def forward_closed_rule(
             .select("group", F.array().cast("array<int>").alias("seg"), "ylast", "tlen")
         )
         breakers = breakers.unionByName(b0)
+    breakers = breakers.persist(StorageLevel.MEMORY_AND_DISK)
 
     # every initial segment of every member, with the rank that follows it
     start = F.lit(break_from)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def hybrid_mine(
             long = mine_groups(groups, min_sup, mode=mode, max_len=max_len, levels=res, **kw)
     else:
         _continue(res, max_len)
-        rest = res.itemsets(k + 1)
+        rest = res.itemsets(k + 1).persist(StorageLevel.MEMORY_AND_DISK)
         if mode == "all":
             long = rest
         elif mode == "forward_closed":
@@ -170,16 +171,22 @@ def vertical_mine(
     behaves as ``p = 2``."""
     p = max(2, prefix_len)
     basket = as_basket(data)
+    if mode == "all":
+        # every frequent set, whatever the order: the rank relabelling cannot
+        # change the answer, so count in item space (short = lengths < p)
+        fis = apriori(basket, min_sup, max_len).itemsets()
+        out = MineResult(fis.where(F.size("items") < p), fis.where(F.size("items") >= p), p)
+        return out if split else out.all()
     ranks = item_rank(frequent_items(basket, min_sup))
     basket_r = to_rank_space(basket, ranks)
     res = apriori(basket_r, min_sup, max_len)
-    fis_r = res.itemsets()
+    fis_r = res.itemsets().persist(StorageLevel.MEMORY_AND_DISK)
     singles = fis_r.where(F.size("items") == 1)
     if mode == "all":
         short = singles.unionByName(fis_r.where((F.size("items") > 1) & (F.size("items") < p)))
         long = fis_r.where(F.size("items") >= p)
     elif mode == "forward_closed":
-        seeds = seed_prefixes(fis_r, p)
+        seeds = seed_prefixes(fis_r, p).persist(StorageLevel.MEMORY_AND_DISK)
         short = singles.unionByName(seeds.where(F.size("items") < p))
         long_seeds = seeds.where(F.size("items") == p)
         ext = _group_extensions(long_seeds, p - 1)
