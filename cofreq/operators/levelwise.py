@@ -20,24 +20,26 @@ DEFAULT_GROUP_LIMIT = 175_000_000  # tids per prefix group (1e9 / 4 * 0.7)
 
 
 def seed_occurrences(basket: DataFrame) -> DataFrame:
-    """Level-1 occurrences ``[tid, items=[item]]`` (keeps tid partitioning)."""
-    return basket.select("tid", F.array(F.col("item")).alias("items"))
+    """Level-1 occurrences ``[tid, sid, last]`` (a single item's id is the item)."""
+    return basket.select("tid", F.col("item").cast("bigint").alias("sid"), F.col("item").alias("last"))
 
 
 def extend_occurrences(occ: DataFrame, basket: DataFrame) -> DataFrame:
     """J2 core: every occurrence ``(tid, S)`` joined with the later items of
-    the same transaction -> ``[tid, prefix=S, item]`` with ``item > max(S)``."""
+    the same transaction -> ``[tid, sid, item]`` with ``item > max(S)``.
+    Both sides are tid-bucketed tables, so the join needs no exchange."""
     o = occ.alias("o")
     b = basket.alias("b")
-    return o.join(
-        b, (F.col("o.tid") == F.col("b.tid")) & (F.col("b.item") > last_item(F.col("o.items")))
-    ).select(F.col("o.tid").alias("tid"), F.col("o.items").alias("prefix"), F.col("b.item").alias("item"))
+    return o.join(b, (F.col("o.tid") == F.col("b.tid")) & (F.col("b.item") > F.col("o.last"))).select(
+        F.col("o.tid").alias("tid"), F.col("o.sid").alias("sid"), F.col("b.item").alias("item")
+    )
 
 
 def count_extensions(ext: DataFrame) -> DataFrame:
-    """A2: support of each (prefix, item); Catalyst plans a partial
-    (map-side) and a final hash aggregate, so a hot key is pre-combined."""
-    return ext.groupBy("prefix", "item").agg(F.count(F.lit(1)).alias("support"))
+    """A2: support of each (set id, item); Catalyst plans a partial
+    (map-side) and a final hash aggregate over fixed-width keys, so a hot key
+    is pre-combined before the shuffle."""
+    return ext.groupBy("sid", "item").agg(F.count(F.lit(1)).alias("support"))
 
 
 def filter_min_support(df: DataFrame, min_sup: int, col: str = "support") -> DataFrame:
@@ -45,17 +47,8 @@ def filter_min_support(df: DataFrame, min_sup: int, col: str = "support") -> Dat
     return df.where(F.col(col) >= F.lit(min_sup))
 
 
-def grow_occurrences(ext: DataFrame, level: DataFrame) -> DataFrame:
-    """Occurrences of the frequent (k+1)-sets: extensions semi-joined with
-    the new level (broadcast only when the level is proven small)."""
-    keys = maybe_broadcast(level.select("prefix", "item"))
-    return ext.join(keys, ["prefix", "item"], "left_semi").select(
-        "tid", F.concat("prefix", F.array("item")).alias("items")
-    )
-
-
 def level_to_itemsets(level: DataFrame) -> DataFrame:
-    """``[prefix, item, support]`` -> ``[items, support]``."""
+    """``[(sid,) prefix, item, support]`` -> ``[items, support]``."""
     return level.select(F.concat("prefix", F.array("item")).alias("items"), "support")
 
 
@@ -66,18 +59,21 @@ def itemsets_to_level(itemsets: DataFrame) -> DataFrame:
     )
 
 
-def generate_candidates(occ: DataFrame, basket: DataFrame, level: DataFrame) -> DataFrame:
+def generate_candidates(occ_items: DataFrame, basket: DataFrame, level: DataFrame) -> DataFrame:
     """(k+1)-candidates ``[prefix, item]`` joining two frequent k-sets that
     share their first k-1 items (``prefix + [a]`` and ``prefix + [item]``),
     restricted to combinations that occur in at least one transaction.
     Combinations that never co-occur have support 0 and are never counted, so
-    this is the reference's candidate set minus its support-0 members."""
-    ext = extend_occurrences(occ, basket)
+    this is the reference's candidate set minus its support-0 members.
+    ``occ_items`` is ``[tid, items]``; ``level`` is ``[prefix, item, ...]``."""
+    o = occ_items.alias("o")
+    b = basket.alias("b")
+    ext = o.join(b, (F.col("o.tid") == F.col("b.tid")) & (F.col("b.item") > last_item(F.col("o.items")))).select(
+        F.col("o.items").alias("prefix"), F.col("b.item").alias("item"))
     # the second parent: S[:-1] + [item] must be frequent
     parent = level.select(F.concat("prefix", F.array("item")).alias("_p2"))
     return (
-        ext.select("prefix", "item")
-        .distinct()
+        ext.distinct()
         .withColumn("_p2", F.concat(prefix_of("prefix"), F.array("item")))
         .join(maybe_broadcast(parent), "_p2", "left_semi")
         .drop("_p2")

@@ -1,9 +1,16 @@
 """F1 level-wise mining and F7 adaptive prefix depth.
 
-One DataFrame per level; each level's occurrences are checkpointed to the
-session's checkpoint directory, which cuts the lineage (an executor loss
-replays at most one level) and keeps the tid partitioning, so the next
-level's join on ``tid`` needs no exchange."""
+Every frequent k-set has a 64-bit id: a level-1 set's id is its item, and a
+(k+1)-set's id is ``xxhash64(parent id, item, salt)``.  Occurrences are the
+fixed-width rows ``[tid, sid, last]``, so the hot path (join on ``tid``,
+aggregate on ``(sid, item)``, bucketed write) never hashes or shuffles item
+arrays.  After each level one aggregate checks that the new ids are unique;
+on a collision the level is re-hashed with another salt, so the result is
+exact.
+
+Each level's occurrences are written as a tid-bucketed table in the shared
+checkpoint folder: the next level's join needs no exchange, and an executor
+loss replays at most one level."""
 
 from __future__ import annotations
 
@@ -31,9 +38,10 @@ from cofreq.session import BROADCAST_MAX_ROWS, bucketed_table
 class Levels:
     """Result of the level-wise phase.
 
-    ``levels[k-1]`` holds the frequent k-itemsets as ``[prefix, item,
-    support]``; ``occurrences[k-1]`` (kept only for the last level) is
-    ``[tid, items]``; ``basket`` is the pruned, tid-partitioned basket."""
+    ``levels[k-1]`` holds the frequent k-itemsets as ``[sid, prefix, item,
+    support]`` (persisted, output-sized); ``occurrences[k]`` (kept only for
+    the newest level) is ``[tid, sid, last]``; ``basket`` is the pruned,
+    tid-bucketed basket ``[item, tid]``."""
 
     basket: DataFrame
     levels: list[DataFrame] = field(default_factory=list)
@@ -41,6 +49,7 @@ class Levels:
     min_sup: int = 1
     sizes: list[int] = field(default_factory=list)
     buckets: int = 8
+    salts: list[int] = field(default_factory=list)
 
     @property
     def depth(self) -> int:
@@ -54,6 +63,14 @@ class Levels:
             return self.basket.sparkSession.createDataFrame([], "items array<int>, support bigint")
         return reduce(DataFrame.unionByName, parts)
 
+    def occurrence_items(self, k: int | None = None) -> DataFrame:
+        """Occurrences of level k with their item arrays: ``[tid, items]``
+        (a join with the output-sized level table, broadcast when small)."""
+        k = self.depth if k is None else k
+        lv = self.levels[k - 1].select("sid", F.concat("prefix", F.array("item")).alias("items"))
+        lv = _side(lv, self.sizes[k - 1])
+        return self.occurrences[k].join(lv, "sid").select("tid", "items")
+
 
 def as_basket(data: DataFrame) -> DataFrame:
     """Accept ``[tid, items]`` or ``[tid, item]``."""
@@ -67,7 +84,7 @@ def _partitions(df: DataFrame) -> int:
 def _keep_small(df: DataFrame) -> tuple[DataFrame, int]:
     """Persist an output-sized table and count it once; the count decides
     both emptiness and whether it may be broadcast.  Its lineage is one
-    aggregate over checkpointed inputs, so a lost block is cheap to rebuild."""
+    aggregate over written tables, so a lost block is cheap to rebuild."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return df, df.count()
 
@@ -76,6 +93,11 @@ def _side(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
 
 
+def child_id(parent: str = "sid", item: str = "item", salt: int = 0):
+    """Id of the set ``parent ∪ {item}``."""
+    return F.xxhash64(F.col(parent), F.col(item), F.lit(salt))
+
+
 def first_level(data: DataFrame, min_sup: int) -> Levels:
     basket = as_basket(data)
     l1, n1 = _keep_small(frequent_items(basket, min_sup))
@@ -83,37 +105,58 @@ def first_level(data: DataFrame, min_sup: int) -> Levels:
     # tid-bucketed once; every level joins on tid without an exchange
     n_parts = _partitions(basket)
     pruned = bucketed_table(pruned.repartition(n_parts, "tid"), "tid", n_parts)
-    level1 = l1.select(F.array().cast("array<int>").alias("prefix"), "item", "support")
+    level1 = l1.select(F.col("item").cast("bigint").alias("sid"), F.array().cast("array<int>").alias("prefix"),
+                       "item", "support")
     res = Levels(basket=pruned, min_sup=min_sup, buckets=n_parts)
     res.levels.append(level1)
     res.sizes.append(n1)
+    res.salts.append(0)
     res.occurrences[1] = seed_occurrences(pruned)
     return res
 
 
+def _new_level(counts: DataFrame, parent: DataFrame, n_parent: int, salt: int) -> DataFrame:
+    """``[sid, item, support]`` of the new sets + parent table -> level table."""
+    par = _side(parent.select(F.col("sid").alias("psid"), F.concat("prefix", F.array("item")).alias("prefix")),
+                n_parent)
+    return counts.join(par, counts["sid"] == par["psid"]).select(
+        child_id("sid", "item", salt).alias("sid"), "prefix", "item", "support"
+    )
+
+
 def next_level(res: Levels) -> bool:
     """Add level k+1; returns False when it is empty."""
     k = res.depth
-    if res.sizes[-1] < k + 1 and k > 1:
+    if res.sizes[-1] == 0 or (k > 1 and res.sizes[-1] < k + 1):
         # a (k+1)-set needs k+1 frequent k-subsets
         return False
-    if res.sizes[-1] == 0:
-        return False
-    occ = res.occurrences[k]
-    ext = extend_occurrences(occ, res.basket)
-    level, n = _keep_small(filter_min_support(count_extensions(ext), res.min_sup))
-    if n == 0:
-        level.unpersist()
-        return False
+    ext = extend_occurrences(res.occurrences[k], res.basket)
+    counts = filter_min_support(count_extensions(ext), res.min_sup).persist(StorageLevel.MEMORY_AND_DISK)
+    salt = 0
+    while True:
+        level = _new_level(counts, res.levels[k - 1], res.sizes[k - 1], salt).persist(StorageLevel.MEMORY_AND_DISK)
+        # one job: counts the new level and checks that its ids are unique
+        stats = level.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sid").alias("ids")).first()
+        n = int(stats["n"])
+        if n == 0:
+            level.unpersist()
+            counts.unpersist()
+            return False
+        if int(stats["ids"]) == n:
+            break
+        level.unpersist()  # 64-bit id collision: re-hash this level
+        salt += 1
     res.levels.append(level)
     res.sizes.append(n)
-    keys = _side(level.select("prefix", "item"), n)
-    occ_next = ext.join(keys, ["prefix", "item"], "left_semi").select(
-        "tid", F.concat("prefix", F.array("item")).alias("items")
+    res.salts.append(salt)
+    keys = _side(counts.select("sid", "item"), n)
+    occ_next = ext.join(keys, ["sid", "item"], "left_semi").select(
+        "tid", child_id("sid", "item", salt).alias("sid"), F.col("item").alias("last")
     )
     # written bucketed like the basket: no exchange at the next level, and
     # the lineage is cut here
     res.occurrences[k + 1] = bucketed_table(occ_next, "tid", res.buckets)
+    counts.unpersist()
     # only the newest occurrences are needed from here on
     res.occurrences.pop(k, None)
     return True

@@ -39,6 +39,9 @@ class Ctx:
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> Ctx:
+    # queries are independent: release what earlier queries kept in memory
+    # (anything still referenced is rebuilt from its lineage or written tables)
+    spark.catalog.clearCache()
     basket = order_basket(spark, sf_dir).persist()
     tx = B.baskets(basket)  # nested form, only for the parsing/length queries
     n = basket.select("tid").distinct().count()
@@ -118,7 +121,7 @@ def _two_levels(c: Ctx):
 def q_generate_candidates(spark, sf_dir):
     c = ctx(spark, sf_dir)
     res = _two_levels(c)
-    cands = L.generate_candidates(res.occurrences[2], res.basket, res.levels[1])
+    cands = L.generate_candidates(res.occurrence_items(2), res.basket, res.levels[1])
     return cands.select(itemset_string(F.concat("prefix", F.array("item"))).alias("itemset"))
 
 
@@ -135,13 +138,15 @@ def q_candidate_support(spark, sf_dir):
     res = _two_levels(c)
     ext = L.extend_occurrences(res.occurrences[2], res.basket)
     counts = L.count_extensions(ext)
-    return counts.select(itemset_string(F.concat("prefix", F.array("item"))).alias("itemset"), "support")
+    parents = res.levels[1].select("sid", F.concat("prefix", F.array("item")).alias("pitems"))
+    return counts.join(parents, "sid").select(
+        itemset_string(F.concat("pitems", F.array("item"))).alias("itemset"), "support")
 
 
 def q_candidate_tids(spark, sf_dir):
     c = ctx(spark, sf_dir)
     res = _two_levels(c)
-    occ = res.occurrences[2]
+    occ = res.occurrence_items(2)
     ext = occ.select("tid", F.slice("items", 1, 1).alias("prefix"), F.element_at("items", -1).alias("item"))
     t = L.candidate_tids(ext, BLOCK)
     return t.select(itemset_string(F.concat("prefix", F.array("item"))).alias("itemset"), "block", _tids().alias("tids"))

@@ -119,10 +119,12 @@ def _mine_heavy(levels, heavy_keys: DataFrame, min_sup: int, mode: str, max_len:
     k = levels.depth - 1  # group prefix length
     if levels.sizes and levels.sizes[-1] == 0:
         return heavy_keys.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    # keep only the heavy groups' sets and occurrences (by set id)
+    heavy_level = levels.levels[-1].join(heavy_keys, "prefix", "left_semi").persist()
+    levels.levels[-1] = heavy_level
+    levels.sizes[-1] = heavy_level.count()
     occ = levels.occurrences[levels.depth]
-    keys = heavy_keys.select(F.col("prefix").alias("_p"))
-    levels.occurrences[levels.depth] = occ.join(keys, F.slice(occ["items"], 1, k) == keys["_p"], "left_semi")
-    levels.levels[-1] = levels.levels[-1].join(heavy_keys, "prefix", "left_semi")
+    levels.occurrences[levels.depth] = occ.join(heavy_level.select("sid"), "sid", "left_semi")
     first_new = levels.depth
     while (max_len is None or levels.depth < max_len) and next_level(levels):
         pass

@@ -64,7 +64,7 @@ def prefix_groups(res: Levels, block_size: int = 1 << 16) -> DataFrame:
     depth - 1), with their tid lists per tid block:
     ``[prefix, item, support, block, tids]``."""
     k1 = res.depth
-    occ = res.occurrences[k1]
+    occ = res.occurrence_items(k1)
     ext = occ.select("tid", F.slice("items", 1, k1 - 1).alias("prefix"), F.element_at("items", -1).alias("item"))
     tids = candidate_tids(ext, block_size)
     level = res.levels[k1 - 1]

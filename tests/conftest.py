@@ -15,6 +15,13 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def _release_cache(request):
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 def as_map(df):
     """{ 'a b c': support } with items ascending."""
     return {" ".join(map(str, sorted(r["items"]))): int(r["support"]) for r in df.collect()}

@@ -101,8 +101,9 @@ def test_x3_counts_and_tids(spark):
     cands = {(1, 2), (1, 3), (1, 4), (2, 3), (2, 5), (3, 4), (4, 5)}
     res = first_level(tx, 1)
     ext = L.extend_occurrences(res.occurrences[1], res.basket)
-    counts = {(r["prefix"][0], r["item"]): r["support"] for r in L.count_extensions(ext).collect()}
+    counts = {(r["sid"], r["item"]): r["support"] for r in L.count_extensions(ext).collect()}
     assert {c: counts[c] for c in cands} == {(1, 2): 1, (1, 3): 4, (1, 4): 3, (2, 3): 2, (2, 5): 1, (3, 4): 5, (4, 5): 2}
+    ext = ext.select("tid", F.array(F.col("sid").cast("int")).alias("prefix"), "item")
     tids = {(r["prefix"][0], r["item"]): r["tids"] for r in L.candidate_tids(ext).collect()}
     assert {c: tids[c] for c in cands} == {(1, 2): [0], (1, 3): [0, 2, 5, 7], (1, 4): [0, 5, 7], (2, 3): [0, 1],
                                            (2, 5): [6], (3, 4): [0, 1, 4, 5, 7], (4, 5): [4, 5]}

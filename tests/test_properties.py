@@ -17,7 +17,7 @@ def random_rows(seed, n=30, items=8):
     return [sorted(rnd.sample(range(1, items + 1), rnd.randint(1, 6))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_miners_match_brute_force(spark, seed):
     rows = random_rows(seed)
     tx = tx_df(spark, rows)
@@ -28,7 +28,7 @@ def test_miners_match_brute_force(spark, seed):
     assert as_map(hybrid_mine(tx, 4, prefix_len=1, engine="grouped")) == expect
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [4])
 def test_forward_closed_engines_agree(spark, seed):
     rows = random_rows(seed, n=25, items=7)
     tx = tx_df(spark, rows)
