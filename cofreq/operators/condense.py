@@ -7,11 +7,11 @@ transactions."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofreq.functions.itemsets import itemset_string
+from cofreq.session import materialize
 
 
 def _immediate_subsets(fis: DataFrame) -> DataFrame:
@@ -108,8 +108,9 @@ def forward_closed_rule(
             .where(F.size("rs") == F.col("_m"))
             .drop("_m")
         )
-    # read four times below: keep it (output-sized) instead of re-deriving it
-    ranked = ranked.withColumn("_len", F.size("items")).persist(StorageLevel.MEMORY_AND_DISK)
+    # read four times below: checkpoint it (output-sized) so the plans that
+    # follow start from a small leaf instead of re-deriving it
+    ranked = materialize(ranked.withColumn("_len", F.size("items")))
 
     # breakers with A(T) inside the group (d >= 1)
     t = ranked.where(F.size("rs") >= 2).select(
@@ -133,7 +134,7 @@ def forward_closed_rule(
             .select("group", F.array().cast("array<int>").alias("seg"), "ylast", "tlen")
         )
         breakers = breakers.unionByName(b0)
-    breakers = breakers.persist(StorageLevel.MEMORY_AND_DISK)
+    breakers = materialize(breakers)
 
     # every initial segment of every member, with the rank that follows it
     start = F.lit(break_from)

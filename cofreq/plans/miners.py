@@ -18,7 +18,7 @@ from cofreq.operators.basket import frequent_items, item_rank
 from cofreq.operators.condense import all_results, extension_ranks, forward_closed_rule
 from cofreq.operators.levelwise import DEFAULT_GROUP_LIMIT, candidate_tids
 from cofreq.plans.apriori import Levels, adaptive_apriori, apriori, as_basket, next_level
-from cofreq.session import maybe_broadcast
+from cofreq.session import BROADCAST_MAX_ROWS, materialize, maybe_broadcast
 
 
 @dataclass
@@ -103,7 +103,7 @@ def hybrid_mine(
             long = mine_groups(groups, min_sup, mode=mode, max_len=max_len, levels=res, **kw)
     else:
         _continue(res, max_len)
-        rest = res.itemsets(k + 1).persist(StorageLevel.MEMORY_AND_DISK)
+        rest = materialize(res.itemsets(k + 1))
         if mode == "all":
             long = rest
         elif mode == "forward_closed":
@@ -120,16 +120,24 @@ def hybrid_mine(
 # --------------------------------------------------------------------------
 
 
-def to_rank_space(basket: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Relabel items by their global rank; infrequent items drop out."""
-    r = maybe_broadcast(ranks.select("item", "rank"))
+def _rank_side(df: DataFrame, n: int | None) -> DataFrame:
+    if n is None:
+        return maybe_broadcast(df)
+    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
+
+
+def to_rank_space(basket: DataFrame, ranks: DataFrame, n_ranks: int | None = None) -> DataFrame:
+    """Relabel items by their global rank; infrequent items drop out.  The
+    rank table has one row per frequent item; it is broadcast only when its
+    counted size allows."""
+    r = _rank_side(ranks.select("item", "rank"), n_ranks)
     return basket.join(r, "item").select("tid", F.col("rank").alias("item"))
 
 
-def from_rank_space(fis: DataFrame, ranks: DataFrame) -> DataFrame:
+def from_rank_space(fis: DataFrame, ranks: DataFrame, n_ranks: int | None = None) -> DataFrame:
     """Map rank-space itemsets back to item ids (items ascending).  The
     rank-space array itself is the row key (itemsets are unique)."""
-    r = maybe_broadcast(ranks.select(F.col("rank").alias("r"), "item"))
+    r = _rank_side(ranks.select(F.col("rank").alias("r"), "item"), n_ranks)
     flat = fis.select(F.col("items").alias("_key"), "support", F.explode("items").alias("r"))
     return (
         flat.join(r, "r")
@@ -177,16 +185,17 @@ def vertical_mine(
         fis = apriori(basket, min_sup, max_len).itemsets()
         out = MineResult(fis.where(F.size("items") < p), fis.where(F.size("items") >= p), p)
         return out if split else out.all()
-    ranks = item_rank(frequent_items(basket, min_sup))
-    basket_r = to_rank_space(basket, ranks)
+    ranks = item_rank(frequent_items(basket, min_sup)).persist(StorageLevel.MEMORY_AND_DISK)
+    n_ranks = ranks.count()
+    basket_r = to_rank_space(basket, ranks, n_ranks)
     res = apriori(basket_r, min_sup, max_len)
-    fis_r = res.itemsets().persist(StorageLevel.MEMORY_AND_DISK)
+    fis_r = materialize(res.itemsets())
     singles = fis_r.where(F.size("items") == 1)
     if mode == "all":
         short = singles.unionByName(fis_r.where((F.size("items") > 1) & (F.size("items") < p)))
         long = fis_r.where(F.size("items") >= p)
     elif mode == "forward_closed":
-        seeds = seed_prefixes(fis_r, p).persist(StorageLevel.MEMORY_AND_DISK)
+        seeds = materialize(seed_prefixes(fis_r, p))
         short = singles.unionByName(seeds.where(F.size("items") < p))
         long_seeds = seeds.where(F.size("items") == p)
         ext = _group_extensions(long_seeds, p - 1)
@@ -200,5 +209,5 @@ def vertical_mine(
             long = forward_closed_rule(_members(fis_r, p - 1), ranks_g, max_size=max_len).select("items", "support")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    out = MineResult(from_rank_space(short, ranks), from_rank_space(long, ranks), p)
+    out = MineResult(from_rank_space(short, ranks, n_ranks), from_rank_space(long, ranks, n_ranks), p)
     return out if split else out.all()
