@@ -63,6 +63,12 @@ class Levels:
             return self.basket.sparkSession.createDataFrame([], "items array<int>, support bigint")
         return reduce(DataFrame.unionByName, parts)
 
+    def release(self) -> None:
+        """K7: drop what the level-wise phase keeps (cached level tables).
+        Call it once the results built from this object are written."""
+        for lv in self.levels:
+            lv.unpersist()
+
     def occurrence_items(self, k: int | None = None) -> DataFrame:
         """Occurrences of level k with their item arrays: ``[tid, items]``
         (a join with the output-sized level table, broadcast when small)."""

@@ -204,9 +204,12 @@ def q_hybrid_mine(spark, sf_dir):
 
 
 def q_seed_prefixes(spark, sf_dir):
+    """the vertical miner's seeds of length 2..3 (rank order, closure
+    break from the first level), mapped back to item ids."""
+    from cofreq.plans.miners import seeds_of
+
     c = ctx(spark, sf_dir)
-    fis = apriori(c.basket, c.min_sup, 3).itemsets(2, 3)
-    return _text(fis)
+    return _text(seeds_of(c.basket, c.min_sup, 3))
 
 
 def q_closed_itemsets(spark, sf_dir):

@@ -163,6 +163,17 @@ def seed_prefixes(fis_r: DataFrame, p: int) -> DataFrame:
     )
 
 
+def seeds_of(data: DataFrame, min_sup: int, p: int) -> DataFrame:
+    """F3 end to end: rank the frequent items (W1), relabel, count up to
+    length p and keep the seeds the depth-first growth reports; returns
+    ``[items, support]`` in item ids."""
+    basket = as_basket(data)
+    ranks = item_rank(frequent_items(basket, min_sup)).persist(StorageLevel.MEMORY_AND_DISK)
+    n_ranks = ranks.count()
+    fis_r = materialize(apriori(to_rank_space(basket, ranks, n_ranks), min_sup, p).itemsets())
+    return from_rank_space(seed_prefixes(fis_r, p), ranks, n_ranks)
+
+
 def vertical_mine(
     data: DataFrame,
     min_sup: int,

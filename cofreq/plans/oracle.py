@@ -71,7 +71,7 @@ fc AS (SELECT items, support FROM fis WHERE len(items) <= {k}
 SELECT array_to_string(items, ' ') AS itemset, support FROM fc""")
 
 
-def _vertical_forward_closed(p: int) -> str:
+def _vertical_forward_closed(p: int, seeds_only: bool = False) -> str:
     """The vertical miner's output in rank space: rank-ordered seeds up to
     length p with the closure break from the first level, then (p-1)-prefix
     groups over the reported length-p seeds, mapped back to item ids."""
@@ -106,9 +106,9 @@ segs AS (SELECT ri, grp, rs[1:d] AS seg, CASE WHEN d < len(rs) THEN rs[d + 1] EN
          FROM (SELECT ri, grp, rs, unnest(generate_series(1, len(rs))) AS d FROM memr)),
 killed AS (SELECT DISTINCT g.ri FROM segs g JOIN brk b ON b.grp = g.grp AND b.seg = g.seg
            WHERE g.nxt IS NULL OR b.ylast < g.nxt),
-outr AS (SELECT ri, support FROM rf WHERE len(ri) = 1
+outr AS ({"SELECT ri, support FROM seeds" if seeds_only else f"""SELECT ri, support FROM rf WHERE len(ri) = 1
          UNION ALL SELECT ri, support FROM seeds WHERE len(ri) < {p}
-         UNION ALL SELECT ri, support FROM memr WHERE NOT EXISTS (SELECT 1 FROM killed k WHERE k.ri = memr.ri))
+         UNION ALL SELECT ri, support FROM memr WHERE NOT EXISTS (SELECT 1 FROM killed k WHERE k.ri = memr.ri)"""})
 SELECT array_to_string(list_sort(list(rk1.item)), ' ') AS itemset, o.support
 FROM (SELECT ri, support, unnest(ri) AS r FROM outr) o JOIN rk1 ON rk1.r = o.r
 GROUP BY o.ri, o.support""")
@@ -173,7 +173,7 @@ FROM (SELECT i1, CAST(sum(support) AS BIGINT) AS total FROM f2 GROUP BY i1)"""),
         "apriori": apriori,
         "vertical_mine": apriori,
         "hybrid_mine": apriori,
-        "seed_prefixes": _fis_text("len(items) BETWEEN 2 AND 3"),
+        "seed_prefixes": _vertical_forward_closed(3, seeds_only=True),
         "closed_itemsets": _with("""
 SELECT array_to_string(s.items, ' ') AS itemset, s.support FROM fis s
 WHERE NOT EXISTS (SELECT 1 FROM fis t WHERE len(t.items) = len(s.items) + 1

@@ -89,9 +89,24 @@ def bucketed_table(df: DataFrame, key: str, buckets: int, sort: bool = True) ->
     ``buckets`` partitions, so each task writes one file per bucket."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    name = f"cofreq_{uuid.uuid4().hex[:16]}"
+    name = f"{INTERMEDIATE_PREFIX}{uuid.uuid4().hex[:16]}"
     writer = df.write.bucketBy(buckets, key)
     if sort:
         writer = writer.sortBy(key)
     writer.option("path", f"{base}/tables/{name}").mode("overwrite").format("parquet").saveAsTable(name)
     return spark.table(name)
+
+
+INTERMEDIATE_PREFIX = "cofreq_"
+
+
+def drop_intermediate_tables(spark: SparkSession, names: list[str] | None = None) -> int:
+    """K7 (keep_intermediate=False): forget the intermediate tables written by
+    the miners (all of them, or ``names``).  Only catalog entries are dropped;
+    the files stay in the checkpoint folder, whose retention the cluster
+    manages.  Returns the number of tables dropped."""
+    if names is None:
+        names = [t.name for t in spark.catalog.listTables() if t.name.startswith(INTERMEDIATE_PREFIX)]
+    for n in names:
+        spark.sql(f"DROP TABLE IF EXISTS {n}")
+    return len(names)

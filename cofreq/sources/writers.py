@@ -63,6 +63,11 @@ def encode_itemsets(fis: DataFrame, max_sets: int = MAX_SETS_PER_LINE) -> DataFr
     return ordered.mapInPandas(_encode_partition(max_sets), "n bigint, encoded string")
 
 
+def encoded_total(enc: DataFrame) -> DataFrame:
+    """A7 on encoded rows: the number of sets is the sum of the line counts."""
+    return enc.agg(F.sum("n").cast("bigint").alias("n_itemsets"))
+
+
 def encoded_lines(enc: DataFrame) -> DataFrame:
     """``[n, encoded]`` -> text lines ``n<TAB>encoded``."""
     return enc.select(F.concat(F.col("n").cast("string"), F.lit(COUNT_SEPARATOR), "encoded").alias("value"))

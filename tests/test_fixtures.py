@@ -238,3 +238,23 @@ def test_x11_line_counts(spark, tmp_path):
     (tmp_path / "t.txt").write_text("12345\n678910\n1510\n")
     assert B.transaction_count(read_transactions(spark, str(tmp_path / "e.txt"))).first()[0] == 0
     assert B.transaction_count(read_transactions(spark, str(tmp_path / "t.txt"))).first()[0] == 3
+
+
+def test_x3_diffsets(spark):
+    """J5 from tid lists and one level deeper from diffsets (prefix {3})."""
+    from cofreq.operators import vertical as V
+
+    tx = tx_df(spark, X3)
+    v = B.transpose(B.explode_items(tx))
+    pairs = spark.createDataFrame([(1, 3), (3, 4), (2, 5)], "a int, b int")
+    got = {(r["a"], r["b"]): (r["support"], r["diff_size"]) for r in V.diffset_support(pairs, v).collect()}
+    assert got == {(1, 3): (4, 1), (3, 4): (5, 1), (2, 5): (1, 2)}
+    # diffsets relative to P = {3}: d(x) = t(3) minus t(3x)
+    group = spark.createDataFrame(
+        [([3], 1, 4, 0, [1, 4]), ([3], 4, 5, 0, [2]), ([3], 5, 3, 0, [0, 1, 7])],
+        "prefix array<int>, item int, support bigint, block bigint, diff array<bigint>")
+    sib = spark.createDataFrame([([3], 1, 4), ([3], 4, 5), ([3], 1, 5)], "prefix array<int>, a int, b int")
+    ext = {(r["a"], r["b"]): r["support"] for r in V.diffset_extend(group, sib).collect()}
+    assert ext == {(1, 4): 3, (4, 5): 2, (1, 5): 2}
+    inter = V.intersect_tids(spark.createDataFrame([([1, 3, 4],)], "items array<int>"), v).collect()
+    assert [r["tids"] for r in inter] == [[0, 5, 7]]

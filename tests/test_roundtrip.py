@@ -67,3 +67,16 @@ def test_result_table(spark, tmp_path):
     assert as_map(back.where(F.col("kind") == "short")) == as_map(m.short)
     assert as_map(back.where(F.col("kind") == "long")) == as_map(m.long)
     assert as_map(back) == {**as_map(m.short), **as_map(m.long)}
+
+
+def test_encoded_total_and_release(spark, fis):
+    from cofreq.session import drop_intermediate_tables
+
+    enc = W.encode_itemsets(fis, max_sets=4)
+    assert W.encoded_total(enc).first()["n_itemsets"] == fis.count()
+    res = apriori(tx_df(spark, ROWS), 2)
+    n = res.itemsets().count()
+    res.release()
+    assert drop_intermediate_tables(spark) >= 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cofreq_")]
+    assert n == fis.count()
