@@ -84,7 +84,11 @@ def as_basket(data: DataFrame) -> DataFrame:
 
 
 def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Bucket count of the tid-bucketed tables: ``spark.cofreq.buckets`` when
+    set (size it so one bucket of the pruned basket fits a task, e.g. total
+    size / 256 MB), else the session's shuffle partition count."""
+    conf = df.sparkSession.conf
+    return int(conf.get("spark.cofreq.buckets", None) or conf.get("spark.sql.shuffle.partitions"))
 
 
 def _keep_small(df: DataFrame) -> tuple[DataFrame, int]:
