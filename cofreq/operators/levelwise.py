@@ -35,6 +35,30 @@ def extend_occurrences(occ: DataFrame, basket: DataFrame) -> DataFrame:
     )
 
 
+def extend_occurrences_split(occ: DataFrame, basket: DataFrame, hot: DataFrame | None, salts: int = 64) -> DataFrame:
+    """J2 with hot transactions split.
+
+    ``hot`` lists the tids whose item count exceeds the hot limit (at most
+    rows / limit of them, so a broadcast of it has a proven bound).  Other
+    transactions keep the co-bucketed join.  A hot transaction's basket rows
+    are spread over ``salts`` sub-keys by item hash and its occurrence rows are
+    replicated once per sub-key, so its extensions are produced by ``salts``
+    tasks instead of one; every (occurrence, later item) pair still meets
+    exactly once."""
+    if hot is None:
+        return extend_occurrences(occ, basket)
+    h = F.broadcast(hot.select("tid"))
+    cold = extend_occurrences(occ.join(h, "tid", "left_anti"), basket.join(h, "tid", "left_anti"))
+    o = occ.join(h, "tid", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = basket.join(h, "tid", "left_semi").withColumn("_salt", F.pmod(F.hash("item"), F.lit(salts)))
+    o, b = o.alias("o"), b.alias("b")
+    warm = o.join(
+        b,
+        (F.col("o.tid") == F.col("b.tid")) & (F.col("o._salt") == F.col("b._salt")) & (F.col("b.item") > F.col("o.last")),
+    ).select(F.col("o.tid").alias("tid"), F.col("o.sid").alias("sid"), F.col("b.item").alias("item"))
+    return cold.unionByName(warm)
+
+
 def count_extensions(ext: DataFrame) -> DataFrame:
     """A2: support of each (set id, item); Catalyst plans a partial
     (map-side) and a final hash aggregate over fixed-width keys, so a hot key

@@ -25,7 +25,7 @@ from cofreq.operators.basket import explode_items, frequent_items
 from cofreq.operators.levelwise import (
     DEFAULT_GROUP_LIMIT,
     count_extensions,
-    extend_occurrences,
+    extend_occurrences_split,
     filter_min_support,
     level_to_itemsets,
     prefix_group_stats,
@@ -50,6 +50,7 @@ class Levels:
     sizes: list[int] = field(default_factory=list)
     buckets: int = 8
     salts: list[int] = field(default_factory=list)
+    hot: DataFrame | None = None  # tids above the hot-transaction limit
 
     @property
     def depth(self) -> int:
@@ -91,6 +92,16 @@ def _partitions(df: DataFrame) -> int:
     return int(conf.get("spark.cofreq.buckets", None) or conf.get("spark.sql.shuffle.partitions"))
 
 
+def _hot_limit(df: DataFrame) -> int:
+    """Items above which one transaction is split (``spark.cofreq.hotTransactionItems``)."""
+    return int(df.sparkSession.conf.get("spark.cofreq.hotTransactionItems", None) or 100_000)
+
+
+def _hot_salts(df: DataFrame) -> int:
+    """Sub-keys a hot transaction is split into (``spark.cofreq.hotTransactionSplits``)."""
+    return int(df.sparkSession.conf.get("spark.cofreq.hotTransactionSplits", None) or 64)
+
+
 def _keep_small(df: DataFrame) -> tuple[DataFrame, int]:
     """Persist an output-sized table and count it once; the count decides
     both emptiness and whether it may be broadcast.  Its lineage is one
@@ -118,6 +129,15 @@ def first_level(data: DataFrame, min_sup: int) -> Levels:
     level1 = l1.select(F.col("item").cast("bigint").alias("sid"), F.array().cast("array<int>").alias("prefix"),
                        "item", "support")
     res = Levels(basket=pruned, min_sup=min_sup, buckets=n_parts)
+    # hot transactions: an aggregate on the bucketed table (no exchange); at
+    # most rows / limit tids can qualify, so the list has a proven size bound
+    limit = _hot_limit(basket)
+    hot = pruned.groupBy("tid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(limit)).select("tid")
+    hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+    if hot.count() > 0:
+        res.hot = hot
+    else:
+        hot.unpersist()
     res.levels.append(level1)
     res.sizes.append(n1)
     res.salts.append(0)
@@ -140,7 +160,7 @@ def next_level(res: Levels) -> bool:
     if res.sizes[-1] == 0 or (k > 1 and res.sizes[-1] < k + 1):
         # a (k+1)-set needs k+1 frequent k-subsets
         return False
-    ext = extend_occurrences(res.occurrences[k], res.basket)
+    ext = extend_occurrences_split(res.occurrences[k], res.basket, res.hot, _hot_salts(res.basket))
     counts = filter_min_support(count_extensions(ext), res.min_sup).persist(StorageLevel.MEMORY_AND_DISK)
     salt = 0
     while True:

@@ -64,3 +64,20 @@ def test_adaptive_depth_keeps_all(spark):
     m = hybrid_mine(tx, 4, prefix_len=1, group_limit=5, split=True)
     assert m.prefix_len > 1  # groups were too big at depth 1
     assert as_map(m.all()) == brute_force(rows, 4)
+
+
+def test_hot_transactions_are_split(spark):
+    """Transactions above the hot limit take the salted join; the result must
+    not change."""
+    rows = random_rows(5, n=30) + [list(range(1, 9))] * 3
+    tx = tx_df(spark, rows)
+    spark.conf.set("spark.cofreq.hotTransactionItems", "5")
+    spark.conf.set("spark.cofreq.hotTransactionSplits", "3")
+    try:
+        from cofreq.plans.apriori import first_level
+
+        assert first_level(tx, 4).hot is not None
+        assert as_map(apriori(tx, 4).itemsets()) == brute_force(rows, 4)
+    finally:
+        spark.conf.unset("spark.cofreq.hotTransactionItems")
+        spark.conf.unset("spark.cofreq.hotTransactionSplits")
