@@ -280,8 +280,6 @@ def q_grouped_forward_closed(spark, sf_dir):
 def q_grouped_all(spark, sf_dir):
     """F4 grouped engine in ``all`` mode with a group limit low enough that
     the heaviest groups take the level-wise path."""
-    from cofreq.plans.groups import mine_groups  # noqa: F401
-
     c = ctx(spark, sf_dir)
     m = hybrid_mine(c.basket, c.min_sup, prefix_len=1, mode="all", engine="grouped", split=True,
                     max_group_tids=GROUPED_LIMIT)

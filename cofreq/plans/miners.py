@@ -90,13 +90,13 @@ def hybrid_mine(
     short = res.itemsets(1, k)
     if max_len is not None and max_len <= k:
         short = short.where(F.size("items") <= F.lit(max_len))
-        out = MineResult(short, short.limit(0), k)
+        out = MineResult(short, short.where(F.lit(False)), k)
         return out if split else out.all()
     if engine == "grouped":
         from cofreq.plans.groups import mine_groups
 
         if not next_level(res):
-            long = short.limit(0)
+            long = short.where(F.lit(False))
         else:
             groups = prefix_groups(res)
             kw = {} if max_group_tids is None else {"max_group_tids": max_group_tids}
