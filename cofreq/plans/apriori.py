@@ -84,12 +84,18 @@ def as_basket(data: DataFrame) -> DataFrame:
     return explode_items(data) if "items" in data.columns else data.select("tid", "item")
 
 
-def _partitions(df: DataFrame) -> int:
+ROWS_PER_BUCKET = 8_000_000  # (tid, item) rows per bucket of the pruned basket
+
+
+def _buckets(df: DataFrame, n_rows: int) -> int:
     """Bucket count of the tid-bucketed tables: ``spark.cofreq.buckets`` when
-    set (size it so one bucket of the pruned basket fits a task, e.g. total
-    size / 256 MB), else the session's shuffle partition count."""
-    conf = df.sparkSession.conf
-    return int(conf.get("spark.cofreq.buckets", None) or conf.get("spark.sql.shuffle.partitions"))
+    set, else sized from the data (the pruned basket's row count, known from
+    the item supports) and never below the cluster's parallelism."""
+    spark = df.sparkSession
+    fixed = spark.conf.get("spark.cofreq.buckets", None)
+    if fixed:
+        return int(fixed)
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_BUCKET), 1)
 
 
 def _hot_limit(df: DataFrame) -> int:
@@ -123,8 +129,10 @@ def first_level(data: DataFrame, min_sup: int) -> Levels:
     basket = as_basket(data)
     l1, n1 = _keep_small(frequent_items(basket, min_sup))
     pruned = basket.join(_side(l1.select("item"), n1), "item", "left_semi")
-    # tid-bucketed once; every level joins on tid without an exchange
-    n_parts = _partitions(basket)
+    # tid-bucketed once; every level joins on tid without an exchange.  The
+    # pruned basket has exactly sum(support of frequent items) rows.
+    n_rows = int(l1.agg(F.sum("support")).first()[0] or 0) if n1 else 0
+    n_parts = _buckets(basket, n_rows)
     pruned = bucketed_table(pruned.repartition(n_parts, "tid"), "tid", n_parts)
     level1 = l1.select(F.col("item").cast("bigint").alias("sid"), F.array().cast("array<int>").alias("prefix"),
                        "item", "support")

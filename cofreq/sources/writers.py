@@ -58,8 +58,8 @@ def encode_itemsets(fis: DataFrame, max_sets: int = MAX_SETS_PER_LINE) -> DataFr
     ``max_sets`` sets.  Every line starts from the empty set, so lines decode
     independently."""
     sets = fis.select(F.array_sort("items").alias("items"), F.col("support").cast("bigint"))
-    n_parts = int(fis.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = sets.repartitionByRange(n_parts, "items").sortWithinPartitions("items")
+    # no fixed partition count: AQE sizes (coalesces) the range partitions
+    ordered = sets.repartitionByRange("items").sortWithinPartitions("items")
     return ordered.mapInPandas(_encode_partition(max_sets), "n bigint, encoded string")
 
 
