@@ -258,3 +258,20 @@ def test_x3_diffsets(spark):
     assert ext == {(1, 4): 3, (4, 5): 2, (1, 5): 2}
     inter = V.intersect_tids(spark.createDataFrame([([1, 3, 4],)], "items array<int>"), v).collect()
     assert [r["tids"] for r in inter] == [[0, 5, 7]]
+
+
+def test_x1_generate_candidates_occurring(spark, x1):
+    """J1 (re-aimed): pairs of frequent k-sets sharing their first k-1 items,
+    kept when the joined set occurs in some transaction."""
+    from itertools import combinations
+
+    res = first_level(x1, 4)
+    next_level(res)
+    cands = L.generate_candidates(res.occurrence_items(2), res.basket, res.levels[1])
+    got = {tuple(r["prefix"]) + (r["item"],) for r in cands.collect()}
+    freq2 = {tuple(map(int, k.split())) for k, v in brute_force(X1, 4).items() if len(k.split()) == 2}
+    joined = {(a[0], a[1], b[1]) for a in freq2 for b in freq2 if a[0] == b[0] and a[1] < b[1]}
+    occurring = {c for c in joined if any(set(c) <= set(t) for t in X1)}
+    assert got == occurring
+    assert all(c in joined for c in got)
+    assert {c for c in combinations(range(1, 8), 3)} >= got
