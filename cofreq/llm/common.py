@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cofreq.session import ensure_checkpoint_dir
+from cofreq.session import ensure_checkpoint_dir, ship_package
 
 # rows and bytes of an Arrow batch: they bound the Python workers' memory
 ARROW_ROWS = 512
@@ -27,6 +27,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     survives lost executors.  The files belong to the cluster's retention of
     that folder, like checkpoints."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -35,6 +36,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
               rows: int = ARROW_ROWS) -> DataFrame:
     """One output batch for each input batch of at most ``rows`` rows."""
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from cofreq.llm.common import table
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard join of all documents: 3-word shingles, similarity 0.9."""
+    from cofreq.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).select(
+        "doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical multi-length packing of all documents."""
     from cofreq.llm.packing import pack
@@ -43,6 +51,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_language_id, op6_byte_bpe, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
