@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from cofreq.llm.common import table
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the line field's verdict for all documents."""
+    from cofreq.llm.line_crf import fit_from_labels, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_from_labels(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard join of all documents: 3-word shingles, similarity 0.9."""
     from cofreq.llm.jaccard_join import jaccard_components
@@ -51,6 +59,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
