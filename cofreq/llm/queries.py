@@ -59,6 +59,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in all documents."""
+    from cofreq.llm.pii import detect, digest, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return digest(detect(docs, fit(docs)))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding, op9_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
