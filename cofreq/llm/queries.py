@@ -17,6 +17,14 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_from_labels(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every repeated 200-byte string from all documents."""
+    from cofreq.llm.repeats import digest, repeated_spans
+
+    docs = table(spark, sf_dir, "documents")
+    return digest(docs, repeated_spans(docs))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard join of all documents: 3-word shingles, similarity 0.9."""
     from cofreq.llm.jaccard_join import jaccard_components
@@ -67,6 +75,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(detect(docs, fit(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_suffix_dedup, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding, op9_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
