@@ -75,6 +75,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(detect(docs, fit(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_suffix_dedup, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding, op9_pii)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiprobe p-stable search: 20 nearest of every 20th vector."""
+    from cofreq.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_suffix_dedup, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding, op9_pii, op10_nearest)}
 
 ORACLE_SQL: dict[str, str] = {}
