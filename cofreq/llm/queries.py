@@ -58,6 +58,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by the recurrent block labeller."""
+    from cofreq.llm.main_text import extract, fit
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector bin packing of all documents into 24 shards; law: bytes."""
     from cofreq.llm.sharding import vector_shards
@@ -82,6 +90,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_suffix_dedup, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op8_sharding, op9_pii, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_suffix_dedup, op3_ngram_join, op4_packing, op5_language_id, op6_byte_bpe, op7_main_text, op8_sharding, op9_pii, op10_nearest)}
 
 ORACLE_SQL: dict[str, str] = {}
