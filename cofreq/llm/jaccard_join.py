@@ -260,3 +260,17 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     return rows.join(first, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
         "n_links")
+
+
+def keep_first(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near duplicates: the one with the
+    smallest id.  Rows without an id cannot be named and stay, one for each
+    text; of repeated rows one stays."""
+    found = stage(jaccard_components(df, n, num, den, id_col, text_col).select("doc_id", "component_id"), "components")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+    kept = df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).limit(1).count():
+        kept = kept.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+    return kept

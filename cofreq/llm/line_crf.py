@@ -203,24 +203,37 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return fit([r[2].encode("utf-8", "replace") for r in rows], [r[1] == 1 for r in rows])
 
 
+def _verdicts(texts: list[bytes], model: tuple[np.ndarray, np.ndarray], min_share: float):
+    """(base values, base failed, kept, content share) of each text."""
+    w, trans = model
+    base = [base_rules(t) for t in texts]
+    x, n_words, n_lines = line_features(texts)
+    content = viterbi(x @ w, trans, n_lines)
+    owner = np.repeat(np.arange(len(texts)), n_lines)
+    on_content = np.bincount(owner, n_words * content, len(texts))
+    share = on_content / np.maximum(np.bincount(owner, n_words, len(texts)), 1)
+    failed = [b[0] < MIN_WORDS or 100 * b[4] > MAX_REPEAT_PERCENT * b[0] for b in base]
+    return base, failed, [not f and s >= min_share for f, s in zip(failed, share)], share
+
+
+def keep_good(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text",
+              min_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, kept, _ = _verdicts([t or b"" for t in utf8(batch, text_col)], model, min_share)
+        return batch.filter(pa.array(kept, pa.bool_()))
+
+    return map_arrow(df, run, df.schema)
+
+
 def judge(df: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
           min_share: float = CONTENT_SHARE) -> DataFrame:
     """``[doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, content_share]`` for every row."""
-    w, trans = model
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or b"" for t in utf8(batch, "text")]
-        base = [base_rules(t) for t in texts]
-        x, n_words, n_lines = line_features(texts)
-        content = viterbi(x @ w, trans, n_lines)
-        owner = np.repeat(np.arange(len(texts)), n_lines)
-        on_content = np.bincount(owner, n_words * content, len(texts))
-        total = np.bincount(owner, n_words, len(texts))
-        share = on_content / np.maximum(total, 1)
-        failed = [b[0] < MIN_WORDS or 100 * b[4] > MAX_REPEAT_PERCENT * b[0] for b in base]
-        kept = [not f and s >= min_share for f, s in zip(failed, share)]
+        base, failed, kept, share = _verdicts([t or b"" for t in utf8(batch, "text")], model, min_share)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array([b[i] for b in base], pa.int64()) for i in range(5)),
              pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(share, pa.float64())],

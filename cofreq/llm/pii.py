@@ -183,7 +183,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 25, rate: float = 0.3) ->
     s = model.scores(x[held])
     for k in range(len(KINDS)):
         mine = x[held][:, 0] == k
-        for t in np.unique(np.round(s[mine], 3)):
+        for t in np.unique(s[mine]):
             if y[held][mine][s[mine] >= t].mean() >= 0.99:
                 model.threshold[k] = max(float(t), 0.0)
                 break
