@@ -43,6 +43,8 @@ _CLASSES = np.stack([
     _class(_SYMBOLS), _class(b"!?"), _class(b".,;:"), _class(b"0123456789"), _class(bytes(range(65, 91))),
     _class(bytes(range(97, 123))), _class(b"=\"'/\\@_+()[]{}~^`-"), _class(bytes(range(128, 256)))])
 
+N_FEATURES = 1 + len(_CLASSES) + 4 + 8 + 2
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words in 8-word windows that occur at least twice, first ones included
@@ -81,6 +83,8 @@ def base_rules(text: bytes) -> tuple[int, int, int, int, int]:
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, words per line, lines per text) of the non-blank lines."""
+    if not texts:
+        return np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0, int)
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = _BLANK[data] > 0
     starts_word = ~blank

@@ -34,7 +34,7 @@ from cofreq.llm.common import map_arrow, row_sample, utf8
 
 SAMPLE_PAGES = 240  # pages the network is trained on, at most about
 SAMPLE_CHARS = 30_000  # longer pages are not sampled
-PATH_DIM, WORD_DIM, HIDDEN = 96, 32, 16
+PATH_DIM, WORD_DIM, HIDDEN = 256, 24, 12
 
 # fixed values: words of class and id attributes and tags, by what they hold
 BOILERPLATE = """nav navbar navigation menu header masthead topbar footer bottom aside sidebar side rail ad ads advert
@@ -175,7 +175,7 @@ def retemplated(rng: np.random.Generator, pages: list[list]) -> tuple[list, list
         place = (word,) if word in ("nav", "header", "footer", "aside", "form") else ("div", word)
         # a container beside the text, or inside its holder
         base = body if rng.random() < 0.35 else top + wrap
-        inner = (("p",), ("li",), ("div",), ("ul",))[rng.integers(4)]
+        inner = (("p",), ("p",), ("li",), ("div",))[rng.integers(4)]
         for _ in range(int(rng.integers(1, 7))):
             _, text, linked = other[rng.integers(len(other))]
             out.append((base + (place, inner) if rng.random() < 0.7 else base + (place,), text, linked))
@@ -187,7 +187,7 @@ def retemplated(rng: np.random.Generator, pages: list[list]) -> tuple[list, list
         kind = ("h1",) if i == 0 and rng.random() < 0.6 else (("p",), ("p",), ("li",), ("div",), ("h2",))[rng.integers(5)]
         out.append((body + (kind,) if rng.random() < 0.9 else body, text, linked))
         labels.append(1)
-        if rng.random() < 0.08:
+        if rng.random() < 0.12:
             boiler()
     for _ in range(int(rng.integers(0, 4))):
         boiler()
@@ -273,7 +273,7 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: list[list], epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 3) -> BiLstm:
+def train(pages: list[list], epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 3) -> BiLstm:
     """Fit on the weak labels of ``pages`` and of re-templated forms of them."""
     net = BiLstm(PATH_DIM + WORD_DIM + 5)
     pages = [p for p in pages if p]
@@ -282,8 +282,8 @@ def train(pages: list[list], epochs: int = 12, batch: int = 32, rate: float = 0.
         return net
     rng = np.random.default_rng(seed)
     data = [(p, [weak_label(b) for b in p]) for p in pages]
-    data += [retemplated(rng, pages) for _ in range(max(300, 2 * len(pages)))]
-    data = [(features(b)[:400], np.array(y[:400])) for b, y in data]
+    data += [retemplated(rng, pages) for _ in range(max(500, 2 * len(pages)))]
+    data = [(features(b)[:120], np.array(y[:120])) for b, y in data]
     data.sort(key=lambda d: len(d[0]))
     groups = [data[i:i + batch] for i in range(0, len(data), batch)]
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}

@@ -260,10 +260,10 @@ def redact(df: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     ).otherwise(F.concat(out, F.array(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
-    left = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_spans", lambda c: c["end"]))
-    right = F.concat(F.transform("_spans", lambda c: c["start"]), F.array(F.length(text).cast("bigint")))
+    left = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__cofreq_spans", lambda c: c["end"]))
+    right = F.concat(F.transform("__cofreq_spans", lambda c: c["start"]), F.array(F.length(text).cast("bigint")))
     kept = F.zip_with(left, right, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    labels = F.transform("_spans", lambda c: F.element_at(names, c["kind"] + 1))
+    labels = F.transform("__cofreq_spans", lambda c: F.element_at(names, c["kind"] + 1))
     built = F.array_join(F.transform(kept, lambda k, i: F.concat(k, F.coalesce(F.get(labels, i), F.lit("")))), "")
-    marked = df.withColumn("_spans", F.when(text.rlike(r"[0-9@]|[(\[]at[)\]]| at "), merged))
-    return marked.withColumn(text_col, F.when(F.size("_spans") > 0, built).otherwise(text)).drop("_spans")
+    marked = df.withColumn("__cofreq_spans", F.when(text.rlike(r"[0-9@]|[(\[]at[)\]]| at "), merged))
+    return marked.withColumn(text_col, F.when(F.size("__cofreq_spans") > 0, built).otherwise(text)).drop("__cofreq_spans")
