@@ -43,4 +43,5 @@ def tid_block(tid: str | Column = "tid", block_size: int = 1 << 16) -> Column:
     """Tid-range block of a transaction id.  Vertical tid lists are stored per
     (item, block) so that no single row grows with the data: a hot item that
     occurs in a third of all transactions is still split into bounded rows."""
-    return F.floor(_c(tid) / F.lit(block_size)).cast("bigint")
+    t = _c(tid).cast("bigint")
+    return F.call_function("div", t - F.pmod(t, F.lit(block_size).cast("bigint")), F.lit(block_size).cast("bigint"))

@@ -16,7 +16,7 @@ def baskets(df: DataFrame, tid: str = "tid", item: str = "item") -> DataFrame:
     """Long table -> ``[tid, items]`` with items sorted and distinct.
     A transaction's array is bounded by its own item count."""
     return df.groupBy(F.col(tid).alias("tid")).agg(
-        F.array_sort(F.collect_set(F.col(item).cast("int"))).alias("items")
+        F.array_sort(F.collect_set(item)).alias("items")
     )
 
 
@@ -49,7 +49,7 @@ def prune_items(basket: DataFrame, keep: DataFrame) -> DataFrame:
 def restrict_items(tx: DataFrame, allowed: list[int]) -> DataFrame:
     """P2, array form for a fixed, small item list (the reference's
     restricted line parsing)."""
-    lit = F.array(*[F.lit(int(i)) for i in allowed]).cast("array<int>")
+    lit = F.array(*[F.lit(int(i)) for i in allowed]).cast("array<bigint>")
     return tx.withColumn("items", F.array_sort(F.array_intersect("items", lit)))
 
 

@@ -134,7 +134,11 @@ def forward_closed_rule(
             .select("group", F.array().cast("array<int>").alias("seg"), "ylast", "tlen")
         )
         breakers = breakers.unionByName(b0)
-    breakers = materialize(breakers)
+    # one row for each (group, seg): the earliest breaker, and the earliest
+    # among those that may still grow
+    cap = F.lit(max_size if max_size is not None else 1 << 30)
+    breakers = materialize(breakers.groupBy("group", "seg").agg(
+        F.min(F.when(F.col("tlen") < cap, F.col("ylast"))).alias("earliest")))
 
     # every initial segment of every member, with the rank that follows it
     start = F.lit(break_from)
@@ -146,16 +150,6 @@ def forward_closed_rule(
         F.slice("rs", 1, F.col("d")).alias("seg"),
         F.when(F.col("d") < F.size("rs"), F.element_at("rs", F.col("d") + 1)).alias("nxt"),
     )
-    s = segs.alias("s")
-    b = breakers.alias("b")
-    cap = F.lit(max_size if max_size is not None else 1 << 30)
-    hit = (
-        (F.col("s.group") == F.col("b.group"))
-        & (F.col("s.seg") == F.col("b.seg"))
-        & (
-            (F.col("s.nxt").isNull() & (F.col("s._len") < cap))
-            | (F.col("s.nxt").isNotNull() & (F.col("b.ylast") < F.col("s.nxt")) & (F.col("b.tlen") < cap))
-        )
-    )
-    killed = s.join(b, hit, "left_semi").select("group", "items").distinct()
+    hit = (F.col("nxt").isNull() & (F.col("_len") < cap)) | (F.col("earliest") < F.col("nxt"))
+    killed = segs.join(breakers, ["group", "seg"]).where(hit).select("group", "items").distinct()
     return ranked.join(killed, ["group", "items"], "left_anti").select("group", "items", "support")

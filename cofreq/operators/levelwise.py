@@ -38,8 +38,8 @@ def extend_occurrences(occ: DataFrame, basket: DataFrame) -> DataFrame:
 def extend_occurrences_split(occ: DataFrame, basket: DataFrame, hot: DataFrame | None, salts: int = 64) -> DataFrame:
     """J2 with hot transactions split.
 
-    ``hot`` lists the tids whose item count exceeds the hot limit (at most
-    rows / limit of them, so a broadcast of it has a proven bound).  Other
+    ``hot`` lists the tids whose item count exceeds the hot limit (with a
+    broadcast hint if it has been counted and is small).  Other
     transactions keep the co-bucketed join.  A hot transaction's basket rows
     are spread over ``salts`` sub-keys by item hash and its occurrence rows are
     replicated once per sub-key, so its extensions are produced by ``salts``
@@ -47,7 +47,7 @@ def extend_occurrences_split(occ: DataFrame, basket: DataFrame, hot: DataFrame |
     exactly once."""
     if hot is None:
         return extend_occurrences(occ, basket)
-    h = F.broadcast(hot.select("tid"))
+    h = hot
     cold = extend_occurrences(occ.join(h, "tid", "left_anti"), basket.join(h, "tid", "left_anti"))
     o = occ.join(h, "tid", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     b = basket.join(h, "tid", "left_semi").withColumn("_salt", F.pmod(F.hash("item"), F.lit(salts)))

@@ -21,12 +21,20 @@ def frequent_itemsets(
     mode: ``all`` | ``closed`` | ``maximal`` | ``forward_closed``
     method: ``hybrid`` (level-wise then per-prefix-group), ``vertical``
     (tid-list seeds then per-prefix-group) or ``apriori`` (level-wise only).
-    Returns ``[items: array<int>, support: bigint]``, items ascending."""
+    Returns ``[items, support: bigint]`` (items of the input's item type), items ascending."""
     from pyspark.sql import functions as F
 
     from cofreq.operators.condense import closed_only, maximal_only
     from cofreq.plans.apriori import apriori
-    from cofreq.plans.miners import hybrid_mine, vertical_mine
+    from cofreq.plans.miners import check, hybrid_mine, vertical_mine
+
+    check(min_sup, mode, ("all", "closed", "maximal", "forward_closed"))
+    if method not in ("hybrid", "vertical", "apriori"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "apriori" and (kwargs or mode == "forward_closed"):
+        raise ValueError("method 'apriori' has no prefix groups: no further options and no forward_closed")
+    if prefix_len < 1 or min_len < 1 or (max_len is not None and max_len < 1):
+        raise ValueError("prefix_len, min_len and max_len must be at least 1")
 
     if mode in ("all", "closed", "maximal"):
         # closedness/maximality need the immediate supersets: mine one more level
@@ -42,13 +50,9 @@ def frequent_itemsets(
             fis = closed_only(fis)
         elif mode == "maximal":
             fis = maximal_only(fis)
-    elif mode == "forward_closed":
-        if method == "vertical":
-            fis = vertical_mine(data, min_sup, prefix_len=prefix_len, mode=mode, max_len=max_len, **kwargs)
-        else:
-            fis = hybrid_mine(data, min_sup, prefix_len=prefix_len, mode=mode, max_len=max_len, **kwargs)
     else:
-        raise ValueError(f"unknown mode {mode!r}")
+        mine = vertical_mine if method == "vertical" else hybrid_mine
+        fis = mine(data, min_sup, prefix_len=prefix_len, mode=mode, max_len=max_len, **kwargs)
     if max_len is not None:
         fis = fis.where(F.size("items") <= F.lit(max_len))
     if min_len > 1:

@@ -51,6 +51,7 @@ class Levels:
     buckets: int = 8
     salts: list[int] = field(default_factory=list)
     hot: DataFrame | None = None  # tids above the hot-transaction limit
+    exhausted: bool = False  # the level after the newest one is known to be empty
 
     @property
     def depth(self) -> int:
@@ -133,17 +134,26 @@ def first_level(data: DataFrame, min_sup: int) -> Levels:
     # pruned basket has exactly sum(support of frequent items) rows.
     n_rows = int(l1.agg(F.sum("support")).first()[0] or 0) if n1 else 0
     n_parts = _buckets(basket, n_rows)
-    pruned = bucketed_table(pruned.repartition(n_parts, "tid"), "tid", n_parts)
-    level1 = l1.select(F.col("item").cast("bigint").alias("sid"), F.array().cast("array<int>").alias("prefix"),
+    # a repeated (tid, item) row counts once: removed inside the exchange by
+    # tid; if there were any, the item supports are taken again
+    pruned = bucketed_table(pruned.repartition(n_parts, "tid").dropDuplicates(["tid", "item"]), "tid", n_parts)
+    if pruned.count() != n_rows:
+        l1.unpersist()
+        l1, n1 = _keep_small(frequent_items(pruned, min_sup))
+        pruned = bucketed_table(pruned.join(_side(l1.select("item"), n1), "item", "left_semi").repartition(n_parts, "tid"),
+                                "tid", n_parts)
+    item_type = pruned.schema["item"].dataType.simpleString()
+    level1 = l1.select(F.col("item").cast("bigint").alias("sid"), F.array().cast(f"array<{item_type}>").alias("prefix"),
                        "item", "support")
     res = Levels(basket=pruned, min_sup=min_sup, buckets=n_parts)
-    # hot transactions: an aggregate on the bucketed table (no exchange); at
-    # most rows / limit tids can qualify, so the list has a proven size bound
+    # hot transactions: an aggregate on the bucketed table (no exchange); the
+    # list is counted, and broadcast only if it is small
     limit = _hot_limit(basket)
     hot = pruned.groupBy("tid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(limit)).select("tid")
     hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
-    if hot.count() > 0:
-        res.hot = hot
+    n_hot = hot.count()
+    if n_hot > 0:
+        res.hot = _side(hot.select("tid"), n_hot)
     else:
         hot.unpersist()
     res.levels.append(level1)
@@ -166,7 +176,8 @@ def next_level(res: Levels) -> bool:
     """Add level k+1; returns False when it is empty."""
     k = res.depth
     if res.sizes[-1] == 0 or (k > 1 and res.sizes[-1] < k + 1):
-        # a (k+1)-set needs k+1 frequent k-subsets
+        # a (k+1)-set needs k+1 frequent k-subsets (levels are always whole)
+        res.exhausted = True
         return False
     ext = extend_occurrences_split(res.occurrences[k], res.basket, res.hot, _hot_salts(res.basket))
     counts = filter_min_support(count_extensions(ext), res.min_sup).persist(StorageLevel.MEMORY_AND_DISK)
@@ -179,6 +190,7 @@ def next_level(res: Levels) -> bool:
         if n == 0:
             level.unpersist()
             counts.unpersist()
+            res.exhausted = True
             return False
         if int(stats["ids"]) == n:
             break
@@ -191,9 +203,16 @@ def next_level(res: Levels) -> bool:
     occ_next = ext.join(keys, ["sid", "item"], "left_semi").select(
         "tid", child_id("sid", "item", salt).alias("sid"), F.col("item").alias("last")
     )
-    # written bucketed like the basket: no exchange at the next level, and
-    # the lineage is cut here
-    res.occurrences[k + 1] = bucketed_table(occ_next, "tid", res.buckets)
+    # written bucketed by tid: the lineage is cut here.  The bucket count is
+    # that of the basket, or a multiple when the level is larger, so that the
+    # next join needs no exchange of the larger side.
+    rows = int(counts.agg(F.sum("support")).first()[0])
+    if n > BROADCAST_MAX_ROWS or rows > 4 * ROWS_PER_BUCKET * res.buckets:
+        buckets = res.buckets * max(1, -(-rows // (ROWS_PER_BUCKET * res.buckets)))
+        occ_next = occ_next.repartition(buckets, "tid")
+    else:
+        buckets = res.buckets
+    res.occurrences[k + 1] = bucketed_table(occ_next, "tid", buckets)
     counts.unpersist()
     # only the newest occurrences are needed from here on
     res.occurrences.pop(k, None)
@@ -202,6 +221,8 @@ def next_level(res: Levels) -> bool:
 
 def apriori(data: DataFrame, min_sup: int, max_len: int | None = None) -> Levels:
     """all frequent itemsets up to ``max_len`` (None: until a level is empty)."""
+    if min_sup < 1:
+        raise ValueError(f"min_sup must be at least 1, not {min_sup}")
     res = first_level(data, min_sup)
     while max_len is None or res.depth < max_len:
         if not next_level(res):
@@ -210,14 +231,17 @@ def apriori(data: DataFrame, min_sup: int, max_len: int | None = None) -> Levels
 
 
 def adaptive_apriori(
-    data: DataFrame, min_sup: int, prefix_len: int, group_limit: int = DEFAULT_GROUP_LIMIT
+    data: DataFrame, min_sup: int, prefix_len: int, group_limit: int | None = DEFAULT_GROUP_LIMIT
 ) -> Levels:
     """F1 + F7: run levels 1..p, then keep deepening while some prefix group
     of the newest level is above ``group_limit`` tids (sum of its extensions'
-    supports).  The decision is one small aggregate over all groups."""
+    supports; None: never).  The decision is one small aggregate over all
+    groups."""
     res = first_level(data, min_sup)
     while True:
         k = res.depth
+        if k >= prefix_len and group_limit is None:
+            break
         if k >= prefix_len:
             stats = prefix_group_stats(res.levels[-1], group_limit).first()
             if not stats or (stats["n_large_groups"] or 0) == 0:

@@ -6,20 +6,23 @@ Every query reads the whole TPC-H-style tables and builds the basket of
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cofreq.functions.itemsets import itemset_string
+from cofreq.functions.itemsets import itemset_string, tid_block
 from cofreq.operators import basket as B
 from cofreq.operators import condense as C
 from cofreq.operators import levelwise as L
 from cofreq.operators import vertical as V
+from cofreq.plans.api import frequent_itemsets
 from cofreq.plans.apriori import apriori, first_level, next_level
 from cofreq.plans.miners import hybrid_mine, prefix_groups as _prefix_groups, vertical_mine
 from cofreq.sources import readers as R
 from cofreq.sources import writers as W
+from cofreq.session import ensure_checkpoint_dir
 from cofreq.sources.basket import order_basket
 
 SUPPORT_DIVISOR = 150
@@ -29,6 +32,8 @@ GROUP_LIMIT_LOW = 2_000
 STATS_LIMIT = 3_000
 GROUPED_LIMIT = 10_000
 
+_KEPT: list[DataFrame] = []
+
 
 @dataclass
 class Ctx:
@@ -39,10 +44,11 @@ class Ctx:
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> Ctx:
-    # queries are independent: release what earlier queries kept in memory
-    # (anything still referenced is rebuilt from its lineage or written tables)
-    spark.catalog.clearCache()
+    # queries are independent: release the basket an earlier one kept
+    while _KEPT:
+        _KEPT.pop().unpersist()
     basket = order_basket(spark, sf_dir).persist()
+    _KEPT.append(basket)
     tx = B.baskets(basket)  # nested form, only for the parsing/length queries
     n = basket.select("tid").distinct().count()
     return Ctx(basket, tx, n, -(-n // SUPPORT_DIVISOR))
@@ -101,10 +107,10 @@ def q_transpose(spark, sf_dir):
 
 def q_merge_tids(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    # partial lists as separate splits would produce them: part = tid % 4
+    # partial lists as separate splits would produce them, each within a block
     partial = (
-        c.basket.withColumn("part", (F.col("tid") % 4).cast("int"))
-        .groupBy("item", "part").agg(F.collect_list("tid").alias("tids"))
+        c.basket.withColumn("part", (F.col("tid") % 4).cast("int")).withColumn("block", tid_block("tid", BLOCK))
+        .groupBy("item", "part", "block").agg(F.collect_list("tid").alias("tids"))
     )
     m = B.merge_tids(partial, ("item",), BLOCK)
     return m.select("item", "block", F.size("tids").cast("bigint").alias("support"), _tids().alias("tids"))
@@ -249,9 +255,16 @@ def q_all_results(spark, sf_dir):
 
 
 def q_encode_short_itemsets(spark, sf_dir):
+    """K2 for the sets of every length."""
     c = ctx(spark, sf_dir)
-    res = _two_levels(c)
-    return W.encode_short_itemsets(res.levels[1])
+    return W.encode_short_itemsets(W.split_prefix(apriori(c.basket, c.min_sup).itemsets()), 10)
+
+
+def q_encoded_lines(spark, sf_dir):
+    """K1, the text itself, with one set to a line."""
+    c = ctx(spark, sf_dir)
+    fis = apriori(c.basket, c.min_sup).itemsets()
+    return W.encoded_lines(W.encode_itemsets(fis, 1))
 
 
 def q_encode_decode_roundtrip(spark, sf_dir):
@@ -279,13 +292,120 @@ def q_grouped_forward_closed(spark, sf_dir):
 
 def q_grouped_all(spark, sf_dir):
     """F4 grouped engine in ``all`` mode with a group limit low enough that
-    the heaviest groups take the level-wise path."""
+    the heaviest groups are grown from their blocked tid lists."""
     c = ctx(spark, sf_dir)
     m = hybrid_mine(c.basket, c.min_sup, prefix_len=1, mode="all", engine="grouped", split=True,
                     max_group_tids=GROUPED_LIMIT)
     return _text(m.all())
 
 
+def q_grouped_all_heavy(spark, sf_dir):
+    """F4 with every group above the limit."""
+    c = ctx(spark, sf_dir)
+    return _text(hybrid_mine(c.basket, c.min_sup, prefix_len=1, mode="all", engine="grouped", max_group_tids=0))
+
+
+def q_grouped_vertical_forward_closed(spark, sf_dir):
+    """F5 grouped, every group above the limit."""
+    c = ctx(spark, sf_dir)
+    return _text(vertical_mine(c.basket, c.min_sup, prefix_len=3, mode="forward_closed", engine="grouped", max_group_tids=0))
+
+
+def q_duplicate_rows(spark, sf_dir):
+    """A long basket that holds every row twice: a duplicated item counts once."""
+    c = ctx(spark, sf_dir)
+    return _text(apriori(c.basket.unionAll(c.basket), c.min_sup).itemsets())
+
+
+def q_facade_closed_max_len(spark, sf_dir):
+    """F8 with P4: closed sets of at most two items."""
+    c = ctx(spark, sf_dir)
+    return _text(frequent_itemsets(c.basket, c.min_sup, mode="closed", method="vertical", max_len=2))
+
+
+def q_diffset_extend(spark, sf_dir):
+    """J5 below the first level: in the group of every item, the sets of three
+    items from the diffsets of its frequent pairs."""
+    c = ctx(spark, sf_dir)
+    res = _two_levels(c)
+    level = res.levels[1].select(F.col("prefix")[0].alias("p"), "item", "support")
+    lists = B.transpose(c.basket, BLOCK)
+    own = lists.select(F.col("item").alias("p"), "block", F.col("tids").alias("tp"))
+    other = lists.select("item", "block", F.col("tids").alias("tx"))
+    group = level.join(own, "p").join(other, ["item", "block"], "left").select(
+        F.array("p").alias("prefix"), "item", "support", "block",
+        F.array_except("tp", F.coalesce("tx", F.array().cast("array<bigint>"))).alias("diff"))
+    a = level.select("p", F.col("item").alias("a"))
+    b = level.select("p", F.col("item").alias("b"))
+    both = level.select(F.col("p").alias("a"), F.col("item").alias("b"))  # pairs of siblings that are frequent
+    pairs = a.join(both, "a").join(b, ["p", "b"]).select(F.array("p").alias("prefix"), "a", "b")
+    found = V.diffset_extend(group, pairs).where(F.col("support") > 0)
+    return found.select(itemset_string(F.concat("prefix", F.array("a", "b"))).alias("itemset"), "support")
+
+
+def _deep(spark, sf_dir):
+    """A denser basket: items are the low digits of what an order holds, so
+    that sets of five and more items are frequent."""
+    c = ctx(spark, sf_dir)
+    dense = c.basket.select("tid", F.when(F.col("item") < 100, F.col("item") % 4).when(F.col("item") < 200, 10 + F.col("item") % 3)
+                            .when(F.col("item") < 300, 20 + F.col("item") % 2).otherwise(30 + F.col("item") % 2).alias("item"))
+    return dense, -(-c.n // 50)
+
+
+def q_apriori_deep(spark, sf_dir):
+    return _text(apriori(*_deep(spark, sf_dir)).itemsets())
+
+
+def q_vertical_deep(spark, sf_dir):
+    return _text(vertical_mine(*_deep(spark, sf_dir)))
+
+
+def q_closed_deep(spark, sf_dir):
+    return _text(C.closed_only(apriori(*_deep(spark, sf_dir)).itemsets()))
+
+
+def q_forward_closed_deep(spark, sf_dir):
+    return _text(hybrid_mine(*_deep(spark, sf_dir), prefix_len=1, mode="forward_closed", engine="grouped"))
+
+
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+
+
+def q_transaction_files(spark, sf_dir):
+    """Transactions written as text and read back, with fresh ids."""
+    c = ctx(spark, sf_dir)
+    path = _scratch(spark)
+    c.tx.select(itemset_string("items").alias("value")).write.text(path)
+    got = R.read_transactions(spark, path)
+    return got.groupBy(itemset_string("items").alias("itemset")).agg(F.count_distinct("tid").alias("n"))
+
+
+def q_itemset_table_files(spark, sf_dir):
+    """K4, S3: the table of sets written and read back."""
+    c = ctx(spark, sf_dir)
+    path = _scratch(spark)
+    W.write_itemset_table(apriori(c.basket, c.min_sup).itemsets(), path)
+    return _text(R.read_itemset_table(spark, path))
+
+
+def q_vertical_files(spark, sf_dir):
+    """Tid lists written and read back."""
+    c = ctx(spark, sf_dir)
+    path = _scratch(spark)
+    W.write_vertical(B.transpose(c.basket, BLOCK), path)
+    return R.read_vertical(spark, path, BLOCK).select("item", "block", "support", _tids().alias("tids"))
+
+
+def q_result_files(spark, sf_dir):
+    """K6: the short and the long result as one table, read back."""
+    c = ctx(spark, sf_dir)
+    path = _scratch(spark)
+    m = hybrid_mine(c.basket, c.min_sup, prefix_len=2, mode="all", split=True)
+    W.write_result(m.short, m.long, path)
+    return R.read_result(spark, path).select(itemset_string("items").alias("itemset"), "support", F.col("kind").cast("string"))
+
+
 QUERIES = {
     "parse_transactions": q_parse_transactions,
     "transaction_count": q_transaction_count,
@@ -320,4 +440,18 @@ QUERIES = {
     "vertical_forward_closed": q_vertical_forward_closed,
     "grouped_forward_closed": q_grouped_forward_closed,
     "grouped_all": q_grouped_all,
+    "grouped_all_heavy": q_grouped_all_heavy,
+    "grouped_vertical_forward_closed": q_grouped_vertical_forward_closed,
+    "duplicate_rows": q_duplicate_rows,
+    "facade_closed_max_len": q_facade_closed_max_len,
+    "diffset_extend": q_diffset_extend,
+    "apriori_deep": q_apriori_deep,
+    "vertical_deep": q_vertical_deep,
+    "closed_deep": q_closed_deep,
+    "forward_closed_deep": q_forward_closed_deep,
+    "encoded_lines": q_encoded_lines,
+    "transaction_files": q_transaction_files,
+    "itemset_table_files": q_itemset_table_files,
+    "vertical_files": q_vertical_files,
+    "result_files": q_result_files,
 }

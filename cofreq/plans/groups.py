@@ -2,152 +2,142 @@
 
 A prefix group is ``[prefix, item, support, block, tids]``: the frequent
 one-item extensions of one prefix with their tid lists, blocked.  Groups whose
-total tid count is at most ``max_group_tids`` are mined depth-first inside
-one ``applyInPandas`` call each (groups run in parallel; Arrow batches in,
-itemsets out).  Heavier groups are never shipped to one task: they are mined
-level-wise with joins and the same output rule is applied declaratively."""
+total tid count is at most ``max_group_tids`` are mined inside a task: their
+tid lists become the rows of one bit matrix, and all extensions of a set are
+intersected with it in one vector operation.  Heavier groups are never shipped
+to one task: they are grown from their blocked tid lists (``plans.vertical``),
+where a support is a sum over blocks.  Both ways enumerate every frequent set
+of the group; the ``forward_closed`` output rule is applied afterwards, to the
+sets of all groups at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.operators.basket import transpose
 from cofreq.operators.condense import extension_ranks, forward_closed_rule
-from cofreq.operators.vertical import intersect_tids
+from cofreq.plans.vertical import grow, seed_groups
+from cofreq.session import materialize
 
 DEFAULT_MAX_GROUP_TIDS = 20_000_000
-RESULT_SCHEMA = "items array<int>, support bigint"
-
-
-def _depth_first(prefix: list[int], exts: list[tuple[int, int, np.ndarray]], min_sup: int,
-                 max_len: int | None, closed_rule: bool) -> tuple[list[list[int]], list[int]]:
-    """Depth-first search of one group.  ``exts`` is the group's extension
-    list in its fixed order with full tid arrays.  Below the first level the
-    arrays are diffsets relative to the parent set.  With ``closed_rule`` the
-    output follows the reference miner: a set is kept unless a later sibling
-    keeps its support (checked only while it may still grow), and once a
-    sibling keeps its parent's support the later siblings are skipped."""
-    limit = max_len if max_len is not None else 1 << 30
-    out_items: list[list[int]] = []
-    out_sup: list[int] = []
-    # frames: (set so far, sibling list, position, sibling lists hold diffsets?)
-    stack = [(list(prefix), exts, 0, False)]
-    while stack:
-        base, sibs, pos, diff_mode = stack.pop()
-        if pos >= len(sibs):
-            continue
-        item, sup, tids = sibs[pos]
-        cur = base + [item]
-        growable = len(cur) < limit and pos < len(sibs) - 1
-        children = []
-        keeps_support = False
-        if growable:
-            for other, _osup, otids in sibs[pos + 1:]:
-                # diffset of cur ∪ {other} relative to cur
-                d = np.setdiff1d(otids, tids, assume_unique=True) if diff_mode else \
-                    np.setdiff1d(tids, otids, assume_unique=True)
-                s = sup - d.size
-                if d.size == 0:
-                    keeps_support = True
-                if s >= min_sup:
-                    children.append((other, s, d))
-        if not closed_rule or not growable or not keeps_support:
-            out_items.append(sorted(cur))
-            out_sup.append(sup)
-        stop_here = closed_rule and diff_mode and len(cur) < limit and tids.size == 0
-        if not stop_here:
-            stack.append((base, sibs, pos + 1, diff_mode))
-        if children:
-            stack.append((cur, children, 0, True))
-    return out_items, out_sup
-
-
-def _group_miner(min_sup: int, max_len: int | None, closed_rule: bool):
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame({"items": [], "support": []})
-        prefix = [int(x) for x in pdf["prefix"].iloc[0]]
-        per_item: dict[int, list[np.ndarray]] = {}
-        for item, tids in zip(pdf["item"], pdf["tids"]):
-            per_item.setdefault(int(item), []).append(np.asarray(tids, dtype=np.int64))
-        exts = []
-        for item, parts in per_item.items():
-            t = np.unique(np.concatenate(parts))
-            exts.append((item, int(t.size), t))
-        exts.sort(key=lambda e: (e[1], e[0]))  # ascending support, ties by item
-        items, sups = _depth_first(prefix, exts, min_sup, max_len, closed_rule)
-        return pd.DataFrame({"items": items, "support": np.asarray(sups, dtype=np.int64)})
-
-    return mine
+ROWS_PER_FRAME = 50_000  # sets handed back to Spark at once
+
+
+def bit_matrix(tid_lists: list[np.ndarray]) -> np.ndarray:
+    """One row of bits for each tid list, over the tids that occur."""
+    universe = np.unique(np.concatenate(tid_lists))
+    rows = np.zeros((len(tid_lists), len(universe)), bool)
+    for row, tids in zip(rows, tid_lists):
+        row[np.searchsorted(universe, tids)] = True
+    return np.packbits(rows, axis=1)
+
+
+def frequent_sets(items: list[int], bits: np.ndarray, min_sup: int, max_items: int) -> Iterator[tuple[list[int], int]]:
+    """Every frequent non-empty set of ``items`` (bit rows in the same order)
+    with its support, at most ``max_items`` long."""
+    support = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    keep = support >= min_sup
+    pending = [([], np.asarray(items)[keep], bits[keep], support[keep])]
+    while pending:
+        chosen, names, rows, counts = pending.pop()
+        for at in range(len(names)):
+            grown = [*chosen, int(names[at])]
+            yield grown, int(counts[at])
+            if len(grown) < max_items and at + 1 < len(names):
+                shared = rows[at + 1:] & rows[at]
+                total = np.bitwise_count(shared).sum(axis=1, dtype=np.int64)
+                often = total >= min_sup
+                if often.any():
+                    pending.append((grown, names[at + 1:][often], shared[often], total[often]))
+
+
+def _mine_sorted(min_sup: int, max_len: int | None):
+    """Mines a partition sorted by prefix, one group after the other."""
+
+    def one(group: pd.DataFrame) -> Iterator[tuple[list[int], int]]:
+        prefix = [int(x) for x in group["prefix"].iloc[0]]
+        room = (1 << 30) if max_len is None else max_len - len(prefix)
+        if room < 1:
+            return
+        items, lists = [], []
+        for item, part in group.groupby("item"):
+            items.append(int(item))
+            lists.append(np.concatenate([np.asarray(t, np.int64) for t in part["tids"]]))
+        for chosen, support in frequent_sets(items, bit_matrix(lists), min_sup, room):
+            yield sorted(prefix + chosen), support
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found_items: list[list[int]] = []
+        found_support: list[int] = []
+        for group in _groups(frames):
+            for items, support in one(group):
+                found_items.append(items)
+                found_support.append(support)
+                if len(found_items) >= ROWS_PER_FRAME:
+                    yield pd.DataFrame({"items": found_items, "support": found_support})
+                    found_items, found_support = [], []
+        if found_items:
+            yield pd.DataFrame({"items": found_items, "support": found_support})
+
+    return run
+
+
+def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one prefix at a time; a group may span frames."""
+    held: list[pd.DataFrame] = []
+    name = None
+    for frame in frames:
+        for key, part in frame.groupby(frame["prefix"].map(tuple), sort=False):
+            if held and key != name:
+                yield pd.concat(held)
+                held = []
+            name = key
+            held.append(part)
+    if held:
+        yield pd.concat(held)
 
 
 def group_totals(groups: DataFrame) -> DataFrame:
-    """A5 per group: total tids over all extensions."""
-    return groups.groupBy("prefix").agg(F.sum(F.size("tids")).cast("bigint").alias("total"))
+    """A5 per group: total tids over all extensions, from their supports."""
+    return groups.select("prefix", "item", "support").distinct().groupBy("prefix").agg(
+        F.sum("support").cast("bigint").alias("total"))
 
 
 def mine_groups(groups: DataFrame, min_sup: int, mode: str = "forward_closed", max_len: int | None = None,
-                levels=None, max_group_tids: int = DEFAULT_MAX_GROUP_TIDS) -> DataFrame:
+                max_group_tids: int = DEFAULT_MAX_GROUP_TIDS, totals: DataFrame | None = None,
+                pairs: DataFrame | None = None) -> DataFrame:
     """F4 over all groups -> ``[items, support]`` (sets longer than the prefix).
 
-    ``levels`` (the level-wise state positioned at prefix length + 1) lets
-    heavy groups continue level-wise; without it every group must be light."""
+    ``totals`` (``[prefix, total]``) saves deriving the group sizes; ``pairs``
+    (``[a, b]``, a < b) may list the item pairs that can occur together in a
+    frequent set, which heavy groups use to skip hopeless pairs of siblings."""
     if mode not in ("all", "forward_closed"):
         raise ValueError(f"unknown mode {mode!r}")
-    totals = group_totals(groups)
-    light_keys = totals.where(F.col("total") <= F.lit(max_group_tids)).select("prefix")
-    heavy_keys = totals.where(F.col("total") > F.lit(max_group_tids)).select("prefix")
-    light = groups.join(light_keys, "prefix", "left_semi")
-    mined = light.select("prefix", "item", "tids").groupBy("prefix").applyInPandas(
-        _group_miner(min_sup, max_len, mode == "forward_closed"), RESULT_SCHEMA
-    )
-    if levels is None:
-        return mined
-    heavy = _mine_heavy(levels, heavy_keys, min_sup, mode, max_len)
-    return mined.unionByName(heavy)
-
-
-def _mine_heavy(levels, heavy_keys: DataFrame, min_sup: int, mode: str, max_len: int | None) -> DataFrame:
-    """Heavy groups: continue the level-wise search on their occurrences only,
-    then apply the output rule with the groups' own extension order."""
-    from cofreq.plans.apriori import next_level
-    from cofreq.plans.miners import _group_extensions, _members
-
-    k = levels.depth - 1  # group prefix length
-    if levels.sizes and levels.sizes[-1] == 0:
-        return heavy_keys.sparkSession.createDataFrame([], RESULT_SCHEMA)
-    # keep only the heavy groups' sets and occurrences (by set id)
-    heavy_level = levels.levels[-1].join(heavy_keys, "prefix", "left_semi").persist()
-    levels.levels[-1] = heavy_level
-    levels.sizes[-1] = heavy_level.count()
-    occ = levels.occurrences[levels.depth]
-    levels.occurrences[levels.depth] = occ.join(heavy_level.select("sid"), "sid", "left_semi")
-    first_new = levels.depth
-    while (max_len is None or levels.depth < max_len) and next_level(levels):
-        pass
-    from functools import reduce
-
-    from cofreq.operators.levelwise import level_to_itemsets
-
-    parts = [level_to_itemsets(levels.levels[i]) for i in range(first_new - 1, levels.depth)]
-    rest = reduce(DataFrame.unionByName, parts)
+    item_type = groups.schema["item"].dataType.simpleString()
+    totals = group_totals(groups) if totals is None else totals
+    sized = groups.join(totals, "prefix")
+    light = sized.where(F.col("total") <= F.lit(max_group_tids)).select("prefix", "item", "tids")
+    mined = light.repartition("prefix").sortWithinPartitions("prefix").mapInPandas(
+        _mine_sorted(min_sup, max_len), f"items array<{item_type}>, support bigint")
+    heavy = sized.where(F.col("total") > F.lit(max_group_tids)).drop("total")
+    if totals.where(F.col("total") > F.lit(max_group_tids)).limit(1).count():
+        mined = mined.unionByName(grow(*seed_groups(heavy), min_sup, max_len, pairs))
     if mode == "all":
-        return rest
-    ranks = extension_ranks(_group_extensions(rest, k))
-    return forward_closed_rule(_members(rest, k), ranks, max_size=max_len).select("items", "support")
-
-
-def vertical_groups(basket_r: DataFrame, long_seeds: DataFrame, group_len: int, block_size: int = 1 << 16) -> DataFrame:
-    """Prefix groups of the vertical miner: each reported seed ``Q ∪ {x}``
-    with the tids of the whole seed, by intersecting blocked item tid lists
-    (J4)."""
-    vertical = transpose(basket_r, block_size)
-    tids = intersect_tids(long_seeds.select("items"), vertical)
-    return (
-        tids.join(long_seeds, "items")
-        .select(F.slice("items", 1, group_len).alias("prefix"), F.element_at("items", -1).alias("item"),
-                "support", "block", "tids")
-    )
+        return mined
+    return apply_rule(materialize(mined), groups, max_len)
+
+
+def apply_rule(sets: DataFrame, groups: DataFrame, max_len: int | None) -> DataFrame:
+    """The forward-closed rule over the sets mined in ``groups``."""
+    first = groups.select(F.col("prefix").alias("group"), "item", "support").distinct()
+    lengths = groups.select(F.size("prefix").alias("k")).limit(1).collect()
+    if not lengths:
+        return sets
+    k = lengths[0]["k"]
+    members = sets.where(F.size("items") > k).select(
+        F.slice("items", 1, k).alias("group"), F.slice("items", k + 1, F.size("items")).alias("rest"), "items", "support")
+    return forward_closed_rule(members, extension_ranks(first), max_size=max_len).select("items", "support")

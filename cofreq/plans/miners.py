@@ -14,10 +14,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.operators.basket import frequent_items, item_rank
+from cofreq.operators.basket import frequent_items, item_rank, transpose
 from cofreq.operators.condense import all_results, extension_ranks, forward_closed_rule
-from cofreq.operators.levelwise import DEFAULT_GROUP_LIMIT, candidate_tids
-from cofreq.plans.apriori import Levels, adaptive_apriori, apriori, as_basket, next_level
+from cofreq.operators.levelwise import candidate_tids
+from cofreq.operators.vertical import intersect_tids
+from cofreq.plans.apriori import Levels, adaptive_apriori, as_basket, next_level
+from cofreq.plans.groups import mine_groups
+from cofreq.plans.vertical import vertical_sets
 from cofreq.session import BROADCAST_MAX_ROWS, materialize, maybe_broadcast
 
 
@@ -32,11 +35,20 @@ class MineResult:
 
 
 def _continue(res: Levels, max_len: int | None) -> Levels:
-    while (max_len is None or res.depth < max_len) and next_level(res):
+    while (max_len is None or res.depth < max_len) and not res.exhausted and next_level(res):
         pass
     return res
 
 
+def check(min_sup: int, mode: str, modes: tuple[str, ...], engine: str = "levelwise") -> None:
+    if min_sup < 1:
+        raise ValueError(f"min_sup must be at least 1, not {min_sup}")
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode!r}")
+    if engine not in ("levelwise", "grouped"):
+        raise ValueError(f"unknown engine {engine!r}")
+
+
 def _members(fis: DataFrame, group_len: int) -> DataFrame:
     """Sets longer than the group prefix, keyed by their numeric prefix."""
     return fis.where(F.size("items") > F.lit(group_len)).select(
@@ -77,14 +89,17 @@ def hybrid_mine(
     prefix_len: int = 1,
     mode: str = "all",
     max_len: int | None = None,
-    group_limit: int = DEFAULT_GROUP_LIMIT,
+    group_limit: int | None = None,
     engine: str = "levelwise",
     split: bool = False,
     max_group_tids: int | None = None,
 ) -> DataFrame | MineResult:
     """levels 1..k by Apriori (k >= prefix_len, deepened by F7 while a
     prefix group is above ``group_limit`` tids); short = all frequent sets of
-    length <= k; long = the sets mined in the k-prefix groups."""
+    length <= k; long = the sets mined in the k-prefix groups.  ``group_limit``
+    is off unless asked for: it changes which groups ``forward_closed`` is
+    judged in."""
+    check(min_sup, mode, ("all", "forward_closed"), engine)
     res = adaptive_apriori(data, min_sup, max(1, prefix_len), group_limit)
     k = res.depth
     short = res.itemsets(1, k)
@@ -93,24 +108,21 @@ def hybrid_mine(
         out = MineResult(short, short.where(F.lit(False)), k)
         return out if split else out.all()
     if engine == "grouped":
-        from cofreq.plans.groups import mine_groups
-
-        if not next_level(res):
+        if res.exhausted or not next_level(res):
             long = short.where(F.lit(False))
         else:
-            groups = prefix_groups(res)
+            totals = res.levels[k].groupBy("prefix").agg(F.sum("support").cast("bigint").alias("total"))
+            pairs = res.levels[1].select(F.col("prefix")[0].alias("a"), F.col("item").alias("b"))
             kw = {} if max_group_tids is None else {"max_group_tids": max_group_tids}
-            long = mine_groups(groups, min_sup, mode=mode, max_len=max_len, levels=res, **kw)
+            long = mine_groups(prefix_groups(res), min_sup, mode=mode, max_len=max_len, totals=totals, pairs=pairs, **kw)
     else:
         _continue(res, max_len)
         rest = materialize(res.itemsets(k + 1))
         if mode == "all":
             long = rest
-        elif mode == "forward_closed":
+        else:
             ranks = extension_ranks(_group_extensions(rest, k))
             long = forward_closed_rule(_members(rest, k), ranks, max_size=max_len).select("items", "support")
-        else:
-            raise ValueError(f"unknown mode {mode!r}")
     out = MineResult(short, long, k)
     return out if split else out.all()
 
@@ -170,7 +182,7 @@ def seeds_of(data: DataFrame, min_sup: int, p: int) -> DataFrame:
     basket = as_basket(data)
     ranks = item_rank(frequent_items(basket, min_sup)).persist(StorageLevel.MEMORY_AND_DISK)
     n_ranks = ranks.count()
-    fis_r = materialize(apriori(to_rank_space(basket, ranks, n_ranks), min_sup, p).itemsets())
+    fis_r = materialize(vertical_sets(to_rank_space(basket, ranks, n_ranks), min_sup, p))
     return from_rank_space(seed_prefixes(fis_r, p), ranks, n_ranks)
 
 
@@ -182,43 +194,50 @@ def vertical_mine(
     max_len: int | None = None,
     engine: str = "levelwise",
     split: bool = False,
-    **_ignored,
+    max_group_tids: int | None = None,
 ) -> DataFrame | MineResult:
-    """items ranked by ascending support (W1) and relabelled; seeds of
-    length ``p`` grown in rank order (F3); every rank-ordered (p-1)-prefix
-    group then mined with its own ascending-support order (F4).  ``p = 1``
-    behaves as ``p = 2``."""
+    """sets grown from blocked tid lists.  ``forward_closed``: items ranked
+    by ascending support (W1) and relabelled; seeds up to length ``p`` grown in
+    rank order (F3); every rank-ordered (p-1)-prefix group over the reported
+    seeds is then mined (F4) in its own ascending-support order: by growing all
+    tid lists together (``engine="levelwise"``) or group by group
+    (``"grouped"``).  ``p = 1`` behaves as ``p = 2``."""
+    check(min_sup, mode, ("all", "forward_closed"), engine)
     p = max(2, prefix_len)
     basket = as_basket(data)
     if mode == "all":
-        # every frequent set, whatever the order: the rank relabelling cannot
-        # change the answer, so count in item space (short = lengths < p)
-        fis = apriori(basket, min_sup, max_len).itemsets()
+        # every frequent set, whatever the order: no relabelling needed
+        fis = vertical_sets(basket, min_sup, max_len)
         out = MineResult(fis.where(F.size("items") < p), fis.where(F.size("items") >= p), p)
         return out if split else out.all()
     ranks = item_rank(frequent_items(basket, min_sup)).persist(StorageLevel.MEMORY_AND_DISK)
     n_ranks = ranks.count()
     basket_r = to_rank_space(basket, ranks, n_ranks)
-    res = apriori(basket_r, min_sup, max_len)
-    fis_r = materialize(res.itemsets())
+    limit = p if engine == "grouped" else max_len
+    fis_r = materialize(vertical_sets(basket_r, min_sup, max(p, limit) if limit is not None else None))
     singles = fis_r.where(F.size("items") == 1)
-    if mode == "all":
-        short = singles.unionByName(fis_r.where((F.size("items") > 1) & (F.size("items") < p)))
-        long = fis_r.where(F.size("items") >= p)
-    elif mode == "forward_closed":
-        seeds = materialize(seed_prefixes(fis_r, p))
-        short = singles.unionByName(seeds.where(F.size("items") < p))
-        long_seeds = seeds.where(F.size("items") == p)
-        ext = _group_extensions(long_seeds, p - 1)
-        ranks_g = extension_ranks(ext)
-        if engine == "grouped":
-            from cofreq.plans.groups import mine_groups, vertical_groups
-
-            groups = vertical_groups(basket_r, long_seeds, p - 1)
-            long = mine_groups(groups, min_sup, mode=mode, max_len=max_len, levels=None)
-        else:
-            long = forward_closed_rule(_members(fis_r, p - 1), ranks_g, max_size=max_len).select("items", "support")
+    seeds = materialize(seed_prefixes(fis_r, p))
+    short = singles.unionByName(seeds.where(F.size("items") < p))
+    long_seeds = seeds.where(F.size("items") == p)
+    if engine == "grouped":
+        pairs = fis_r.where(F.size("items") == 2).select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"))
+        kw = {} if max_group_tids is None else {"max_group_tids": max_group_tids}
+        long = mine_groups(vertical_groups(basket_r, long_seeds, p - 1), min_sup, mode=mode, max_len=max_len,
+                           pairs=pairs, **kw)
     else:
-        raise ValueError(f"unknown mode {mode!r}")
+        ranks_g = extension_ranks(_group_extensions(long_seeds, p - 1))
+        members = _members(fis_r if max_len is None else fis_r.where(F.size("items") <= max_len), p - 1)
+        long = forward_closed_rule(members, ranks_g, max_size=max_len).select("items", "support")
+    if max_len is not None:
+        short, long = (d.where(F.size("items") <= max_len) for d in (short, long))
     out = MineResult(from_rank_space(short, ranks, n_ranks), from_rank_space(long, ranks, n_ranks), p)
     return out if split else out.all()
+
+
+def vertical_groups(basket_r: DataFrame, long_seeds: DataFrame, group_len: int, block_size: int = 1 << 16) -> DataFrame:
+    """Prefix groups of the vertical miner: each reported seed ``Q ∪ {x}``
+    with the tids of the whole seed, by intersecting blocked item tid lists
+    (J4)."""
+    tids = intersect_tids(long_seeds.select("items"), transpose(basket_r, block_size))
+    return tids.join(long_seeds, "items").select(
+        F.slice("items", 1, group_len).alias("prefix"), F.element_at("items", -1).alias("item"), "support", "block", "tids")

@@ -122,6 +122,47 @@ FROM f2 p JOIN fb a ON a.item = p.i1 JOIN fb b ON b.tid = a.tid AND b.item = p.i
 GROUP BY ALL""")
 
 
+def _deep(select: str) -> str:
+    """All frequent sets of the dense basket, whatever their length, by a
+    recursive query over whole transactions' items (no level is written out)."""
+    return f"""
+WITH RECURSIVE {BASKET_SQL.strip()},
+dense AS (SELECT DISTINCT tid, CAST(CASE WHEN item < 100 THEN item % 4 WHEN item < 200 THEN 10 + item % 3
+                 WHEN item < 300 THEN 20 + item % 2 ELSE 30 + item % 2 END AS BIGINT) AS item FROM basket),
+low AS (SELECT CAST(ceil(count(DISTINCT tid) / 50.0) AS BIGINT) AS s FROM basket),
+shapes AS (SELECT items, count(*) AS n FROM (SELECT tid, list_sort(list(item)) AS items FROM dense GROUP BY tid) GROUP BY items),
+sets(items) AS (
+  SELECT CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT list_append(s.items, i.item) FROM sets s, (SELECT DISTINCT item FROM dense) i
+  WHERE (len(s.items) = 0 OR i.item > s.items[len(s.items)])
+    AND (SELECT coalesce(sum(n), 0) FROM shapes WHERE list_has_all(shapes.items, list_append(s.items, i.item))) >= (SELECT s FROM low)),
+deep AS (SELECT s.items, CAST(sum(h.n) AS BIGINT) AS support FROM sets s JOIN shapes h ON list_has_all(h.items, s.items)
+         WHERE len(s.items) > 0 GROUP BY s.items)
+{select}"""
+
+
+# The depth-first miner's output for one-item prefix groups, as a walk: a set is
+# visited unless, at some step of its path, an earlier sibling (below the first
+# step) kept the whole support of the set it extended; a visited set is
+# reported unless a later sibling keeps its support.
+_FORWARD_CLOSED_WALK = """
+, groups AS (SELECT items[1] AS g, items[2] AS x, support FROM deep WHERE len(items) = 2),
+pos AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY support, x) AS r FROM groups),
+paths AS (SELECT d.items, d.support, d.items[1] AS g, list(pos.r ORDER BY pos.r) AS path
+          FROM (SELECT items, support, unnest(items[2:]) AS x FROM deep WHERE len(items) > 1) d
+          JOIN pos ON pos.g = d.items[1] AND pos.x = d.x GROUP BY d.items, d.support, d.items[1]),
+keeps AS (SELECT c.g, c.path[1:len(c.path) - 1] AS parent, min(c.path[len(c.path)]) AS first
+          FROM paths c JOIN paths p ON p.g = c.g AND p.path = c.path[1:len(c.path) - 1] AND p.support = c.support
+          WHERE len(c.path) > 1 GROUP BY ALL)
+SELECT array_to_string(items, ' ') AS itemset, support FROM deep WHERE len(items) = 1
+UNION ALL
+SELECT array_to_string(items, ' '), support FROM paths v
+WHERE NOT EXISTS (SELECT 1 FROM keeps k WHERE k.g = v.g AND k.parent = v.path)
+  AND NOT EXISTS (SELECT 1 FROM keeps k WHERE k.g = v.g AND len(k.parent) < len(v.path)
+                  AND k.parent = v.path[1:len(k.parent)] AND k.first < v.path[len(k.parent) + 1])"""
+
+
 def oracle_sql() -> dict[str, str]:
     transpose = _with(f"""
 SELECT item, CAST(floor(tid / {BLOCK}) AS BIGINT) AS block, count(*) AS support,
@@ -191,8 +232,44 @@ FROM fis GROUP BY ROLLUP (len(items))"""),
         "all_results": _forward_closed(2),
         "encode_short_itemsets": _with("""
 SELECT count(*) AS n,
-       CAST(i1 AS VARCHAR) || '|' || string_agg(CAST(i2 AS VARCHAR) || '(' || CAST(support AS VARCHAR) || ')', '$' ORDER BY i2) AS encoded
-FROM f2 GROUP BY i1"""),
+       coalesce(array_to_string(items[1:len(items) - 1], '|') || '|', '')
+       || string_agg(CAST(items[len(items)] AS VARCHAR) || '(' || CAST(support AS VARCHAR) || ')', '$' ORDER BY items[len(items)]) AS encoded
+FROM (SELECT items, support, CASE WHEN len(items) > 1 THEN items[1:len(items) - 1] END AS p FROM fis)
+GROUP BY p, coalesce(array_to_string(items[1:len(items) - 1], '|') || '|', ''), items[len(items)] // 10""").replace(
+            "coalesce(array_to_string(items[1:len(items) - 1], '|') || '|', '')",
+            "(CASE WHEN len(items) > 1 THEN array_to_string(items[1:len(items) - 1], '|') || '|' ELSE '' END)"),
+        "encoded_lines": _with("""
+SELECT '1' || chr(9) || array_to_string(items, '|') || '(' || CAST(support AS VARCHAR) || ')' AS value FROM fis"""),
+        "grouped_all_heavy": apriori,
+        "grouped_vertical_forward_closed": _vertical_forward_closed(3),
+        "duplicate_rows": apriori,
+        "facade_closed_max_len": _with("""
+SELECT array_to_string(s.items, ' ') AS itemset, s.support FROM fis s
+WHERE len(s.items) <= 2 AND NOT EXISTS (SELECT 1 FROM fis t WHERE len(t.items) = len(s.items) + 1
+                  AND t.support = s.support AND list_has_all(t.items, s.items))"""),
+        "diffset_extend": _with("""
+SELECT concat_ws(' ', a.item, b.item, c.item) AS itemset, count(*) AS support
+FROM fb a JOIN fb b ON a.tid = b.tid AND a.item < b.item
+          JOIN fb c ON c.tid = a.tid AND b.item < c.item
+          JOIN f2 p ON p.i1 = a.item AND p.i2 = b.item
+          JOIN f2 q ON q.i1 = a.item AND q.i2 = c.item
+          JOIN f2 r ON r.i1 = b.item AND r.i2 = c.item
+GROUP BY 1"""),
+        "apriori_deep": _deep("SELECT array_to_string(items, ' ') AS itemset, support FROM deep"),
+        "vertical_deep": _deep("SELECT array_to_string(items, ' ') AS itemset, support FROM deep"),
+        "closed_deep": _deep("""
+SELECT array_to_string(s.items, ' ') AS itemset, s.support FROM deep s
+WHERE NOT EXISTS (SELECT 1 FROM deep t WHERE len(t.items) > len(s.items) AND t.support = s.support
+                  AND list_has_all(t.items, s.items))"""),
+        "forward_closed_deep": _deep(_FORWARD_CLOSED_WALK),
+        "transaction_files": _with("""
+SELECT itemset, count(*) AS n FROM (SELECT tid, string_agg(CAST(item AS VARCHAR), ' ' ORDER BY item) AS itemset
+FROM basket GROUP BY tid) GROUP BY itemset"""),
+        "itemset_table_files": apriori,
+        "vertical_files": transpose,
+        "result_files": _with("""
+SELECT array_to_string(items, ' ') AS itemset, support, CASE WHEN len(items) <= 2 THEN 'short' ELSE 'long' END AS kind
+FROM fis"""),
         "encode_decode_roundtrip": apriori,
         "grouped_forward_closed": _forward_closed(1),
         "vertical_forward_closed": _vertical_forward_closed(3),

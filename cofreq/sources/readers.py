@@ -1,10 +1,11 @@
 """Readers.  Every reader is a distributed scan plus built-in
-expressions; only the encoded-set decoder uses a small Arrow-batched
-parser (one linear pass per line)."""
+expressions; only the encoded-set decoder keeps a path in Python, over the matches
+of one pattern."""
 
 from __future__ import annotations
 
-from typing import Iterator
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 from cofreq.sources.formats import CLOSESUP, COUNT_SEPARATOR, OPENSUP, SEPARATOR, SYMBOL
 
+SETS_PER_FRAME = 50_000  # decoded sets handed back to Spark at once
+
 
 def parse_transactions(lines: DataFrame, delimiter: str = " ", col: str = "value") -> DataFrame:
     """S1 over a DataFrame of text lines: split by the (regex) delimiter,
-    drop empty tokens (blank lines are empty transactions), cast to int,
+    drop empty tokens (blank lines are empty transactions), cast to bigint,
     keep each item once, sort ascending (O1)."""
     tokens = F.filter(F.split(F.col(col), delimiter), lambda t: F.trim(t) != F.lit(""))
-    items = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.trim(t).cast("int"))))
+    items = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.trim(t).cast("bigint"))))
     return lines.withColumn("items", items)
 
 
@@ -35,7 +38,7 @@ def read_transactions(spark: SparkSession, path: str, delimiter: str = " ") -> D
 
 
 def _int_list(col: Column, sep: str = " ") -> Column:
-    return F.transform(F.filter(F.split(col, sep), lambda t: t != F.lit("")), lambda t: t.cast("int"))
+    return F.transform(F.filter(F.split(col, sep), lambda t: t != F.lit("")), lambda t: t.cast("bigint"))
 
 
 def read_itemset_table(spark: SparkSession, path: str) -> DataFrame:
@@ -44,34 +47,26 @@ def read_itemset_table(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.array_sort(_int_list(F.col("itemset"))).alias("items"), "support")
 
 
-def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out_items: list[list[int]] = []
-        out_sup: list[int] = []
-        for line in pdf["value"]:
-            if line is None:
-                continue
-            text = line.split(COUNT_SEPARATOR, 1)[1] if COUNT_SEPARATOR in line else line
-            stack: list[int] = []
-            tok = ""
-            for ch in text:
-                if ch == SYMBOL:
-                    if stack:
-                        stack.pop()
-                elif ch == SEPARATOR:
-                    stack.append(int(tok))
-                    tok = ""
-                elif ch == OPENSUP:
-                    if tok:
-                        stack.append(int(tok))
-                    tok = ""
-                elif ch == CLOSESUP:
-                    out_items.append(sorted(stack))
-                    out_sup.append(int(tok))
-                    tok = ""
-                else:
-                    tok += ch
-        yield pd.DataFrame({"items": out_items, "support": out_sup})
+# one set of an encoded line: steps up, items on the way down, support
+_SET = re.compile(r"(\{up}*)((?:\d+\{sep}?)*)\{open}(\d+)\{close}".format(
+    up=SYMBOL, sep=SEPARATOR, open=OPENSUP, close=CLOSESUP))
+
+
+def _decode_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    items: list[list[int]] = []
+    support: list[int] = []
+    for frame in frames:
+        for line in frame["value"].dropna():
+            path: list[int] = []
+            for up, down, count in _SET.findall(line.rpartition(COUNT_SEPARATOR)[2]):
+                path = path[:max(0, len(path) - len(up))] + [int(x) for x in down.split(SEPARATOR) if x]
+                items.append(sorted(path))
+                support.append(int(count))
+                if len(items) >= SETS_PER_FRAME:
+                    yield pd.DataFrame({"items": items, "support": support})
+                    items, support = [], []
+    if items:
+        yield pd.DataFrame({"items": items, "support": support})
 
 
 def decode_itemsets(encoded: DataFrame, col: str = "value") -> DataFrame:
@@ -79,7 +74,7 @@ def decode_itemsets(encoded: DataFrame, col: str = "value") -> DataFrame:
     self-contained, so lines decode independently, partition by partition.
     The leading count is not validated."""
     return encoded.select(F.col(col).alias("value")).mapInPandas(
-        _decode_batches, "items array<int>, support bigint"
+        _decode_lines, "items array<bigint>, support bigint"
     )
 
 
@@ -93,7 +88,7 @@ def read_vertical(spark: SparkSession, path: str, block_size: int = 1 << 16) ->
     -> ``[item, block, support, tids]``."""
     from cofreq.operators.basket import merge_tids
 
-    df = spark.read.csv(path, sep="\t", schema="item int, tids string")
+    df = spark.read.csv(path, sep="\t", schema="item bigint, tids string")
     partial = df.select("item", F.transform(F.filter(F.split("tids", " "), lambda t: t != F.lit("")),
                                             lambda t: t.cast("bigint")).alias("tids"))
     merged = merge_tids(partial, ("item",), block_size)

@@ -3,64 +3,46 @@ holds a bounded number of sets and is self-contained."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofreq.functions.itemsets import itemset_string, prefix_of
 from cofreq.sources.formats import CLOSESUP, COUNT_SEPARATOR, OPENSUP, SEPARATOR, SYMBOL
 
 MAX_SETS_PER_LINE = 100_000
+SHORT_LINE_SPAN = 1_000  # item ids that one line of short sets may cover
 
 
-def _encode_partition(max_sets: int):
-    """Stream one sorted partition into self-contained encoded lines of at
-    most ``max_sets`` sets (each line starts from the empty set)."""
-    import pandas as pd
-
-    def run(batches):
-        parts: list[str] = []
-        prev: list[int] | None = None
-        n = 0
-        lines_n: list[int] = []
-        lines_s: list[str] = []
-        for pdf in batches:
-            for items, sup in zip(pdf["items"], pdf["support"]):
-                cur = [int(x) for x in items]
-                if prev is None:
-                    parts.append(SEPARATOR.join(map(str, cur)))
-                else:
-                    depth = 0
-                    while depth < len(cur) and depth < len(prev) and cur[depth] == prev[depth]:
-                        depth += 1
-                    parts.append(SYMBOL * (len(prev) - depth) + SEPARATOR.join(map(str, cur[depth:])))
-                parts.append(f"{OPENSUP}{int(sup)}{CLOSESUP}")
-                prev = cur
-                n += 1
-                if n == max_sets:
-                    lines_n.append(n)
-                    lines_s.append("".join(parts))
-                    parts, prev, n = [], None, 0
-            if lines_n:
-                yield pd.DataFrame({"n": lines_n, "encoded": lines_s})
-                lines_n, lines_s = [], []
-        if n:
-            yield pd.DataFrame({"n": [n], "encoded": ["".join(parts)]})
-
-    return run
+def _piece(previous: str, items: str, support: str):
+    """What the format writes for a set after ``previous`` (null: first of a
+    line): steps up to the common prefix, the new items, the support."""
+    prev = F.coalesce(F.col(previous), F.slice(items, 1, 0))
+    same = F.zip_with(items, prev, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    differs = F.array_position(same, F.lit(False)).cast("int")
+    common = F.when(differs > 0, differs - 1).otherwise(F.size(same))
+    added = F.slice(items, common + 1, F.size(items))
+    return F.concat(F.repeat(F.lit(SYMBOL), F.size(prev) - common), itemset_string(added, SEPARATOR),
+                    F.lit(OPENSUP), F.col(support).cast("string"), F.lit(CLOSESUP))
 
 
 def encode_itemsets(fis: DataFrame, max_sets: int = MAX_SETS_PER_LINE) -> DataFrame:
     """K1: sets in depth-first (lexicographic) order -> ``[n, encoded]`` lines.
 
-    The sets are range-partitioned and sorted by their item arrays (a
-    distributed sort: a hot leading item is split across partitions by the
-    sampled bounds), then each partition is streamed into lines of at most
-    ``max_sets`` sets.  Every line starts from the empty set, so lines decode
-    independently."""
-    sets = fis.select(F.array_sort("items").alias("items"), F.col("support").cast("bigint"))
+    The sets are range-partitioned by their item arrays (a distributed sort: a
+    hot leading item is split by the sampled bounds); inside a range they are
+    numbered and cut into lines of at most ``max_sets`` sets.  Every line starts
+    from the empty set, so lines decode independently."""
+    sets = fis.select(F.array_sort("items").alias("items"), F.col("support").cast("bigint").alias("support"))
     # no fixed partition count: AQE sizes (coalesces) the range partitions
-    ordered = sets.repartitionByRange("items").sortWithinPartitions("items")
-    return ordered.mapInPandas(_encode_partition(max_sets), "n bigint, encoded string")
+    ranged = sets.repartitionByRange("items").withColumn("part", F.spark_partition_id())
+    numbered = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("items", "support")) - 1)
+    line = numbered.withColumn("line", F.floor(F.col("nth") / F.lit(max_sets)))
+    w = Window.partitionBy("part", "line").orderBy("nth")
+    pieces = line.withColumn("prev", F.lag("items").over(w)).select(
+        "part", "line", F.struct("nth", _piece("prev", "items", "support").alias("text")).alias("piece"))
+    return pieces.groupBy("part", "line").agg(  # at most max_sets pieces
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("piece")).alias("pieces")).select(
+        "n", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("encoded"))
 
 
 def encoded_total(enc: DataFrame) -> DataFrame:
@@ -73,12 +55,14 @@ def encoded_lines(enc: DataFrame) -> DataFrame:
     return enc.select(F.concat(F.col("n").cast("string"), F.lit(COUNT_SEPARATOR), "encoded").alias("value"))
 
 
-def encode_short_itemsets(level: DataFrame) -> DataFrame:
-    """K2: one line per prefix, ``p1|p2|x(s)$y(s)`` with its extension
-    count.  ``level`` is ``[prefix, item, support]``; extensions ascending."""
+def encode_short_itemsets(levels: DataFrame, span: int = SHORT_LINE_SPAN) -> DataFrame:
+    """K2: lines ``p1|p2|x(s)$y(s)`` with their extension count.  ``levels`` is
+    ``[prefix, item, support]`` of any lengths; the extensions of a prefix are
+    cut into lines by item range, so a line holds at most ``span`` of them."""
+    part = F.call_function("div", F.col("item").cast("bigint"), F.lit(span).cast("bigint"))
     entry = F.struct("item", F.concat(F.col("item").cast("string"), F.lit(OPENSUP),
                                       F.col("support").cast("string"), F.lit(CLOSESUP)).alias("txt"))
-    g = level.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(entry)).alias("_e"))
+    g = levels.groupBy("prefix", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(entry)).alias("_e"))
     body = F.array_join(F.transform("_e", lambda x: x["txt"]), SYMBOL)
     head = F.when(F.size("prefix") > 0, F.concat(itemset_string("prefix", SEPARATOR), F.lit(SEPARATOR))).otherwise(F.lit(""))
     return g.select("n", F.concat(head, body).alias("encoded"))
