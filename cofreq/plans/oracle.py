@@ -128,7 +128,8 @@ def _deep(select: str) -> str:
     return f"""
 WITH RECURSIVE {BASKET_SQL.strip()},
 dense AS (SELECT DISTINCT tid, CAST(CASE WHEN item < 100 THEN item % 4 WHEN item < 200 THEN 10 + item % 3
-                 WHEN item < 300 THEN 20 + item % 2 ELSE 30 + item % 2 END AS BIGINT) AS item FROM basket),
+                 WHEN item < 300 THEN 20 + item % 2 ELSE 30 + item % 2 END AS BIGINT) AS item FROM basket
+          UNION SELECT tid, CAST(40 + item % 4 // 2 AS BIGINT) FROM basket WHERE item < 100),
 low AS (SELECT CAST(ceil(count(DISTINCT tid) / 50.0) AS BIGINT) AS s FROM basket),
 shapes AS (SELECT items, count(*) AS n FROM (SELECT tid, list_sort(list(item)) AS items FROM dense GROUP BY tid) GROUP BY items),
 sets(items) AS (

@@ -68,7 +68,7 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.  On a cluster this is the
     shared folder named by ``spark.checkpoint.dir``; a private scratch folder
-    is created only when nothing is configured (local tests)."""
+    is created only for a local master when nothing is configured (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -77,21 +77,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cofreq-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss);
-    partitioning and ordering of the plan are kept."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back: the plan
+    runs once, and the lineage is cut in a way that survives executor loss."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{FILES}/{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Size check for a broadcast side: counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Size check for a broadcast side (a plain count: parallel, one number a task)."""
+    return df.count() <= max_rows
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -119,15 +123,28 @@ def bucketed_table(df: DataFrame, key: str, buckets: int, sort: bool = True) ->
 
 
 INTERMEDIATE_PREFIX = "cofreq_"
+FILES = "cofreq-files"
 
 
 def drop_intermediate_tables(spark: SparkSession, names: list[str] | None = None) -> int:
-    """K7 (keep_intermediate=False): forget the intermediate tables written by
-    the miners (all of them, or ``names``).  Only catalog entries are dropped;
-    the files stay in the checkpoint folder, whose retention the cluster
-    manages.  Returns the number of tables dropped."""
-    if names is None:
+    """K7 (keep_intermediate=False): drop the intermediate tables written by
+    the miners (all of this session's, or ``names``) and delete their files;
+    without ``names`` the other materialized intermediates go too.  Call it
+    once the results built from them are written.  Returns the number of
+    tables dropped."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    every = names is None
+    if every:
         names = [t.name for t in spark.catalog.listTables() if t.name.startswith(INTERMEDIATE_PREFIX)]
     for n in names:
         spark.sql(f"DROP TABLE IF EXISTS {n}")
+        _delete(spark, f"{base}/tables/{n}")
+    if every:
+        _delete(spark, f"{base}/{FILES}")
     return len(names)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own in the checkpoint folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -79,3 +79,15 @@ def test_integer_blocks(spark):
     got = spark.createDataFrame([(0,), (9,), (10,), (-1,), (2**62 + 1,)], "tid bigint").select(tid_block("tid", 10).alias("b"))
     assert [r["b"] for r in got.collect()] == [0, 0, 1, -1, (2**62 + 1) // 10]
     assert got.where(F.col("b").isNull()).count() == 0
+
+
+def test_intermediates_leave_no_files(spark):
+    import os
+
+    from cofreq.session import ensure_checkpoint_dir, drop_intermediate_tables
+
+    assert as_map(vertical_mine(tx_df(spark, TEN), 5)) and as_map(apriori(tx_df(spark, TEN), 5).itemsets())
+    assert drop_intermediate_tables(spark) > 0
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    left = [f for d, _, names in os.walk(base) for f in names if "/tables/" in d + "/" or "/cofreq-files" in d]
+    assert not left
