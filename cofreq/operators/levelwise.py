@@ -1,12 +1,12 @@
 """Level-wise (Apriori-style) operators.
 
-Occurrences are rows ``[tid, items]``: one row per frequent k-itemset per
-transaction holding it.  They are grown by one item per level with an
-equi-join on ``tid`` against the (tid-partitioned) pruned basket, so both
-sides stay co-partitioned and the only shuffle per level is the
-partially-aggregated ``(prefix, item)`` count.  Candidates are therefore the
-combinations that actually occur together; no pairing of all members of a
-prefix group is ever emitted."""
+Occurrences are rows ``[tid, psid, sid, last]``: one row per frequent
+k-itemset per transaction holding it.  They are grown by one item per level
+with an equi-join of siblings on ``(tid, psid)``, so both parents of a
+candidate are frequent, both sides stay co-partitioned by ``tid``, and the only
+shuffle per level is the partially-aggregated ``(set, item)`` count.
+Candidates are therefore the combinations that actually occur together; no
+pairing of all members of a prefix group is ever emitted."""
 
 from __future__ import annotations
 
@@ -20,42 +20,47 @@ DEFAULT_GROUP_LIMIT = 175_000_000  # tids per prefix group (1e9 / 4 * 0.7)
 
 
 def seed_occurrences(basket: DataFrame) -> DataFrame:
-    """Level-1 occurrences ``[tid, sid, last]`` (a single item's id is the item)."""
-    return basket.select("tid", F.col("item").cast("bigint").alias("sid"), F.col("item").alias("last"))
+    """Level-1 occurrences ``[tid, psid, sid, last]``: a single item's id is the
+    item, its parent is the empty set (0)."""
+    return basket.select("tid", F.lit(0).cast("bigint").alias("psid"), F.col("item").cast("bigint").alias("sid"),
+                         F.col("item").alias("last"))
 
 
-def extend_occurrences(occ: DataFrame, basket: DataFrame) -> DataFrame:
-    """J2 core: every occurrence ``(tid, S)`` joined with the later items of
-    the same transaction -> ``[tid, sid, item]`` with ``item > max(S)``.
-    Both sides are tid-bucketed tables, so the join needs no exchange."""
-    o = occ.alias("o")
-    b = basket.alias("b")
-    return o.join(b, (F.col("o.tid") == F.col("b.tid")) & (F.col("b.item") > F.col("o.last"))).select(
-        F.col("o.tid").alias("tid"), F.col("o.sid").alias("sid"), F.col("b.item").alias("item")
-    )
+def _siblings(occ: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    o, b = occ.alias("o"), other.alias("b")
+    same = [F.col(f"o.{k}") == F.col(f"b.{k}") for k in ("tid", "psid", *keys)]
+    cond = F.col("b.last") > F.col("o.last")
+    for c in same:
+        cond = cond & c
+    return o.join(b, cond).select(F.col("o.tid").alias("tid"), F.col("o.sid").alias("sid"), F.col("b.last").alias("item"))
+
+
+def extend_occurrences(occ: DataFrame) -> DataFrame:
+    """J2 core: occurrences of two siblings (same transaction, same parent set)
+    are joined -> ``[tid, sid, item]``: ``S ∪ {item}`` for both of whose parents
+    the transaction is an occurrence.  The table is bucketed by ``tid``, which
+    is part of the join key, so with
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off the join needs no
+    exchange."""
+    occ.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return _siblings(occ, occ)
 
 
-def extend_occurrences_split(occ: DataFrame, basket: DataFrame, hot: DataFrame | None, salts: int = 64) -> DataFrame:
+def extend_occurrences_split(occ: DataFrame, hot: DataFrame | None, salts: int = 64) -> DataFrame:
     """J2 with hot transactions split.
 
     ``hot`` lists the tids whose item count exceeds the hot limit (with a
-    broadcast hint if it has been counted and is small).  Other
-    transactions keep the co-bucketed join.  A hot transaction's basket rows
-    are spread over ``salts`` sub-keys by item hash and its occurrence rows are
-    replicated once per sub-key, so its extensions are produced by ``salts``
-    tasks instead of one; every (occurrence, later item) pair still meets
-    exactly once."""
+    broadcast hint if it has been counted and is small).  Other transactions
+    keep the co-bucketed join.  A hot transaction's rows are spread over
+    ``salts`` sub-keys by their last item on one side and replicated once per
+    sub-key on the other, so its extensions are produced by ``salts`` tasks
+    instead of one; every pair of siblings still meets exactly once."""
     if hot is None:
-        return extend_occurrences(occ, basket)
-    h = hot
-    cold = extend_occurrences(occ.join(h, "tid", "left_anti"), basket.join(h, "tid", "left_anti"))
-    o = occ.join(h, "tid", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = basket.join(h, "tid", "left_semi").withColumn("_salt", F.pmod(F.hash("item"), F.lit(salts)))
-    o, b = o.alias("o"), b.alias("b")
-    warm = o.join(
-        b,
-        (F.col("o.tid") == F.col("b.tid")) & (F.col("o._salt") == F.col("b._salt")) & (F.col("b.item") > F.col("o.last")),
-    ).select(F.col("o.tid").alias("tid"), F.col("o.sid").alias("sid"), F.col("b.item").alias("item"))
+        return extend_occurrences(occ)
+    cold = extend_occurrences(occ.join(hot, "tid", "left_anti"))
+    own = occ.join(hot, "tid", "left_semi")
+    warm = _siblings(own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
+                     own.withColumn("_salt", F.pmod(F.hash("last"), F.lit(salts))), "_salt")
     return cold.unionByName(warm)
 
 

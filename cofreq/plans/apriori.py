@@ -2,7 +2,7 @@
 
 Every frequent k-set has a 64-bit id: a level-1 set's id is its item, and a
 (k+1)-set's id is ``xxhash64(parent id, item, salt)``.  Occurrences are the
-fixed-width rows ``[tid, sid, last]``, so the hot path (join on ``tid``,
+fixed-width rows ``[tid, psid, sid, last]``, so the hot path (join on ``tid``,
 aggregate on ``(sid, item)``, bucketed write) never hashes or shuffles item
 arrays.  After each level one aggregate checks that the new ids are unique;
 on a collision the level is re-hashed with another salt, so the result is
@@ -40,7 +40,7 @@ class Levels:
 
     ``levels[k-1]`` holds the frequent k-itemsets as ``[sid, prefix, item,
     support]`` (persisted, output-sized); ``occurrences[k]`` (kept only for
-    the newest level) is ``[tid, sid, last]``; ``basket`` is the pruned,
+    the newest level) is ``[tid, psid, sid, last]``; ``basket`` is the pruned,
     tid-bucketed basket ``[item, tid]``."""
 
     basket: DataFrame
@@ -179,7 +179,7 @@ def next_level(res: Levels) -> bool:
         # a (k+1)-set needs k+1 frequent k-subsets (levels are always whole)
         res.exhausted = True
         return False
-    ext = extend_occurrences_split(res.occurrences[k], res.basket, res.hot, _hot_salts(res.basket))
+    ext = extend_occurrences_split(res.occurrences[k], res.hot, _hot_salts(res.basket))
     counts = filter_min_support(count_extensions(ext), res.min_sup).persist(StorageLevel.MEMORY_AND_DISK)
     salt = 0
     while True:
@@ -201,7 +201,7 @@ def next_level(res: Levels) -> bool:
     res.salts.append(salt)
     keys = _side(counts.select("sid", "item"), n)
     occ_next = ext.join(keys, ["sid", "item"], "left_semi").select(
-        "tid", child_id("sid", "item", salt).alias("sid"), F.col("item").alias("last")
+        "tid", F.col("sid").alias("psid"), child_id("sid", "item", salt).alias("sid"), F.col("item").alias("last")
     )
     # written bucketed by tid: the lineage is cut here.  The bucket count is
     # that of the basket, or a multiple when the level is larger, so that the

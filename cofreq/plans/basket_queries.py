@@ -142,7 +142,7 @@ def q_max_candidates(spark, sf_dir):
 def q_candidate_support(spark, sf_dir):
     c = ctx(spark, sf_dir)
     res = _two_levels(c)
-    ext = L.extend_occurrences(res.occurrences[2], res.basket)
+    ext = L.extend_occurrences(res.occurrences[2])
     counts = L.count_extensions(ext)
     parents = res.levels[1].select("sid", F.concat("prefix", F.array("item")).alias("pitems"))
     return counts.join(parents, "sid").select(

@@ -100,7 +100,7 @@ def test_x3_counts_and_tids(spark):
     # candidate supports / tids for the reference's candidate set
     cands = {(1, 2), (1, 3), (1, 4), (2, 3), (2, 5), (3, 4), (4, 5)}
     res = first_level(tx, 1)
-    ext = L.extend_occurrences(res.occurrences[1], res.basket)
+    ext = L.extend_occurrences(res.occurrences[1])
     counts = {(r["sid"], r["item"]): r["support"] for r in L.count_extensions(ext).collect()}
     assert {c: counts[c] for c in cands} == {(1, 2): 1, (1, 3): 4, (1, 4): 3, (2, 3): 2, (2, 5): 1, (3, 4): 5, (4, 5): 2}
     ext = ext.select("tid", F.array(F.col("sid").cast("int")).alias("prefix"), "item")
