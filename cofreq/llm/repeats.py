@@ -45,7 +45,6 @@ from cofreq.llm.common import map_arrow, stage, utf8
 WIDTH = 200
 SEED = 32
 HOT = 20_000  # distinct contexts of a seed that one task compares
-SMALL = 1_000_000  # rows up to which a counted side is broadcast
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -204,7 +203,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, width: int, windows: bool) ->
 
     back = width - SEED
     rows = wanted.withColumnsRenamed({"doc_id": "id2", "th": "th2"})
-    joined = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select(
+    joined = docs.join(rows, docs["doc_id"].eqNullSafe(rows["id2"]) & (docs["th"] == rows["th2"])).select(
         "doc_id", "th", "text", "at")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -312,8 +311,6 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, hot: int = HOT, id_col: st
     collect = lambda d: stage(d.groupBy("doc_id", "th").agg(F.collect_list("x").alias("at")), "wanted")
     few = collect(open_.where(F.col("m") <= hot))
     spans = [whole]
-    if (few.agg(F.sum(F.size("at"))).first()[0] or 0) <= SMALL:
-        few = F.broadcast(few)
     spans.append(repeat_groups(_contexts(docs, few, width, False), width).select("doc_id", "th", "start", "end"))
     if ctx.where(F.col("m") > hot).limit(1).count():
         wins = stage(_contexts(docs, collect(open_.where(F.col("m") > hot)), width, True), "windows")
@@ -336,18 +333,21 @@ def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    s = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    return df.join(s, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left").drop("_id", "_th")
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` (with ``doc_id`` and ``th``) and the spans of each row."""
+    s = spans.select(F.col("doc_id").alias("__cofreq_id"), F.col("th").alias("__cofreq_th"), F.col("spans").alias("__cofreq_spans"))
+    return docs.join(s, docs["doc_id"].eqNullSafe(s["__cofreq_id"]) & (docs["th"] == s["__cofreq_th"]), "left")
 
 
 def digest(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``[doc_id, n_bytes, n_removed, n_spans, kept_sha256]`` for every row."""
-    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """``[doc_id, n_bytes, n_removed, n_spans, kept_sha256]`` for every row.
+    (The texts are dealt by the same key as for the contexts, so Spark reuses
+    that exchange.)"""
+    base = _keyed(df, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, removed, count, sha = [], [], [], []
-        for text, found in zip(utf8(batch, "text"), batch.column("_spans").to_pylist()):
+        for text, found in zip(utf8(batch, "text"), batch.column("__cofreq_spans").to_pylist()):
             text, h, at = text or b"", hashlib.sha256(), 0
             cut = merged(found, len(text))
             for a, b in cut:
@@ -363,19 +363,21 @@ def digest(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: st
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return map_arrow(_with_spans(base, spans, "doc_id", "text"), run,
+    joined = _with_spans(base, spans).select("doc_id", "text", "__cofreq_spans")
+    return map_arrow(joined, run,
                      f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def strip(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the spans removed from its text (bytes of a character cut
     in two go too); a null text stays null."""
-    joined = _with_spans(df, spans, id_col, text_col)
+    s = spans.select(F.col("doc_id").alias("__cofreq_id"), F.col("th").alias("__cofreq_th"), F.col("spans").alias("__cofreq_spans"))
+    joined = df.join(s, F.col(id_col).eqNullSafe(F.col("__cofreq_id")) & (F.xxhash64(text_col) == F.col("__cofreq_th")), "left")
     schema = df.schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for text, found in zip(utf8(batch, text_col), batch.column("_spans").to_pylist()):
+        for text, found in zip(utf8(batch, text_col), batch.column("__cofreq_spans").to_pylist()):
             if text is not None and found:
                 parts, at = [], 0
                 for a, b in merged(found, len(text)):
