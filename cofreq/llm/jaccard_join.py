@@ -3,23 +3,23 @@
 A document is the set of its distinct word n-grams (64-bit hashes); documents
 with equal sets form one class, and classes are joined.  Steps:
 
-1. *Frequency classes.*  Every document's n-grams are counted in a table of
-   2^22 counters (a bounded statistic over all documents); n-grams that fall
-   into outstanding counters are *frequent*.  The global order puts rare
-   n-grams first, by hash, and frequent ones last.  Any order gives the same
-   links; this one keeps shared passages out of the prefixes.
+1. *Order.*  Every document's n-grams are counted in a table of 2^22 counters
+   (a bounded statistic over all documents).  The global order puts n-grams
+   with outstanding counters last and the others by hash.  Any order gives the
+   same links; this one keeps shared passages out of the prefixes.
 2. *Prefixes.*  Two sets with similarity >= t share at least k n-grams among
-   the first ``n - ceil(t n) + k`` of each (k = 2).  Either one shared n-gram is
-   rare, or k frequent ones are shared: rare n-grams are index keys by
-   themselves, frequent ones as combinations of k.  Sets so large that
-   combinations would be too many (more than ``COMBINED`` prefix n-grams) use
-   single frequent n-grams, sets near that size use both, so that a linked
-   pair always has a key in common.
-3. *Verification.*  First only neighbours by size under each key are verified
-   against the whole sets and merged into components, which is linear in a
-   group of near copies; then all pairs under a key that are still in
-   different components, after a size test and a parity-bitmap test (both are
-   bounds, never approximations).
+   the first ``n - ceil(t n) + k`` of each (k = 2).  The documents of each
+   prefix n-gram are counted exactly: n-grams of at most ``RARE`` documents are
+   index keys by themselves; if two linked sets share none of those, they share
+   k frequent ones, so frequent n-grams are indexed as combinations of k.  Sets
+   so large that combinations would be too many (more than ``COMBINED`` prefix
+   n-grams) use single frequent n-grams, sets near that size use both, so that a
+   linked pair always has a key in common.
+3. *Verification.*  Under each key and size class every member is first paired
+   with one common partner only (a few rounds, each with another partner), and
+   links are merged into components, which is linear in a group of near
+   copies; then all pairs under a key that are still in different components,
+   after a size test and parity-bitmap tests (bounds, never approximations).
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing (component: own id); fewer than n words are one n-gram; repeated
@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofreq.llm.common import ARROW_ROWS, map_arrow, stage
@@ -44,8 +44,9 @@ from cofreq.session import ship_package
 
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 16
+RARE = 24  # documents up to which an n-gram is an index key by itself
 COMBINED = 65  # prefix n-grams up to which frequent ones are combined
-CHAIN = 100_000  # members of a key that are ordered together
+ROUNDS = 3  # rounds of pairs with one common partner
 SMALL = 1_000_000  # rows up to which a counted side is broadcast
 PARITY_BITS = 1024
 
@@ -125,141 +126,217 @@ def _add_blocks(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"].iloc[:1].to_numpy(), "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def index_keys(grams: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The index keys of one set; ``frequent`` marks its frequent n-grams."""
+def prefix_grams(grams: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n-grams of one set in the global order, one more (k = 2) than
+    linked sets need to share one; ``late`` marks those that come last."""
     n = len(grams)
     if n * (den - num) < num:  # no other set can reach the similarity
         return grams[:0]
-    prefix = n - -(-num * n // den) + 1
-    order = np.lexsort((grams, frequent))[:prefix + 1]  # one more: k = 2
-    first, often = grams[order], frequent[order]
-    rare, common = first[~often], first[often]
-    parts = [rare]
-    if len(common) > 1 and prefix <= COMBINED:
-        i, j = np.triu_indices(len(common), 1)
-        with np.errstate(over="ignore"):
-            parts.append(_mix(common[i] * _M1 + common[j]))
-    # sets this large, or that a set this large can be linked with
-    if len(common) and n * (den - num) >= COMBINED * num:
-        parts.append(common)
-    return np.concatenate(parts)
+    return grams[np.lexsort((grams, late))[:n - -(-num * n // den) + 2]]
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
-    """Parity of the number of n-grams in each of 1024 cells, as 16 longs."""
+    """Parity of the number of n-grams in each of 1024 cells, as bytes."""
     odd = np.bincount((grams & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8))
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, marked: np.ndarray) -> DataFrame:
-    """``[doc_id, n, fp, keys]``: set size, fingerprint (null if empty), index keys."""
+    """``[doc_id, n, fp, keys, bits]``: set size, fingerprint (null if empty),
+    prefix n-grams, parity bitmap."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(marked)  # 512 KB
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = shared.value
-        fp, size, keys = [], [], []
+        fp, size, keys, bit_rows = [], [], [], []
         for g in ngram_sets(batch.column("text"), n):
             cell = (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
             often = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
             size.append(len(g))
             fp.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
-            keys.append(index_keys(g, often, num, den).view(np.int64))
+            keys.append(prefix_grams(g, often, num, den).view(np.int64))
+            bit_rows.append(parity(g).tobytes())
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        # the bitmap folded to 256 cells: a weaker bound that fits into the rows of a join
+        words = np.bitwise_xor.reduce(np.frombuffer(b"".join(bit_rows), np.int64).reshape(-1, 4, 4), axis=1)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()),
-             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], names=["doc_id", "n", "fp", "keys"])
+             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.array(bit_rows, pa.binary()),
+             *(pa.array(w) for w in words.T)], names=["doc_id", "n", "fp", "keys", "bits", "w0", "w1", "w2", "w3"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, run, f"doc_id {kind}, n bigint, fp binary, keys array<bigint>")
+    return map_arrow(docs, run, f"doc_id {kind}, n bigint, fp binary, keys array<bigint>, bits binary, "
+                               "w0 bigint, w1 bigint, w2 bigint, w3 bigint")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``[fp, grams, bits]``: whole sets, for verification."""
+    """``[fp, grams]``: whole sets, for verification."""
     import xxhash
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [g for g in ngram_sets(batch.column("text"), n) if len(g)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in found], pa.binary()),
-             pa.array([g.tobytes() for g in found], pa.binary()),
-             pa.array([parity(g) for g in found], pa.list_(pa.int64()))], names=["fp", "grams", "bits"])
-
-    return map_arrow(docs.select("text"), run, "fp binary, grams binary, bits array<bigint>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``[a, b]`` whose similarity is at least num / den."""
-    distance = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
-                           lambda s, x: s + x)
-    size = lambda c: F.octet_length(c) / 8
-    side = lambda c: sets.select(
-        F.col("fp").alias(c), F.col("grams").alias(f"grams_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        distance * (num + den) <= (size("grams_a") + size("grams_b")) * (den - num))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both_n = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(den * both_n >= num * (len(x) + len(y) - both_n))
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(both.select("a", "b", "grams_a", "grams_b"), run, "a binary, b binary")
+        found = [g.tobytes() for g in ngram_sets(batch.column("text"), n) if len(g)]
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(g) for g in found], pa.binary()),
+                                           pa.array(found, pa.binary())], names=["fp", "grams"])
+
+    return map_arrow(docs.select("text"), run, "fp binary, grams binary")
+
+
+class _Classes:
+    """Classes of equal sets, with what is needed to verify pairs of them."""
+
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int):
+        self.docs, self.n, self.num, self.den = docs, n, num, den
+        sig = stage(signatures(docs, n, num, den, frequent_counters(docs, n)), "signatures")
+        salt = 0  # a class is named by 64 bits; should two share a name, all are named anew
+        while True:
+            self.sig = sig.withColumn("c", F.when(F.col("fp").isNotNull(), F.xxhash64("fp", F.lit(salt))))
+            names = self.sig.groupBy("c").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+            if not names.where(F.col("lo") != F.col("hi")).limit(1).count():
+                break
+            salt += 1
+        self.one = stage(self.sig.where(F.col("c").isNotNull()).groupBy("c").agg(
+            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+            F.first("bits").alias("bits"),
+            *(F.first(f"w{i}").alias(f"w{i}") for i in range(4))), "classes")
+
+    def postings(self) -> DataFrame:
+        """``[key, c, n]``, once for each class (repeated ids apart)."""
+        copies = self.one.where(F.col("copies") > 1).select("c", F.col("doc_id").alias("first"))
+        copies = F.broadcast(copies) if copies.count() <= SMALL else copies
+        rows = self.sig.where(F.size("keys") > 0).join(copies, "c", "left").where(
+            F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
+        return rows.select(F.explode("keys").alias("key"), "c", "n")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose parity bitmaps allow the similarity (a bound)."""
+        side = lambda c: self.one.select(F.col("c").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        num, den = self.num, self.den
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = (np.frombuffer(b"".join(batch.column(f"bits_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                    for c in "ab")
+            size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (num + den) <= size * (den - num)
+            return batch.select(["a", "b"]).filter(pa.array(keep))
+
+        return map_arrow(both, run, "a bigint, b bigint", 8192)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``[a, b]`` whose similarity is at least num / den, by the
+        whole sets of one document of each class concerned."""
+        pairs = stage(self.possible(pairs), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        who = stage(self.one.join(wanted, "c", "left_semi").select("doc_id", "c"), "concerned")
+        # a class of rows without id is found by its fingerprint alone
+        nameless = who.where(F.col("doc_id").isNull()).limit(1).count() > 0
+        ids = who.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+        docs = self.docs.join(ids, "doc_id", "left_semi")
+        docs = docs.unionAll(self.docs.where(F.col("doc_id").isNull())) if nameless else docs
+        names = self.sig.select("fp", "c").join(wanted, "c", "left_semi").dropDuplicates(["c"])
+        sets = stage(_sets(docs, self.n).join(names, "fp").select("c", "grams").dropDuplicates(["c"]), "sets")
+        num, den = self.num, self.den
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both_n = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * both_n >= num * (len(x) + len(y) - both_n))
+            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        side = lambda c: sets.select(F.col("c").alias(c), F.col("grams").alias(f"grams_{c}"))
+        return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint", 256)
+
+
+def index_keys(posting: DataFrame, num: int, den: int) -> DataFrame:
+    """``[key, c, n]`` from the prefix n-grams of all classes: rare ones, pairs
+    of frequent ones, and single frequent ones of large sets; only keys that
+    two classes have in common.  Counts are pre-aggregated, so a hot n-gram is
+    one row a task."""
+    shared = posting.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    known = stage(posting.join(shared, "key"), "postings")
+    rare, often = known.where(F.col("m") <= RARE), known.where(F.col("m") > RARE)
+    # sets this large, or that a set this large can be linked with
+    large = often.where(F.col("n") * (den - num) >= COMBINED * num)
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    own = often.where(prefix <= COMBINED).groupBy("c").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("key")).alias("k"))
+    both = F.flatten(F.transform("k", lambda x, i: F.transform(
+        F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
+    pairs = own.where(F.size("k") > 1).select(F.explode(both).alias("key"), "c", "n")
+    common = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
+    return rare.unionAll(large).select("key", "c", "n").unionAll(pairs.join(common, "key", "left_semi")).distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("c"))
+    return members.join(labels, "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
+
+
+def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``[c, label]`` after adding ``links[a, b]``: components of the links
+    between labels, so that later rounds work on little."""
+    if labels is None:
+        return stage(components(links).select(F.col("node").alias("c"), "label"), "labels")
+    if not links.limit(1).count():
+        return labels
+    ends = links
+    for end in "ab":
+        ends = ends.join(labels.select(F.col("c").alias(end), F.col("label").alias("l")), end, "left").withColumn(
+            end, F.coalesce("l", end)).drop("l")
+    joined = components(ends).select(F.col("node").alias("label"), F.col("label").alias("first"))
+    every = labels.unionAll(joined.select(F.col("label").alias("c"), "label").join(labels.select("c"), "c", "left_anti"))
+    return stage(every.join(joined, "label", "left").select("c", F.coalesce("first", "label").alias("label")), "labels")
 
 
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """``[doc_id, n_shingles, component_id, n_links]`` for every row, where documents
-    with similarity >= num / den are linked."""
+    """``[doc_id, n_shingles, component_id]`` for every row, where documents with
+    similarity >= num / den are linked.  Every pair with a common key that its
+    bounds allow is verified unless its ends are already in one component."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stage(signatures(docs, n, num, den, frequent_counters(docs, n)), "signatures")
-    posting = sig.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "fp", "n")
-    # keys of one class only are dropped; the counts are pre-aggregated, so a hot key is one row a task
-    short = F.xxhash64("fp")
-    shared = posting.groupBy("key").agg(F.min(short).alias("lo"), F.max(short).alias("hi"),
-                                        F.count(F.lit(1)).alias("m")).where(F.col("lo") != F.col("hi")).select("key", "m")
-    members = stage(posting.join(shared, "key").groupBy("key", "fp", "n").agg(F.max("m").alias("m")), "members")
-    # one document of each class that has a key in common with another class
-    wanted = members.select("fp").distinct()
-    who = stage(sig.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "candidates")
-    ids = who.select("doc_id").distinct()
-    ids = F.broadcast(ids) if who.count() <= SMALL else ids
-    sets = stage(_sets(docs.join(ids, "doc_id", "left_semi"), n).dropDuplicates(["fp"]), "sets")
-
-    # neighbours by size under each key; a very large key is ordered in salted parts, whose heads are ordered again
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / CHAIN)))
-    chain = lambda d, *by: d.select(
-        "fp", F.lag("fp").over(Window.partitionBy(*by).orderBy("n", "fp")).alias("other"))
-    heads = salted.where(F.col("m") > CHAIN).groupBy("key", "salt").agg(F.min(F.struct("n", "fp")).alias("head")).select(
-        "key", "head.n", "head.fp")
-    near = chain(salted, "key", "salt").unionAll(chain(heads, "key")).where(F.col("other").isNotNull())
-    pair = lambda d: d.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    links = stage(_verified(pair(near), sets, num, den), "verified")
-    merged = components(links).select(F.col("node").alias("fp"), "label")
+    classes = _Classes(docs, n, num, den)
+    members = stage(index_keys(classes.postings(), num, den), "members")
+    pair = lambda d: d.select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
+
+    # every member of a key and size class with one partner, another in each round
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int")
+    labels = None
+    for turn in range(ROUNDS):
+        rows = _labelled(members, labels).withColumn("class", size_class)
+        partner = rows.groupBy("key", "class").agg(
+            F.min(F.struct(F.xxhash64("c", F.lit(turn)), "c", "label")).alias("p"), F.min("label").alias("lo"),
+            F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select(
+            "key", "class", F.col("p.c").alias("other"), F.col("p.label").alias("label2"))
+        near = rows.join(partner, ["key", "class"]).where(F.col("label") != F.col("label2"))
+        found = stage(classes.verified(pair(near)), "verified")
+        if not found.limit(1).count():
+            break
+        labels = _merge(labels, found)
 
     # all pairs under a key that are still in different components
-    labelled = members.join(merged, "fp", "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    labelled = _labelled(members, labels)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
         F.col("lo") != F.col("hi")).select("key")
-    left = labelled.join(open_keys, "key", "left_semi")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "label")))
+    words = [f"w{i}" for i in range(4)]
+    left = labelled.join(open_keys, "key", "left_semi").join(classes.one.select("c", *words), "c")
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("c", "n", "label", *words)))
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
     rest = left.join(right, "key").where(
-        (F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2"))
-        & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)).select("fp", F.col("fp2").alias("other"))
-    links = stage(links.unionAll(_verified(pair(rest), sets, num, den)), "verified")
-    merged = components(links).select(F.col("node").alias("fp"), "label")
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-
-    rows = sig.select("doc_id", "n", "fp").join(merged, "fp", "left").join(degree, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "fp").alias("label"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        (F.col("c") < F.col("c2")) & (F.col("label") != F.col("label2"))
+        & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
+        & (differ * (num + den) <= (F.col("n") + F.col("n2")) * (den - num))).select("c", F.col("c2").alias("other"))
+    found = stage(classes.verified(pair(rest)), "verified")
+    labels = _merge(labels, found)
+    rows = classes.sig.select("doc_id", "n", "c").join(labels, "c", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "c").alias("label"))
     first = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("first"))
     return rows.join(first, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
-        "n_links")
+        "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
 def keep_first(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -268,9 +345,9 @@ def keep_first(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     smallest id.  Rows without an id cannot be named and stay, one for each
     text; of repeated rows one stays."""
     found = stage(jaccard_components(df, n, num, den, id_col, text_col).select("doc_id", "component_id"), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__cofreq_gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    kept = df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    kept = df.join(gone, F.col(id_col) == F.col("__cofreq_gone"), "left_anti")
     if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).limit(1).count():
-        kept = kept.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+        kept = kept.withColumn("__cofreq_text", F.xxhash64(text_col)).dropDuplicates([id_col, "__cofreq_text"]).drop("__cofreq_text")
     return kept

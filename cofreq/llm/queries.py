@@ -29,8 +29,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard join of all documents: 3-word shingles, similarity 0.9."""
     from cofreq.llm.jaccard_join import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).select(
-        "doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
