@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cofreq.llm.common import map_arrow, stage
 
 TABLES = 4
-CELL_ROWS = 1_500
+CELL_ROWS = 3_000
 PART_ROWS = 8_192
 QUERY_ROWS = 8_192
 CALIBRATION = 64  # queries
