@@ -128,7 +128,7 @@ def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     for depth, names in enumerate(reversed(path)):
         for w in names:
             i, sign = _hash(w, PATH_DIM)
-            x[i] += sign / (1 + 0.25 * depth)
+            x[i] += sign / (1 + 0.5 * depth)
     return x
 
 
@@ -166,15 +166,16 @@ def retemplated(rng: np.random.Generator, pages: list[list]) -> tuple[list, list
     top = (("html",), ("body",))
     wrap = (("div",),) * int(rng.integers(0, 3))
     tag = ("article", "main", "div", "section")[rng.integers(4)]
-    holder = (tag,) if tag in ("article", "main") else (tag, pick(CONTENT))
+    named = f'class="{pick(CONTENT)} {pick(CONTENT)}"' if rng.random() < 0.5 else f'class="{pick(CONTENT)}"'
+    holder = _named(tag, "" if tag in ("article", "main") else named)
     body = top + wrap + (holder,)
     out, labels = [], []
 
     def boiler() -> None:
         word = pick(BOILERPLATE)
-        place = (word,) if word in ("nav", "header", "footer", "aside", "form") else ("div", word)
+        place = (word,) if word in ("nav", "header", "footer", "aside", "form") else _named("div", f'class="{word}"')
         # a container beside the text, or inside its holder
-        base = body if rng.random() < 0.35 else top + wrap
+        base = body if rng.random() < 0.5 else top + wrap
         inner = (("p",), ("p",), ("li",), ("div",))[rng.integers(4)]
         for _ in range(int(rng.integers(1, 7))):
             _, text, linked = other[rng.integers(len(other))]
@@ -273,7 +274,7 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: list[list], epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 3) -> BiLstm:
+def train(pages: list[list], epochs: int = 16, batch: int = 64, rate: float = 0.02, seed: int = 3) -> BiLstm:
     """Fit on the weak labels of ``pages`` and of re-templated forms of them."""
     net = BiLstm(PATH_DIM + WORD_DIM + 5)
     pages = [p for p in pages if p]
