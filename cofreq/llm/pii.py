@@ -14,17 +14,24 @@ matches themselves (``regexp_extract_all``) alternate, so running sums of their
 lengths are the offsets, in code points.  Running sums are taken in blocks, so
 a very long text with many matches costs time in proportion to them.
 
-The trees are fitted on a bounded sample of candidates (weak labels: base
-spans are positive, matches that fail the validity test negative; the national
-forms of sampled phones and the spelled-out forms of sampled addresses are
-added as positives); they become one SQL expression.
+The trees are fitted on labelled candidates in the generators' own forms, of
+all kinds: base matches of a bounded sample are rewritten into them where they
+stand (matches that pass the validity test are positive, others negative), and
+fixed ones are added, so that every kind has both labels in any corpus
+(negatives: order and part numbers, failed check digits, key fingerprints,
+scores, prices, prose with 'at' and 'dot').  The validity test itself is no
+feature.  A kind's threshold is the smallest score, but at least 0, at which
+held-out precision is 0.99, or the log-odds of 0.99 where none is.  The trees
+become one SQL expression.
 
 Defined results: null text is empty; repeated rows are searched one by one;
-other columns are ignored (``redact`` keeps them); an empty table or a sample
-without negatives gives base spans alone."""
+other columns are ignored (``redact`` keeps them); an empty table gives base
+spans alone."""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +41,7 @@ from cofreq.llm.common import row_sample
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 20_000  # documents whose candidates the trees are fitted on, at most about
 SAMPLE_ROWS = 20_000  # candidates of the sample that are used
+FORMS = 600  # training candidates of a kind and label from the sample, and as many fixed ones
 BLOCK = 256
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -55,9 +63,17 @@ MORE = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}", "phone": r"\+[0-9]"}
 MORE_NEEDS = {"email": r"(?:\(at\)|\[at\]| dot )", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}[._/][0-9]{4}",
               "phone": r"[0-9]{3}[ .-][0-9]{4}"}
-FEATURES = ("kind", "chars", "digits", "separators", "plus", "check_digit", "valid", "letter_before", "letter_after",
-            "digit_near", "cue_before", "blank_before")
-_CUES = r"(?i)(?:mail|contact|write|reach|call|phone|tel|mobile|fax|card|visa|pay|account|ip|host|server|address|:\s*$)"
+FEATURES = ("kind", "chars", "digits", "separators", "check_digit", "longest_group", "bracket", "spaced", "first_digits",
+            "top_domain", "letter_before", "letter_after", "digit_near", "own_cue", "other_cue", "blank_before")
+_OWN = {
+    "email": r"(?i)(?:mail|contact|write|reach|address|send|:\s*$)",
+    "ip": r"(?i)(?:\bip|host|server|address|ping|node|client|peer|gateway|:\s*$)",
+    "card": r"(?i)(?:card|visa|pay|account|master|amex|credit|debit|:\s*$)",
+    "phone": r"(?i)(?:call|phone|\btel|mobile|fax|\bcell|dial|reach|contact|:\s*$)",
+}
+_OTHER = (r"(?i)(?:order|invoice|isbn|\bpart|serial|\bsku|\bref|\bcase|ticket|version|\bitem|model|\blot\b|batch|total"
+          r"|guid|\bmac\b|\bkey|hash|fingerprint|score|ratio|look|stare|\baim|point|price|sold|bought)")
+_DOMAIN = r"(?i)(?:[.]|dot[)\]]? ?)(?:com|org|net|edu|gov|mil|int|info|biz|io|de|uk|fr|es|it|nl|pl|ru|jp|cn|br|eu|ch|at|ca|au|se)$"
 
 
 def running_sums(values: Column) -> Column:
@@ -113,13 +129,21 @@ def valid(c: Column) -> Column:
 def features(c: Column) -> list[Column]:
     """The features of a candidate, in the order of ``FEATURES``, as doubles."""
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    n = F.length(digits(c["hit"]))
+    hit, number = c["hit"], digits(c["hit"])
+    n = F.length(number)
+    own = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        own = own | ((c["kind"] == k) & c["before"].rlike(_OWN[kind]))
     return [
-        c["kind"].cast("double"), F.length(c["hit"]).cast("double"), n.cast("double"),
-        (F.length(c["hit"]) - F.length(F.regexp_replace(c["hit"], "[ ().:@_/-]", ""))).cast("double"),
-        flag(F.left(c["hit"], F.lit(1)) == "+"), flag((n > 0) & _luhn(F.when(n > 0, digits(c["hit"])).otherwise("1"))),
-        flag(valid(c)), flag(c["before"].rlike(r"\p{L}$")), flag(c["after"].rlike(r"^\p{L}")),
-        flag(c["before"].rlike("[0-9.]$") | c["after"].rlike("^[0-9]")), flag(c["before"].rlike(_CUES)),
+        c["kind"].cast("double"), F.length(hit).cast("double"), n.cast("double"),
+        (F.length(hit) - F.length(F.regexp_replace(hit, "[ ().:@_/-]", ""))).cast("double"),
+        flag((n > 0) & _luhn(F.when(n > 0, number).otherwise("1"))),
+        F.array_max(F.transform(F.split(hit, "[^0-9A-Za-z]+"), F.length)).cast("double"),
+        flag(hit.rlike(r"[(\[]")), flag(hit.rlike(" ")),
+        # the digits that area codes, exchanges and card numbers begin with
+        flag(F.when(c["kind"] == 2, hit.rlike("^[3-6]")).otherwise(number.rlike("^[2-9][0-9]{2}[2-9]"))),
+        flag(hit.rlike(_DOMAIN)), flag(c["before"].rlike(r"\p{L}$")), flag(c["after"].rlike(r"^\p{L}")),
+        flag(c["before"].rlike("[0-9.]$") | c["after"].rlike("^[0-9]")), flag(own), flag(c["before"].rlike(_OTHER)),
         flag((F.length(c["before"]) == 0) | c["before"].rlike(r"\s$"))]
 
 
@@ -144,7 +168,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 25, rate: float = 0.3) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3) -> Trees:
     """Logistic boosting; then, for each kind, the smallest threshold at which
     held-out precision is 0.99."""
     never = Trees(-9.0, [], [1e9] * len(KINDS))
@@ -152,7 +176,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 25, rate: float = 0.3) ->
         return never
     held = np.arange(len(y)) % 4 == 3
     xt, yt = x[~held], y[~held]
-    model = Trees(float(np.log(max(yt.mean(), 1e-3) / max(1 - yt.mean(), 1e-3))), [], [1e9] * len(KINDS))
+    model = Trees(float(np.log(max(yt.mean(), 1e-3) / max(1 - yt.mean(), 1e-3))), [], [float(np.log(99))] * len(KINDS))
     cuts = [np.unique(np.quantile(xt[:, f], np.linspace(0.05, 0.95, 12))) for f in range(x.shape[1])]
 
     def split(rows: np.ndarray, grad: np.ndarray, hess: np.ndarray):
@@ -190,29 +214,120 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 25, rate: float = 0.3) ->
     return model
 
 
+def _luhn_digit(number: str) -> str:
+    """The digit that completes ``number`` to one with a right check digit."""
+    doubled = [int(d) * (2 - i % 2) for i, d in enumerate(reversed(number))]
+    return str(-sum(d - 9 if d > 9 else d for d in doubled) % 10)
+
+
+def _national(rng: random.Random, n: str) -> str:
+    return rng.choice(("({}) {}-{}", "({}){}-{}", "{}-{}-{}", "{}.{}.{}", "{} {}-{}", "{} {} {}")).format(n[:3], n[3:6], n[6:10])
+
+
+def _spelled(rng: random.Random, name: str, host: str) -> str:
+    at, dot = rng.choice(((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."),
+                          (" [at] ", "."), (" at ", " dot ")))
+    return name + at + dot.join(host.split("."))
+
+
+def _grouped(rng: random.Random, n: str) -> str:
+    return rng.choice("._/").join(n[i:i + 4] for i in range(0, len(n), 4))
+
+
+def _hex(rng: random.Random, sizes) -> str:
+    return ":".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice(sizes))) for _ in range(8))
+
+
+def rewritten(rng: random.Random, kind: int, hit: str, good: bool) -> str | None:
+    """A base match in a generator's form; None if it has none."""
+    n = "".join(d for d in hit if "0" <= d <= "9")
+    if kind == 0:
+        return _spelled(rng, *hit.split("@", 1))
+    if kind == 1:
+        return _hex(rng, (4, 4, 4, 3, 1)) if good else _hex(rng, (2,))
+    if kind == 2:
+        return _grouped(rng, n) if 14 <= len(n) <= 16 else None
+    return _national(rng, n[-10:]) if len(n) >= 10 else None
+
+
+def fixed_forms(each: int = FORMS, seed: int = 9) -> list[tuple[int, str, str, str, bool]]:
+    """``(kind, hit, before, after, label)``: labelled candidates of every form
+    in varied contexts."""
+    rng = random.Random(seed)
+    number = lambda n, first="0123456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    plain = ("", "and ", "to ", "is ", "the ", "from ", "or ", "see ", "(", "\n", "then ", "use ")
+    cues = (("mail ", "contact: ", "write to ", "reach ", "e-mail: ", "send it to "),
+            ("ip ", "host ", "server ", "address: ", "ping ", "client ", "node "),
+            ("card ", "visa ", "pay with ", "account ", "credit card: ", "debit card "),
+            ("call ", "phone: ", "tel. ", "mobile ", "fax ", "dial ", "contact us: "))
+    others = ("order ", "order no. ", "invoice ", "isbn ", "part ", "serial no. ", "sku ", "ref. ", "case ", "ticket ",
+              "version ", "item ", "model ", "lot ", "batch ", "total ")
+    names = (("look ", "stare ", "aim ", "point ", "sold ", "bought ", "price ", *plain), ("guid ", "mac ", "key ", "hash ",
+             "fingerprint ", "score ", "ratio ", *plain), others + plain, others)
+    afters = ("", " ", ". ", ", ", " now", " or ", ")", "\n")
+    out = []
+    for _ in range(each):
+        for kind in range(4):
+            before = rng.choice(("", "Please ", "we ", "so ")) + rng.choice(cues[kind] if rng.random() < 0.5 else plain)
+            if kind == 0:
+                hit = _spelled(rng, word(), word() + rng.choice((".com", ".org", ".net", ".edu", ".de", ".co.uk", ".io")))
+            elif kind == 1:
+                hit = _hex(rng, rng.choice(((4,), (4, 4, 3, 1), (1, 4), (1, 2, 3, 4))))
+                while max(map(len, hit.split(":"))) < 3:
+                    hit = _hex(rng, (4,))
+            elif kind == 2:
+                body = number(rng.choice((13, 14, 15, 15, 15)), "3456")
+                hit = _grouped(rng, body + _luhn_digit(body))
+            else:
+                hit = _national(rng, number(3, "23456789") + number(7, "23456789"))
+                if "(" not in hit and " " in hit.replace("-", " ") and rng.random() < 0.5:
+                    before = rng.choice(cues[3])
+            out.append((kind, hit, before, rng.choice(afters), True))
+            before = rng.choice(("", "The ", "my ", "so ")) + rng.choice(names[kind])
+            if kind == 0:
+                hit = rng.choice((f"{word()} (at) {rng.randint(1, 99)}.{number(2)}", f"{word()} [at] {word()}.{number(2)}",
+                                  f"{word()} at {word()} dot {word()}s", f"look at {word()} dot", f"{word()} (at) {word()}.Then"))
+                if hit.endswith(" dot"):
+                    hit += " " + rng.choice(("on", "and", "that", "here", "which", "above"))
+            elif kind == 1:
+                hit = rng.choice((_hex(rng, (2,)), ":".join(number(rng.randint(1, 2)) for _ in range(8))))
+            elif kind == 2:
+                hit = _grouped(rng, number(rng.choice((14, 15, 16, 16, 16))))
+                body = "".join(d for d in hit if d.isdigit())
+                if body[-1] == _luhn_digit(body[:-1]) and not before.endswith(others):  # a right check digit by chance
+                    before = rng.choice(others)
+            else:
+                hit = _national(rng, number(10))
+            out.append((kind, hit, before, rng.choice(afters), False))
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Fit on the candidates of a bounded sample of documents."""
+    """Fit on the rewritten candidates of a bounded sample of documents and on
+    the fixed ones."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = docs.count()
+    if not n:
+        return boost(np.zeros((0, len(FEATURES))), np.zeros(0))
     sample = row_sample(rows, "id", n, SAMPLE_DOCS).where(F.col("text").rlike("[0-9@]"))
     found = sample.select(F.explode(F.concat(*(matches(F.col("text"), k, BASE[kind], NEEDS[kind])
                                                for k, kind in enumerate(KINDS)))).alias("c"))
-    found = found.where((F.col("c.kind") != 2) | (F.length(digits(F.col("c.hit"))) >= 12))
-    got = found.select(valid(F.col("c")).alias("y"), F.array(*features(F.col("c"))).alias("x"),
+    found = found.where(((F.col("c.kind") != 2) | (F.length(digits(F.col("c.hit"))) >= 12)) & (F.length("c.hit") <= 100))
+    got = found.select("c.kind", "c.hit", "c.before", "c.after", valid(F.col("c")).alias("y"),
                        F.xxhash64("c.hit", "c.before").alias("o")).orderBy("o").limit(SAMPLE_ROWS).collect()
-    x = np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES))
-    y = np.array([1.0 if r["y"] else 0.0 for r in got])
-    # the other written forms of true spans: a national phone number, a spelled-out address
-    phones, mails = x[(x[:, 0] == 3) & (y == 1)].copy(), x[(x[:, 0] == 0) & (y == 1)].copy()
-    col = {f: i for i, f in enumerate(FEATURES)}
-    phones[:, col["plus"]] = 0
-    phones[:, col["digits"]] = 10
-    phones[:, col["chars"]] = np.minimum(phones[:, col["chars"]], 14)
-    mails[:, col["chars"]] += 6
-    mails[:, col["separators"]] += 4
-    x, y = np.vstack([x, phones, mails]), np.concatenate([y, np.ones(len(phones) + len(mails))])
-    order = np.random.default_rng(7).permutation(len(y))
-    return boost(x[order], y[order])
+    rng, forms, used = random.Random(7), fixed_forms(), {}
+    for r in got:
+        form = rewritten(rng, r["kind"], r["hit"], r["y"])
+        used[r["kind"], r["y"]] = used.get((r["kind"], r["y"]), 0) + (form is not None)
+        if form is not None and used[r["kind"], r["y"]] <= FORMS:
+            forms.append((r["kind"], form, r["before"], r["after"], r["y"]))
+    rng.shuffle(forms)
+    cases = docs.sparkSession.createDataFrame([(i, *f) for i, f in enumerate(forms)],
+                                              "i int, kind int, hit string, before string, after string, y boolean")
+    c = {name: F.col(name) for name in ("kind", "hit", "before", "after")}
+    made = sorted(cases.select("i", "y", F.array(*features(c)).alias("x")).collect(), key=lambda r: r["i"])
+    return boost(np.array([r["x"] for r in made], float), np.array([float(r["y"]) for r in made]))
 
 
 def find(text: Column, model: Trees) -> tuple[Column, Column]:
@@ -221,7 +336,10 @@ def find(text: Column, model: Trees) -> tuple[Column, Column]:
     base = F.filter(F.concat(*(matches(text, k, BASE[kind], NEEDS[kind]) for k, kind in enumerate(KINDS))), valid)
     more = F.concat(*(matches(text, k, MORE[kind], MORE_NEEDS[kind]) for k, kind in enumerate(KINDS)))
     threshold = lambda c: F.element_at(F.array(*(F.lit(float(t)) for t in model.threshold)), c["kind"] + 1)
-    return base, F.filter(more, lambda c: model.expression(features(c)) >= threshold(c))
+    # the features are worked out once for each candidate
+    scored = F.transform(more, lambda c: F.struct(c.alias("c"), F.array(*features(c)).alias("x")))
+    taken = F.filter(scored, lambda s: model.expression([F.get(s["x"], i) for i in range(len(FEATURES))]) >= threshold(s["c"]))
+    return base, F.transform(taken, lambda s: s["c"])
 
 
 def _listed(spans: Column) -> Column:

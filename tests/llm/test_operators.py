@@ -493,6 +493,25 @@ def test_pii_added_spans_and_redaction(spark):
     assert not fit(real.limit(0)).trees
 
 
+def test_pii_candidates_of_all_kinds(spark):
+    from cofreq.llm.pii import FEATURES, KINDS, detect, digest, fit
+
+    v6 = "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    taken = {"reach joe (at) ex (dot) com today": "email:6:27", "write to jo at example dot com": "email:9:30",
+             f"ping {v6} now": "ip:5:44", f"it came from {v6}.": "ip:13:52", "card 4111.1111.1111.1111 ok": "card:5:24",
+             "we used 4111_1111_1111_1111 then": "card:8:27", "phone: 555.234.4567": "phone:7:19", "or 555-234-4567.": "phone:3:15"}
+    left = ["look at red dot now", "apples (at) 3.50 each", "key 01:23:45:67:89:ab:cd:ef", "score 1:2:3:4:5:6:7:8",
+            "serial no. 4111.1111.1111.1112", "order no. 1234.5678.9012.3456", "part 123 456 7890 is", "order 123-456-7890"]
+    # also where many base matches of the sample fail their test, and where there are none
+    failing = documents(spark, [f"see 300.{i}.1.1 and 41111111111{i:05d} +12 or +1 (234) 555-6{i:03d}, a{i}@b.co" for i in range(60)])
+    for corpus in (spark.read.parquet(f"{SF}/documents.parquet"), failing, documents(spark, ["no digit"])):
+        model = fit(corpus)
+        assert "valid" not in FEATURES and len(model.threshold) == len(KINDS) and max(model.threshold) < 100
+        frame = documents(spark, [*taken, *left]).dropDuplicates(["doc_id"])
+        got = {r["doc_id"]: r["spans"] for r in digest(detect(frame, model)).collect()}
+        assert [got[i] for i in range(len(got))] == [*taken.values(), *[""] * len(left)]
+
+
 # --- 10 nearest neighbours ----------------------------------------------------
 
 
