@@ -60,7 +60,7 @@ MORE = {
     "card": r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{2,4}(?![0-9.])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}", "phone": r"\+[0-9]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 MORE_NEEDS = {"email": r"(?:\(at\)|\[at\]| dot )", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}[._/][0-9]{4}",
               "phone": r"[0-9]{3}[ .-][0-9]{4}"}
 FEATURES = ("kind", "chars", "digits", "separators", "check_digit", "longest_group", "bracket", "spaced", "first_digits",
@@ -383,5 +383,5 @@ def redact(df: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     kept = F.zip_with(left, right, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     labels = F.transform("__cofreq_spans", lambda c: F.element_at(names, c["kind"] + 1))
     built = F.array_join(F.transform(kept, lambda k, i: F.concat(k, F.coalesce(F.get(labels, i), F.lit("")))), "")
-    marked = df.withColumn("__cofreq_spans", F.when(text.rlike(r"[0-9@]|[(\[]at[)\]]| at "), merged))
+    marked = df.withColumn("__cofreq_spans", F.when(text.rlike("|".join((*NEEDS.values(), *MORE_NEEDS.values()))), merged))
     return marked.withColumn(text_col, F.when(F.size("__cofreq_spans") > 0, built).otherwise(text)).drop("__cofreq_spans")

@@ -512,6 +512,21 @@ def test_pii_candidates_of_all_kinds(spark):
         assert [got[i] for i in range(len(got))] == [*taken.values(), *[""] * len(left)]
 
 
+def test_pii_needs_cover_the_formats(spark):
+    from cofreq.llm.pii import Trees, detect, digest, redact
+
+    single = [" ".join("4111111111111111"), "pay " + "-".join("4111111111111111") + "!", "é 4-1 1-1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    frame = documents(spark, single)
+    got = by_id(digest(detect(frame, Trees(-9.0, [], [1e9] * 4))), "n_card", "base_sha256", "spans")
+    spans = [brute_spans(t) for t in single]
+    assert all(spans) and got == sorted((1, hashlib.sha256(x.encode()).hexdigest(), x) for x in spans)
+    # redaction finds what detection does, also without a digit
+    every = Trees(9.0, [], [0.0] * 4)
+    frame = documents(spark, [*single, "at abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd here"])
+    assert by_id(redact(frame, every), "doc_id", "text") == [
+        (0, "[CARD]"), (1, "pay [CARD]!"), (2, "é [CARD]"), (3, "at [IP] here")]
+
+
 # --- 10 nearest neighbours ----------------------------------------------------
 
 
