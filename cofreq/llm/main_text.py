@@ -48,11 +48,12 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY_SAME = {"li", "tr", "td", "th", "dt", "dd", "option"}
 _BLOCK_IN_P = "p"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|select|svg|iframe|button)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>"
-    r"|<[!?][^>]*+>|<[/!a-zA-Z][^<>]*+\Z", re.S | re.I)
+_SKIPPED = set("script style noscript template title textarea select svg iframe button".split())
+_MARK = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)|<[!?]")
+# up to the '>' of a tag; a quote counts after '=' only, and an unclosed one is an ordinary character
+_ATTRS = re.compile(r"(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)*+")
+_TAIL = re.compile(r"<!--.*|<[/!a-zA-Z][^<>]*+\Z", re.S)
+_ENDS = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in _SKIPPED}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+(?:-[a-z]+)?")
 
@@ -66,6 +67,34 @@ def _named(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(words)
 
 
+def _tags(page: str):
+    """(start, end, closing, tag, attributes) of the markup of a page; the tag
+    is empty for comments and declarations, the attributes are None for skipped
+    elements.  Linear: where scans for the end of a tag have failed over eight
+    times the page, a tag ends at the first '>'."""
+    at, failed, last = 0, 0, page.rfind(">")
+    while (m := _MARK.search(page, at, last + 1)) is not None:
+        start, tag = m.start(), (m[2] or "").lower()
+        if not tag:
+            end = page.find("-->", start + 4) + 2 if m[0] == "<!--" else page.find(">", start)
+            at = end + 1 if end > start else len(page)
+            yield start, at, False, "", ""
+            continue
+        end = _ATTRS.match(page, m.end()).end() if failed <= 8 * len(page) else len(page)
+        if end == len(page):  # the only '>' are in quotes
+            failed += end - start
+            end = page.find(">", m.end())
+        attrs, at = page[m.end():end], end + 1
+        if tag in _SKIPPED and not m[1] and not (tag == "svg" and attrs.rstrip().endswith("/")):
+            close = _ENDS[tag].search(page, at)
+            at = close.end() if close else len(page)
+            yield start, at, False, tag, None
+        else:
+            yield start, at, bool(m[1]), tag, attrs
+    for m in _TAIL.finditer(page, max(at, last + 1)):  # cut off in a comment or tag
+        yield m.start(), m.end(), False, "", ""
+
+
 def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     """(path, text, linked characters) of each leaf block."""
     out: list = []
@@ -88,29 +117,29 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
             parts.append(piece)
             linked += len(piece) if in_link else 0
 
-    for m in _TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        tag = m[3]
+    for start, end, closing, tag, attrs in _tags(page):
+        add(page[at:start])
+        at = end
         if not tag:
-            if m[1]:
-                close()
             continue
-        tag = tag.lower()
+        if attrs is None:
+            close()
+            continue
         if tag == "a":
-            in_link = not m[2]
+            in_link = not closing
         if tag in _INLINE:
             continue
         close()
-        if m[2]:
+        if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        elif tag not in _VOID and not m[4].rstrip().endswith("/"):
+        elif tag not in _VOID and not attrs.rstrip().endswith("/"):
             if stack and stack[-1][0] == _BLOCK_IN_P or tag in _CLOSED_BY_SAME and stack and stack[-1][0] == tag:
                 stack.pop()  # a paragraph ends where a block begins
-            stack.append((tag, _named(tag, m[4])))
+            # long attributes are not kept in the cache
+            stack.append((tag, (_named if len(attrs) <= 4096 else _named.__wrapped__)(tag, attrs)))
     add(page[at:])
     close()
     return out

@@ -393,6 +393,29 @@ def test_main_text(spark):
     assert extract(frame.limit(0), net).count() == 0
 
 
+def test_markup_of_ordinary_pages():
+    from cofreq.llm.main_text import blocks
+
+    read = lambda page: [(tuple(p[0] for p in path), text) for path, text, _ in blocks(page)]
+    uri = "data:image/png;base64," + "iVBORw0KGgo+/" * 2000
+    # long attribute values, of an inline element and of a container
+    assert read(f'<p>one <img src="{uri}"> two</p>') == [(("p",), "one two")]
+    assert read(f"<div><section data-x='{uri} > {uri}'><p>one</p></section><p>two</p></div>") == [
+        (("div", "section", "p"), "one"), (("div", "p"), "two")]
+    # self-closed svg, elements whose names begin like those of skipped ones
+    assert read('<p>one</p><svg class="i" /><p>two</p><svg><text>no</text></svg><p>three</p>') == [
+        (("p",), "one"), (("p",), "two"), (("p",), "three")]
+    assert read("<button-bar><p>one</p></button-bar><p>two</p><button>no</button>") == [
+        (("button-bar", "p"), "one"), (("p",), "two")]
+    # quotes that are no values, unclosed quotes and tags
+    assert read("<p don't>one</p><p class=\"a\"\">two</p>") == [(("p",), "one"), (("p",), "two")]
+    assert read('<p title="a>one</p><p>two</p>') == [(("p",), "one"), (("p",), "two")]
+    assert read("one<!-- a > b --><p>two</p>three <a href='x") == [((), "one"), (("p",), "two"), ((), "three")]
+    # such pages take linear time
+    for page in ('<a x="', "<a ", '<a x=">"', "<svg ", "<a<", "<!--", "<p title='\">"):
+        blocks(page * 50_000)
+
+
 def test_lstm_gradients():
     from cofreq.llm.main_text import BiLstm
 
