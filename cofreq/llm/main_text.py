@@ -7,12 +7,14 @@ A bidirectional LSTM (numpy) reads the whole sequence, so that every block is
 classified with the context of the document; blocks labelled content are
 joined in page order.
 
-The network is trained on the driver on a bounded sample of pages.  Labels are
+The network is trained on the driver on a bounded sample of pages, of any
+length: of a long one, a run of blocks from a hashed place.  Labels are
 weak: a block is boilerplate if the vocabulary of boilerplate containers
 occurs on its path, content if that of content containers does, otherwise
 content if it is a long run of unlinked words.  Each sampled page is also used
 in re-templated forms (other containers around the same texts), so that the
-network does not depend on one site's markup.
+network does not depend on one site's markup.  Where no sampled page has a
+block, the weak labels themselves decide.
 
 Defined results: null and empty html, and pages without a content block, give
 the empty text; unclosed and truncated tags are tolerated; repeated rows are
@@ -21,6 +23,7 @@ read one by one; other columns are ignored."""
 from __future__ import annotations
 
 import html
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from cofreq.llm.common import map_arrow, row_sample, utf8
 
 SAMPLE_PAGES = 240  # pages the network is trained on, at most about
-SAMPLE_CHARS = 30_000  # longer pages are not sampled
+SAMPLE_CHARS = 30_000  # of a longer sampled page, a run of blocks of about this length is used
 PATH_DIM, WORD_DIM, HIDDEN = 256, 24, 12
 
 # fixed values: words of class and id attributes and tags, by what they hold
@@ -161,7 +164,9 @@ def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     return x
 
 
-def features(found: list) -> np.ndarray:
+def features(found: list, first: int = 0, total: int | None = None) -> np.ndarray:
+    """Of a page's blocks, or of a run of them from block ``first`` of ``total``."""
+    total = total or len(found)
     x = np.zeros((len(found), PATH_DIM + WORD_DIM + 5))
     for i, (path, text, linked) in enumerate(found):
         x[i, :PATH_DIM] = _path_vector(path)
@@ -171,10 +176,31 @@ def features(found: list) -> np.ndarray:
             j, sign = _hash(w[:24], WORD_DIM)
             x[i, PATH_DIM + j] += sign / (4 * len(few) ** 0.5)
         x[i, -5:] = (np.log1p(len(words)) / 4, linked / max(1, len(text)),
-                     sum(map(text.count, ".,;:!?")) / max(1, len(words)), i / len(found), 1.0)
+                     sum(map(text.count, ".,;:!?")) / max(1, len(words)), (first + i) / total, 1.0)
     return x
 
 
+def window(page: str) -> tuple[list, int, int]:
+    """(blocks, number of the first, number in the page): all blocks, or a run
+    of about ``SAMPLE_CHARS`` characters from a hashed place."""
+    found = blocks(page)
+    sizes = np.array([len(text) + sum(len(n) for names in path for n in names) for path, text, _ in found], np.int64)
+    if sizes.sum() <= SAMPLE_CHARS:
+        return found, 0, len(found)
+    ends = np.cumsum(sizes)
+    # a place among the characters, so that the run is not cut short by the end
+    place = zlib.crc32(page.encode("utf-8", "replace")) / 2 ** 32 * max(0, int(ends[-1]) - SAMPLE_CHARS)
+    first = int(np.searchsorted(ends, place, "right"))
+    out, left = [], SAMPLE_CHARS
+    for (path, text, linked), size in zip(found[first:], sizes[first:]):
+        if left <= 0:
+            break
+        part = text[:max(1, left)]
+        out.append((path, part, linked * len(part) // len(text)))
+        left -= int(size)
+    return out, first, len(found)
+
+
 def weak_label(block) -> int:
     path, text, linked = block
     words = {w for names in path for w in names}
@@ -303,17 +329,20 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: list[list], epochs: int = 16, batch: int = 64, rate: float = 0.02, seed: int = 3) -> BiLstm:
-    """Fit on the weak labels of ``pages`` and of re-templated forms of them."""
+def train(pages: list[list], epochs: int = 16, batch: int = 64, rate: float = 0.02, seed: int = 3,
+          places: list[tuple[int, int]] | None = None) -> BiLstm | None:
+    """Fit on the weak labels of ``pages`` and of re-templated forms of them;
+    None if they have no block.  ``places`` are the first block and the number
+    of blocks of the pages that are windows of longer ones."""
     net = BiLstm(PATH_DIM + WORD_DIM + 5)
-    pages = [p for p in pages if p]
+    kept = [(p, at) for p, at in zip(pages, places or [(0, len(p)) for p in pages]) if p]
+    pages = [p for p, _ in kept]
     if not pages:
-        net.p["z"][:] = 1.0
-        return net
+        return None
     rng = np.random.default_rng(seed)
-    data = [(p, [weak_label(b) for b in p]) for p in pages]
-    data += [retemplated(rng, pages) for _ in range(max(500, 2 * len(pages)))]
-    data = [(features(b)[:120], np.array(y[:120])) for b, y in data]
+    data = [(p, [weak_label(b) for b in p], at) for p, at in kept]
+    data += [(*retemplated(rng, pages), (0, None)) for _ in range(max(500, 2 * len(pages)))]
+    data = [(features(b, *at)[:120], np.array(y[:120])) for b, y, at in data]
     data.sort(key=lambda d: len(d[0]))
     groups = [data[i:i + batch] for i in range(0, len(data), batch)]
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -333,16 +362,25 @@ def train(pages: list[list], epochs: int = 16, batch: int = 64, rate: float = 0.
     return net
 
 
-def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BiLstm:
-    rows = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BiLstm | None:
+    rows = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") > 0)
     n = rows.count()
-    picked = row_sample(rows.where(F.length("html").between(1, SAMPLE_CHARS)), "id", n, SAMPLE_PAGES)
-    return train([blocks(h) for h in sorted(r["html"] for r in picked.limit(2 * SAMPLE_PAGES).collect())])
+    picked = row_sample(rows, "id", n, SAMPLE_PAGES).limit(2 * SAMPLE_PAGES)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [json.dumps(window(h.decode("utf-8", "replace"))) for h in utf8(batch, "html")]
+        return pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["cut"])
+
+    got = [json.loads(r["cut"]) for r in sorted(map_arrow(picked.select("html"), run, "cut string").collect())]
+    pages = [[(tuple(map(tuple, path)), text, linked) for path, text, linked in found] for found, _, _ in got]
+    return train(pages, places=[(first, total) for _, first, total in got])
 
 
-def label(net: BiLstm, pages: list[list]) -> list[np.ndarray]:
+def label(net: BiLstm | None, pages: list[list]) -> list[np.ndarray]:
     """Which blocks of each page are content; pages of similar length are read
-    together."""
+    together.  Without a network the weak labels decide."""
+    if net is None:
+        return [np.array([weak_label(b) for b in p], bool) for p in pages]
     out: list = [np.zeros(0, bool)] * len(pages)
     order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if pages[i]]
     for at in range(0, len(order), 64):
@@ -354,7 +392,7 @@ def label(net: BiLstm, pages: list[list]) -> list[np.ndarray]:
     return out
 
 
-def extract(df: DataFrame, net: BiLstm, id_col: str = "page_id", url_col: str = "url",
+def extract(df: DataFrame, net: BiLstm | None, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """``[page_id, url, text, n_chars]`` for every row."""
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

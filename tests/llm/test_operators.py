@@ -416,6 +416,29 @@ def test_markup_of_ordinary_pages():
         blocks(page * 50_000)
 
 
+def test_main_text_of_long_pages(spark):
+    from cofreq.llm.main_text import SAMPLE_CHARS, extract, fit, window
+
+    story = lambda i: f"Part {i} of the story goes on for quite a while, one word after another, to its end."
+    page = lambda k: ("<nav><a href=x>Home</a></nav>" + "<article>" + "".join(f"<p>{story(i + k)}</p>" for i in range(600))
+                      + "</article><div class='comments'>" + f"<p>{story(k)} I agree.</p>" * 9 + "</div><footer>Terms</footer>")
+    pages = [page(k) for k in range(30)]
+    assert all(len(p) > 30_000 for p in pages)
+    found, first, total = window(pages[0])
+    assert 0 < len(found) < total and sum(len(t) for _, t, _ in found) <= SAMPLE_CHARS and first + len(found) <= total
+    assert len({window(p)[1] for p in pages}) > 10
+    one, _, _ = window("<p>" + "word " * 50_000)
+    assert len(one) == 1 and len(one[0][1]) <= SAMPLE_CHARS
+    frame = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    net = fit(frame)
+    assert net is not None
+    out = {r["page_id"]: r["text"] for r in extract(frame, net).collect()}
+    assert out == {k: " ".join(story(i + k) for i in range(600)) for k in range(30)}
+    # nothing to train on: weak labels
+    assert fit(frame.where("page_id < 0")) is None
+    assert extract(frame.where("page_id = 3"), None).first()["text"] == out[3]
+
+
 def test_lstm_gradients():
     from cofreq.llm.main_text import BiLstm
 
