@@ -37,6 +37,7 @@ from cofreq.llm.common import map_arrow, row_sample, utf8
 
 SAMPLE_PAGES = 240  # pages the network is trained on, at most about
 SAMPLE_CHARS = 30_000  # of a longer sampled page, a run of blocks of about this length is used
+WINDOW_BLOCKS = 120  # a training sequence; of a longer one a random run of blocks is used
 PATH_DIM, WORD_DIM, HIDDEN = 256, 24, 12
 
 # fixed values: words of class and id attributes and tags, by what they hold
@@ -154,6 +155,12 @@ def _hash(word: str, dim: int) -> tuple[int, float]:
     return h % dim, 1.0 if h & 0x10000 else -1.0
 
 
+@lru_cache(maxsize=200_000)
+def _slot(word: str) -> int:
+    j, sign = _hash.__wrapped__(word, WORD_DIM)
+    return j + WORD_DIM * (sign > 0)
+
+
 @lru_cache(maxsize=20_000)
 def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     x = np.zeros(PATH_DIM)
@@ -171,10 +178,9 @@ def features(found: list, first: int = 0, total: int | None = None) -> np.ndarra
     for i, (path, text, linked) in enumerate(found):
         x[i, :PATH_DIM] = _path_vector(path)
         words = text.split(" ")
-        few = words if len(words) <= 64 else words[:32] + words[-32:]
-        for w in few:
-            j, sign = _hash(w[:24], WORD_DIM)
-            x[i, PATH_DIM + j] += sign / (4 * len(few) ** 0.5)
+        slot = _slot if max(map(len, words)) <= 64 else _slot.__wrapped__  # long words are not kept in the cache
+        count = np.bincount(list(map(slot, words)), minlength=2 * WORD_DIM)
+        x[i, PATH_DIM:PATH_DIM + WORD_DIM] = (count[WORD_DIM:] - count[:WORD_DIM]) / (4 * len(words) ** 0.5)
         x[i, -5:] = (np.log1p(len(words)) / 4, linked / max(1, len(text)),
                      sum(map(text.count, ".,;:!?")) / max(1, len(words)), (first + i) / total, 1.0)
     return x
@@ -342,7 +348,8 @@ def train(pages: list[list], epochs: int = 16, batch: int = 64, rate: float = 0.
     rng = np.random.default_rng(seed)
     data = [(p, [weak_label(b) for b in p], at) for p, at in kept]
     data += [(*retemplated(rng, pages), (0, None)) for _ in range(max(500, 2 * len(pages)))]
-    data = [(features(b, *at)[:120], np.array(y[:120])) for b, y, at in data]
+    runs = [int(rng.integers(max(1, len(b) - WINDOW_BLOCKS + 1))) for b, _, _ in data]
+    data = [(features(b, *at)[r:r + WINDOW_BLOCKS], np.array(y[r:r + WINDOW_BLOCKS])) for (b, y, at), r in zip(data, runs)]
     data.sort(key=lambda d: len(d[0]))
     groups = [data[i:i + batch] for i in range(0, len(data), batch)]
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}

@@ -439,6 +439,22 @@ def test_main_text_of_long_pages(spark):
     assert extract(frame.where("page_id = 3"), None).first()["text"] == out[3]
 
 
+def test_block_features_read_all_words(monkeypatch):
+    from cofreq.llm import main_text
+
+    block = lambda middle: ((("p",),), "a " * 40 + middle + " z" * 40, 0)
+    one, two = (main_text.features([block(m)]) for m in ("privacy " * 20 + "cookies", "ocean " * 20 + "islands"))
+    assert (one != two).any()
+    tails = [main_text.features([((("p",),), "x" * 30 + c, 0)]) for c in "abcd"]
+    assert any((t != tails[0]).any() for t in tails)
+    # training sees the last blocks of long pages too
+    seen = set()
+    padded = main_text._padded
+    monkeypatch.setattr(main_text, "_padded", lambda seqs: [seen.update(s[:, -2]) for s in seqs] and padded(seqs))
+    main_text.train([[((("p",),), f"word {i} and so on", 0) for i in range(400)] for _ in range(20)], epochs=1)
+    assert max(seen) > 0.9 and min(seen) < 0.1
+
+
 def test_lstm_gradients():
     from cofreq.llm.main_text import BiLstm
 
