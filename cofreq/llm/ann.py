@@ -13,6 +13,9 @@ K follows the number of rows (cells hold about ``CELL_ROWS``).  The number of
 probes is the smallest that finds 95 % of the true neighbours of a bounded
 number of calibration queries, which are compared with every row; if all
 one-step cells are not enough, K is lowered (down to one cell: exact search).
+A query that finds fewer rows than there are to find (an outlier whose cells
+hold too few) is asked again with half the K, down to one cell, so every query
+gets ``top`` rows, or all others if there are fewer.
 Every row is indexed.  A cell with many rows is split into parts of about
 ``PART_ROWS`` and each of its queries visits all parts, so no cell has to fit
 one task.
@@ -211,18 +214,9 @@ def _norm(rows: DataFrame, dim: int):
     return norm("vec")
 
 
-def nearest(df: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-            tables: int = TABLES) -> DataFrame:
-    """``[query_id, rank, vec_id, score]``: for every row whose id is divisible
-    by ``every``, the ``top`` nearest of all other rows that were found."""
-    rows = usable(df, id_col, vec_col)
-    queries = rows.where(F.col("vec_id") % every == 0)
-    n_rows = rows.count()
-    if n_rows < 2:
-        return _best(rows.where(F.lit(False)).select(F.col("vec_id").alias("query_id"), "vec_id",
-                                                     F.lit(0.0).alias("score")), top)
-    h, n_probes = calibrate(rows, queries, n_rows, top, tables)
-    shared = df.sparkSession.sparkContext.broadcast(h)
+def _search(rows: DataFrame, queries: DataFrame, h: Hashing, n_probes: int, top: int) -> DataFrame:
+    """``[query_id, vec_id, score]``: the best rows of each visited cell part."""
+    shared = rows.sparkSession.sparkContext.broadcast(h)
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, h = _matrix(batch.column("vec").to_pylist()), shared.value
@@ -257,6 +251,33 @@ def nearest(df: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     key = ["cell", "part", "block"]
-    found = side_q.groupBy(*key).cogroup(side_r.groupBy(*key)).applyInPandas(
+    return side_q.groupBy(*key).cogroup(side_r.groupBy(*key)).applyInPandas(
         compare, "query_id bigint, vec_id bigint, score double")
-    return _best(found, top)
+
+
+def nearest(df: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
+            tables: int = TABLES) -> DataFrame:
+    """``[query_id, rank, vec_id, score]``: for every row whose id is divisible
+    by ``every``, the ``top`` nearest of all other rows that were found; fewer
+    only if there are fewer other rows."""
+    rows = usable(df, id_col, vec_col)
+    queries = rows.where(F.col("vec_id") % every == 0)
+    n_rows = rows.count()
+    if n_rows < 2:
+        return _best(rows.where(F.lit(False)).select(F.col("vec_id").alias("query_id"), "vec_id",
+                                                     F.lit(0.0).alias("score")), top)
+    h, n_probes = calibrate(rows, queries, n_rows, top, tables)
+    found = _best(_search(rows, queries, h, n_probes, top), top)
+    if not h.k:
+        return found
+    found = stage(found, "found")
+    while h.k:  # queries with too few finds
+        enough = found.groupBy("query_id").count().where(F.col("count") >= min(top, n_rows - 1))
+        short = stage(queries.join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
+        if short.isEmpty():
+            break
+        k = h.k // 2
+        h = Hashing(h.a.shape[1] - 1, k, tables if k else 1, h.top, h.width / 2)
+        more = _search(rows, short, h, min(len(h.template), max(n_probes, 2 * k + 1)), top)
+        found = stage(_best(found.drop("rank").unionByName(more), top), "found")
+    return found

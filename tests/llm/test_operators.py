@@ -626,6 +626,27 @@ def test_nearest_cases(spark):
     assert nearest(frame.limit(0)).count() == 0
 
 
+def test_nearest_of_isolated_vectors(spark, monkeypatch):
+    from cofreq.llm import ann
+
+    monkeypatch.setattr(ann, "CELL_ROWS", 10)
+    monkeypatch.setattr(ann, "PART_ROWS", 30)
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    centres = unit(rng.standard_normal((12, 16)))
+    v = centres[rng.integers(12, size=3000)] + 0.02 * rng.standard_normal((3000, 16))
+    v[[0, 1000, 2000]] = unit(-centres[:3] - centres[3:6])  # three queries far from every cluster
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    rounds, search = [], ann._search
+    monkeypatch.setattr(ann, "_search", lambda *a: rounds.append(a[2].k) or search(*a))
+    got = by_id(ann.nearest(frame), "query_id", "rank", "vec_id")
+    truth = brute_nearest(np.arange(3000), v)
+    assert len(rounds) > 1  # some queries did need another round
+    assert [g[:2] for g in got] == [t[:2] for t in truth]
+    pairs = lambda rows: {(q, x) for q, _, x in rows}
+    assert len(pairs(got) & pairs(truth)) >= 0.8 * len(truth)
+
+
 # --- all ----------------------------------------------------------------------
 
 
