@@ -61,6 +61,13 @@ def bytes_len(col: str) -> Column:
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("bigint")
 
 
+def text_window(text: Column, key: Column, n_chars: int) -> Column:
+    """``text``, or a run of ``n_chars`` characters of a longer one from a place
+    chosen by a hash of ``key``.  For the same samples as ``row_sample``."""
+    place = F.pmod(F.xxhash64(key, F.length(text)), (F.length(text) - n_chars + 1).cast("bigint")).cast("int")
+    return F.when(F.length(text) <= n_chars, text).otherwise(F.substring(text, place + 1, F.lit(n_chars)))
+
+
 def row_sample(df: DataFrame, key: str, n_rows: int, target: int) -> DataFrame:
     """About ``target`` of ``n_rows`` rows, chosen by a hash of ``key``
     (deterministic).  Only for the bounded samples that classifiers are fitted

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.llm.common import map_arrow, row_sample, utf8
+from cofreq.llm.common import map_arrow, row_sample, text_window, utf8
 
 DICT_BYTES = 110_000  # of one language's dictionary
 ALL_DICT_BYTES = 32 << 20  # of all of them: the broadcast bound
 SAMPLE_DOCS = 1_500  # labelled texts per language that a dictionary is cut from, at most about
-SAMPLE_CHARS = 4_000  # longer texts are not sampled
+SAMPLE_CHARS = 4_000  # of a longer sampled text, a run of this length is used
 BLOCK = 4_096  # bytes encoded at once
 MIN_MARGIN = 0.01
 
@@ -41,18 +41,22 @@ def normalise(text: str) -> bytes:
 def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      lang_col: str = "lang") -> dict[str, bytes]:
     """Language -> raw dictionary content, from a bounded sample of the rows
-    with a language."""
+    with a language and a letter, whatever their length."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     each = min(DICT_BYTES, ALL_DICT_BYTES // len(counts))
     target = max(8, SAMPLE_DOCS * each // DICT_BYTES)
-    short = rows.where(F.length("text") <= SAMPLE_CHARS)
-    picked = reduce(DataFrame.unionByName, (row_sample(short.where(F.col("lang") == F.lit(lang)), "id", n, target)
-                                            for lang, n in sorted(counts.items()) if n > target), short.where(
+    picked = reduce(DataFrame.unionByName, (row_sample(rows.where(F.col("lang") == F.lit(lang)), "id", n, target)
+                                            for lang, n in sorted(counts.items()) if n > target), rows.where(
         F.col("lang").isin([lang for lang, n in counts.items() if n <= target])))
+    # in a long text only letters count, so that its run is not all digits
+    letters = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(
+        F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " "))
+    picked = picked.select("id", "lang", letters.alias("text")).select(
+        "lang", text_window(F.col("text"), F.col("id"), SAMPLE_CHARS).alias("text"))
     texts: dict[str, set[bytes]] = {}
     for r in picked.collect():  # about ``target`` texts of a language, SAMPLE_CHARS each at most
         texts.setdefault(r["lang"], set()).add(normalise(r["text"]))

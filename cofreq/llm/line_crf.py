@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.llm.common import map_arrow, row_sample, utf8
+from cofreq.llm.common import map_arrow, row_sample, stage, text_window, utf8
 
 SAMPLE_DOCS = 2_000  # labelled documents the field is fitted on, at most about
-SAMPLE_CHARS = 8_000  # longer texts are not sampled
+SAMPLE_CHARS = 8_000  # of a longer sampled text, a run of lines of about this length is used
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 CONTENT_SHARE = 0.5
 _BLANKS, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -191,9 +191,11 @@ def fit(texts: list[bytes], good: list[bool], rounds: int = 150, rate: float = 0
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Fit on a bounded sample of the labelled documents."""
+    """Fit on a bounded sample of the labelled documents, whatever their length."""
     marks = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("quality")).where(
         F.col("id").isNotNull() & F.col("quality").isin(0, 1)).dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
+    marks = stage(marks.join(texts.select("id"), "id", "left_semi"), "labels")
     counts = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for q, n in sorted(counts.items()):  # as many good as bad ones
@@ -201,9 +203,12 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         picked = part if picked is None else picked.unionByName(part)
     if picked is None:
         return fit([], [])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
-        F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(picked), "id")  # about SAMPLE_DOCS ids
-    rows = sorted({(r["id"], r["quality"], r["text"]) for r in texts.collect()})
+    # of a long text a run of lines: the cut first and last line go if others are left
+    some = text_window(F.col("text"), F.col("id"), SAMPLE_CHARS)
+    whole = F.regexp_extract(some, r"(?s)\A[^\n]*+\n(.*)\n[^\n]*\Z", 1)
+    cut = F.when((F.length("text") <= SAMPLE_CHARS) | ~whole.rlike(r"\S"), some).otherwise(whole)
+    found = texts.join(F.broadcast(picked), "id").select("id", "quality", cut.alias("text"))  # about SAMPLE_DOCS ids
+    rows = sorted({(r["id"], r["quality"], r["text"]) for r in found.collect()})
     return fit([r[2].encode("utf-8", "replace") for r in rows], [r[1] == 1 for r in rows])
 
 

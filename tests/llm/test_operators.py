@@ -323,6 +323,35 @@ def test_language_cases(spark, docs):
     assert {r["lang_pred"] for r in both.collect()} == {"aa"}
 
 
+def test_languages_of_long_texts(spark):
+    from cofreq.llm.langid import DICT_BYTES, SAMPLE_CHARS, fit_dictionaries, identify
+
+    en, de = "the house of the old man and his dog is on the hill ", "das haus des alten mannes und sein hund auf dem berg "
+    rows = [(i, en * 200 + str(i), "en", "s", 0) for i in range(20)] + [(20 + i, de + str(i), "de", "s", 0) for i in range(20)]
+    rows.append((40, "1234567890" * 3000 + " " + "bonjour la maison", "fr", "s", 0))
+    rows += [(41 + i, "12 34", "it", "s", 0) for i in range(9)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    dicts = fit_dictionaries(frame)
+    assert set(dicts) == {"en", "de", "fr"} and all(0 < len(d) <= DICT_BYTES for d in dicts.values())
+    assert len(dicts["en"]) <= 20 * (SAMPLE_CHARS + 1)
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(frame, dicts).collect()}
+    assert {got[i] for i in range(20)} == {"en"} and {got[i] for i in range(20, 40)} == {"de"}
+
+
+def test_quality_of_long_texts(spark):
+    from cofreq.llm.line_crf import SAMPLE_CHARS, fit_from_labels, judge
+
+    good, junk = "The old man walked along the river and thought of his house.", "$$$ >>> 4711 ### buy!!! 99% @@ 0815 |||"
+    body = lambda line, i, n: "\n".join(f"{line} {j * 31 + i}" for j in range(n))
+    rows = [(i, body(junk, i, 900), "en", "s", 0) for i in range(20)] + [(20 + i, body(good, i, 9), "en", "s", 0) for i in range(20)]
+    rows += [(40, "\n".join(["x" * 3 * SAMPLE_CHARS]), "en", "s", 0)]
+    assert len(rows[0][1]) > SAMPLE_CHARS
+    frame = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(20 <= i < 40)) for i in range(60)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["content_share"] for r in judge(frame, fit_from_labels(frame, labels)).collect()}
+    assert max(got[i] for i in range(20)) < 0.5 < min(got[i] for i in range(20, 40))
+
+
 # --- 6 byte-level BPE ---------------------------------------------------------
 
 
