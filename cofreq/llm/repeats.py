@@ -15,10 +15,13 @@ else (same document included) is removed.  Steps:
    their right part (the suffixes that begin at the anchors); the common
    prefixes of neighbours form an interval tree, found by a stack scan.  Each
    interval is a set of occurrences that share exactly so many bytes to the
-   right; it is a maximal repeat if its left extensions differ.  Inside an
-   interval the members are grouped by how far they also agree to the left, so
-   all occurrences of a repeat are found, not only neighbours in the array.
-4. *Spans.*  The union of the covered ranges of a document is removed.
+   right.  Inside an interval the members are grouped by how far they also
+   agree to the left, so all occurrences of a repeat are found, not only
+   neighbours in the array.  Whether left extensions differ is not tested, so a
+   group may be listed again for its parent intervals.
+4. *Spans.*  The union of the covered ranges of a document is removed.  Groups
+   of maximal repeats with all their occurrences are not an output: contexts
+   equal as a whole and windows of hot seeds are found by hash counts only.
 
 A seed with more than ``HOT`` distinct contexts is split: each context is
 replaced by its windows (one row for each offset), which are counted by
@@ -160,8 +163,8 @@ def interval_tree(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 def maximal_repeats(left: list[bytes], right: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, list]:
     """For occurrences of one seed, given the reversed bytes to their left and
     the bytes from the anchor on: how far the longest covering repeats reach
-    to the (left, right) of each (0, 0: none), and the maximal repeats found
-    as (bytes left, bytes right, members)."""
+    to the (left, right) of each (0, 0: none), and the repeats found as (bytes
+    left, bytes right, members); a repeat may be listed for several intervals."""
     m = len(left)
     reach_l, reach_r, groups = np.zeros(m, np.int64), np.zeros(m, np.int64), []
     if m < 2:
@@ -186,8 +189,7 @@ def maximal_repeats(left: list[bytes], right: list[bytes], width: int) -> tuple[
         hit = np.concatenate([[False], enough]) | np.concatenate([enough, [False]])
         reach_l[members[hit]] = np.maximum(reach_l[members[hit]], best[hit])
         reach_r[members[hit]] = np.maximum(reach_r[members[hit]], length)
-        # left-extension diversity: runs that agree far enough to the left are
-        # the occurrences of one repeat, which cannot be extended for all
+        # runs that agree far enough to the left are the occurrences of one repeat
         cuts = np.flatnonzero(~enough) + 1
         for run in np.split(np.arange(len(members)), cuts):
             if len(run) > 1:
@@ -256,8 +258,8 @@ def _by_seed(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
 
 def repeat_groups(contexts: DataFrame, width: int) -> DataFrame:
     """Interval tree of every seed's contexts: ``[doc_id, th, start, end,
-    repeat]``, the longest covering ranges and, in ``repeat``, the id of the
-    maximal repeat each belongs to (null for a range from several)."""
+    repeat]``, the longest covering ranges and, in ``repeat``, the id of one
+    repeat each belongs to (the last one found)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pd.DataFrame] = []
         held = 0
