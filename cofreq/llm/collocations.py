@@ -25,6 +25,7 @@ rows; a word of any length is a word; other columns are ignored."""
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,7 +43,8 @@ HEADROOM = 2
 HELD = 4_000_000  # occurrences that a task sorts at a time
 PARTITION_MASS = 1 << 26  # occurrences of a hash partition, about
 MAX_BITMAP_BITS = 30  # 128 MB
-HELD_PHRASES = 200_000
+HELD_PHRASES = 200_000  # phrases that a task holds before it hands their counts back
+PART_PHRASES = 100_000  # phrases whose counts one task adds up, about
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -244,16 +246,21 @@ def hash_bitmap(found: DataFrame, part_bits: int, bits: int) -> np.ndarray:
     return out
 
 
-def exact_counts(docs: DataFrame, bitmap: np.ndarray, bits: int, max_words: int) -> DataFrame:
-    """``[lang, phrase, words, f]``: occurrences of the phrases that the bitmap
-    lets through; a null phrase counts all words of its language."""
+def exact_counts(docs: DataFrame, bitmap: np.ndarray, bits: int, max_words: int, threshold: int, n_parts: int) -> DataFrame:
+    """``[lang, phrase, words, f]``: the phrases that the bitmap lets through and
+    that have ``threshold`` occurrences; a null phrase counts all words of its
+    language.  Tasks hand back their counts sorted and packed, dealt into
+    ``n_parts`` parts by the phrase; the counts of a part are added up in turn."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 
-    def rows(held: dict) -> pa.RecordBatch:
-        lang, phrase, words = zip(*held)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()),
-             pa.array(held.values(), pa.int64())], names=["lang", "phrase", "words", "f"])
+    def packed(held: dict) -> pa.RecordBatch:
+        dealt: dict[int, list] = {}
+        for key in sorted(held):
+            dealt.setdefault(zlib.crc32(key[1]) % n_parts, []).append((*key, held[key]))
+        return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(
+            [_ipc(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema))
+             for rows in dealt.values()], pa.binary())], names=["part", "counts"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed, held = shared.value, {}
@@ -261,23 +268,55 @@ def exact_counts(docs: DataFrame, bitmap: np.ndarray, bits: int, max_words: int)
             for lang, words in _by_lang(batch):
                 if not len(words.codes):
                     continue
-                total = (lang, None, 0)
-                held[total] = held.get(total, 0) + len(words.codes)
+                held[lang, b""] = held.get((lang, b""), 0) + len(words.codes)
                 for n, start, h in words.hashes(lang, max_words):
                     place = (h >> np.uint64(64 - bits)).astype(np.int64)
                     hit = (allowed[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
                     for at, f in distinct_phrases(words, start[hit], h[hit], n):
-                        key = (lang, words.phrase(at, n), n)
+                        key = (lang, words.phrase(at, n))
                         held[key] = held.get(key, 0) + f
                 if len(held) >= HELD_PHRASES:
-                    yield rows(held)
+                    yield packed(held)
                     held = {}
         if held:
-            yield rows(held)
+            yield packed(held)
+
+    def total(tables: list) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(schema.names)
+
+    def frequent(tables: list) -> list[pa.RecordBatch]:
+        table = total(tables)
+        table = table.filter(pc.or_(pc.greater_equal(table["f"], threshold), pc.equal(pc.binary_length(table["phrase"]), 0)))
+        phrase = pc.if_else(pc.equal(pc.binary_length(table["phrase"]), 0), None, table["phrase"].cast(pa.string()))
+        words = pc.if_else(pc.is_null(phrase), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+        made = pa.table({"lang": table["lang"], "phrase": phrase, "words": words, "f": table["f"]})
+        return made.combine_chunks().to_batches()
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tables = None, []
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                if p != part and tables:
+                    yield from frequent(tables)
+                    tables = []
+                part = p
+                tables.append(pa.ipc.open_stream(blob).read_all())
+                if sum(len(t) for t in tables[1:]) > 1_000_000:
+                    tables = [total(tables)]
+        if tables:
+            yield from frequent(tables)
 
     ship_package(docs.sparkSession)
-    found = docs.mapInArrow(count, "lang string, phrase string, words int, f bigint")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    found = docs.mapInArrow(count, "part int, counts binary")
+    return found.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(
+        add, "lang string, phrase string, words int, f bigint")
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def distinct_phrases(words: Words, start: np.ndarray, h: np.ndarray, n: int) -> Iterable[tuple[int, int]]:
@@ -302,8 +341,9 @@ def phrase_counts(df: DataFrame, threshold: int = 100, max_words: int = MAX_WORD
     bits = min(MAX_BITMAP_BITS, max(18, (8 * mass // threshold).bit_length()))
     batch_sizes(docs.sparkSession)
     found = stage(survivors(docs, threshold, max_words, mass), "survivors")
-    counts = exact_counts(docs, hash_bitmap(found, partition_bits(docs, mass), bits), bits, max_words)
-    return counts.where(F.col("phrase").isNull() | (F.col("f") >= threshold))
+    bitmap = hash_bitmap(found, partition_bits(docs, mass), bits)
+    n_parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-found.count() // PART_PHRASES))
+    return exact_counts(docs, bitmap, bits, max_words, threshold, n_parts)
 
 
 def _words(phrase: Column, first: Column, n: Column) -> Column:
