@@ -36,7 +36,8 @@ from cofreq.llm.common import batch_sizes, stage, utf8
 from cofreq.session import ship_package
 
 SCALE = 1_000_000_000
-HELD = 200_000  # entries that a task holds before it hands them back
+HELD = 500_000  # entries that a task holds before it hands them back
+ONE_DOC = 1 << 40  # an entry counts occurrences below, documents above this
 CHUNK_TERMS = 4_096
 BLOCK_SOURCES = 256
 
@@ -53,30 +54,28 @@ def sparse_counts(df: DataFrame, lang_col: str = "lang", source_col: str = "sour
     """``[lang, source, term, n, docs]``: occurrences and documents of each term,
     summed over the table; a null term counts the documents of the group."""
     def rows(held: dict[tuple, dict]) -> pa.RecordBatch:
-        flat = [(lang, source, term, n, docs) for (lang, source), terms in held.items() for term, (n, docs) in terms.items()]
-        lang, source, term, n, docs = zip(*flat)
+        flat = [(lang, source, term, both) for (lang, source), terms in held.items() for term, both in terms.items()]
+        lang, source, term, both = zip(*flat)
+        both = np.array(both, np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array(x, pa.binary()).cast(pa.string()) for x in (lang, source, term)]
-            + [pa.array(x, pa.int64()) for x in (n, docs)], names=["lang", "source", "term", "n", "docs"])
+            + [pa.array(both % ONE_DOC), pa.array(both // ONE_DOC)], names=["lang", "source", "term", "n", "docs"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, size, seen = {}, 0, 0
         for batch in batches:
             for lang, source, text in zip(*(utf8(batch, c) for c in ("lang", "source", "text"))):
-                terms = held.setdefault((lang, source), {None: [0, 0]})
+                terms = held.setdefault((lang, source), {None: 0})
                 before = len(terms)
-                terms[None][1] += 1
+                terms[None] += ONE_DOC
+                get = terms.get
                 for term, n in term_counts(text).items():
-                    entry = terms.get(term)
-                    if entry is None:
-                        terms[term] = [n, 1]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
+                    terms[term] = get(term, 0) + n + ONE_DOC
                 size += len(terms) - before + 1
-                if size >= HELD:
+                seen += len(text)
+                if size >= HELD or seen >= ONE_DOC // 2:
                     yield rows(held)
-                    held, size = {}, 0
+                    held, size, seen = {}, 0, 0
         if held:
             yield rows(held)
 
@@ -90,8 +89,10 @@ def sparse_counts(df: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (n + 1) / (total + terms)), exactly."""
-    up = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    return F.lit(1).cast("bigint") + F.call_function("div", up, (total + terms).cast("decimal(20,0)"))
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + terms).cast("decimal(20,0)"))
+    # products that 64 bits hold need no decimals
+    return F.lit(1).cast("bigint") + F.when(n < 9 * SCALE, F.call_function("div", F.lit(SCALE).cast("bigint") * (n + 1), total + terms)
+                                            ).otherwise(wide)
 
 
 def _divergence(p: Column, q: Column) -> Column:
