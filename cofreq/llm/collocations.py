@@ -35,28 +35,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofreq.llm.common import batch_sizes, stage
+from cofreq.llm.summaries import M1, frequent_hashes, hash_bitmap, in_bitmap, mix
 from cofreq.session import ship_package
 
 MAX_WORDS = 5
-KEY_BITS = 36  # of a hash within its partition
-HEADROOM = 2
-HELD = 4_000_000  # occurrences that a task sorts at a time
-PARTITION_MASS = 1 << 26  # occurrences of a hash partition, about
-MAX_BITMAP_BITS = 30  # 128 MB
 HELD_PHRASES = 200_000  # phrases that a task holds before it hands their counts back
 PART_PHRASES = 100_000  # phrases whose counts one task adds up, about
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if b in _MARKS else 32 if b == 9 else b + 32 if chr(b) in string.ascii_uppercase else b for b in range(256))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
 class Words:
     """The words of some texts of one language: ``codes`` into ``vocabulary``,
     and the ``piece`` that each word is in."""
@@ -84,7 +73,7 @@ class Words:
                 inside = self.piece[start + n - 1] == self.piece[start]
                 h, start = h[:len(start)][inside], start[inside]
             with np.errstate(over="ignore"):
-                h = _mix(h * _M1 + word[start + n - 1] + np.uint64(n))
+                h = mix(h * M1 + word[start + n - 1] + np.uint64(n))
             yield n, start, h
 
     def phrase(self, start: int, n: int) -> bytes:
@@ -99,151 +88,20 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, Words]]:
         yield lang, Words(found)
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys of at most 40 bits, with counts, as bytes: planes of
-    the differences, which compress well, and 32-bit counts."""
-    import zstandard
-
-    gaps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T
-    planes = counts.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(gaps.tobytes() + planes.tobytes(), 1)
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(9, -1)
-    gaps = np.zeros((raw.shape[1], 8), np.uint8)
-    gaps[:, :5] = raw[:5].T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(raw[5:].T).view("<u4").ravel().astype(np.int64)
-
-
-def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
-
-
-class Summary:
-    """A mergeable Misra-Gries summary: ``keys`` with ``counts``, of each of
-    which at most ``off`` occurrences have been taken off."""
-
-    def __init__(self, capacity: int, threshold: int):
-        self.capacity, self.threshold, self.off = max(1, capacity), threshold, 0
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.waiting: list = []
-        self.n_waiting = 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((keys, counts))
-        self.n_waiting += len(keys)
-        if self.n_waiting > max(self.capacity, 1 << 20):
-            self.settle()
-
-    def settle(self) -> None:
-        if not self.waiting:
-            return
-        keys, counts = zip((self.keys, self.counts), *self.waiting)
-        self.keys, self.counts = added(np.concatenate(keys), np.concatenate(counts))
-        self.waiting, self.n_waiting = [], 0
-        while len(self.keys) > self.capacity:
-            cut = len(self.counts) - self.capacity - 1
-            value = int(np.partition(self.counts, cut)[cut])
-            if self.off + value > self.threshold // HEADROOM:
-                self.capacity *= 2  # exact in any case: more counters rather than a larger error
-                continue
-            self.off += value
-            keep = self.counts > value
-            self.keys, self.counts = self.keys[keep], self.counts[keep] - value
-
-    def survivors(self) -> np.ndarray:
-        """The keys that may have ``threshold`` occurrences."""
-        self.settle()
-        return self.keys[self.counts + self.off >= self.threshold]
-
-
 def _texts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def partition_bits(docs: DataFrame, mass: int) -> int:
-    """Bits that name a hash partition: about ``PARTITION_MASS`` occurrences in
-    each, and some partitions for every core."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return max(4, (2 * cores - 1).bit_length(), (mass // PARTITION_MASS).bit_length())
-
-
 def survivors(docs: DataFrame, threshold: int, max_words: int, mass: int) -> DataFrame:
     """``[part, key]`` of every phrase of ``docs[lang, text]`` with at least
-    ``threshold`` occurrences, and of some others.  ``mass`` (an estimate of the
-    number of occurrences) sets the partitions and first capacities only."""
-    part_bits = partition_bits(docs, mass)
-    n_parts = 1 << part_bits
-    capacity = HEADROOM * mass // (threshold * n_parts) + 1
-    shift, low = np.uint64(64 - part_bits - KEY_BITS), np.uint64((1 << KEY_BITS) - 1)
-
-    def handed(held: list) -> pa.RecordBatch:
-        h = np.sort(np.concatenate(held) >> shift)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        keys, counts = h[first], np.diff(first, append=len(h))
-        ends = np.searchsorted(keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
-        found = [(p, pack(keys[a:b] & low, counts[a:b])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([s for _, s in found], pa.binary())],
-                                          names=["part", "summary"])
-
-    def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for lang, words in _by_lang(batch):
-                for _, _, h in words.hashes(lang, max_words):
-                    if len(h):
-                        held.append(h)
-                        size += len(h)
-            if size >= HELD:
-                yield handed(held)
-                held, size = [], 0
-        if held:
-            yield handed(held)
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, summary = None, None
-
-        def done() -> pa.RecordBatch:
-            keys = summary.survivors()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part), pa.int32()), pa.array(keys.view(np.int64))],
-                                              names=["part", "key"])
-
-        for batch in batches:
-            for p, packed in zip(batch.column("part").to_pylist(), batch.column("summary").to_pylist()):
-                if p != part:
-                    if part is not None:
-                        yield done()
-                    part, summary = p, Summary(capacity, threshold)
-                summary.add(*unpack(packed))
-        if part is not None:
-            yield done()
-
-    ship_package(docs.sparkSession)
-    packed = docs.mapInArrow(summarise, "part int, summary binary")
-    return packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, key bigint")
-
+    ``threshold`` occurrences, and of some others."""
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for lang, words in _by_lang(batch):
+            for _, _, h in words.hashes(lang, max_words):
+                yield h
 
-def hash_bitmap(found: DataFrame, part_bits: int, bits: int) -> np.ndarray:
-    """The survivors as a bitmap over the first ``bits`` bits of their hashes.
-    At most 2 ** bits bits reach the driver."""
-    place = F.shiftrightunsigned(F.shiftleft(F.col("part").cast("bigint"), KEY_BITS).bitwiseOR(F.col("key")),
-                                 part_bits + KEY_BITS - bits) + 1
-    rows = found.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")).collect()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        piece = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-        at = (r["bucket"] - 1) * len(piece)
-        out[at:at + len(piece)] = piece[:len(out) - at]
-    return out
+    return frequent_hashes(docs, hashes, threshold, mass)
 
 
 def exact_counts(docs: DataFrame, bitmap: np.ndarray, bits: int, max_words: int, threshold: int, n_parts: int) -> DataFrame:
@@ -270,8 +128,7 @@ def exact_counts(docs: DataFrame, bitmap: np.ndarray, bits: int, max_words: int,
                     continue
                 held[lang, b""] = held.get((lang, b""), 0) + len(words.codes)
                 for n, start, h in words.hashes(lang, max_words):
-                    place = (h >> np.uint64(64 - bits)).astype(np.int64)
-                    hit = (allowed[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                    hit = in_bitmap(h, allowed, bits)
                     for at, f in distinct_phrases(words, start[hit], h[hit], n):
                         key = (lang, words.phrase(at, n))
                         held[key] = held.get(key, 0) + f
@@ -338,10 +195,9 @@ def phrase_counts(df: DataFrame, threshold: int = 100, max_words: int = MAX_WORD
     docs = _texts(df, lang_col, text_col)
     n_bytes = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     mass = max(1, n_bytes * max_words // 6)
-    bits = min(MAX_BITMAP_BITS, max(18, (8 * mass // threshold).bit_length()))
     batch_sizes(docs.sparkSession)
     found = stage(survivors(docs, threshold, max_words, mass), "survivors")
-    bitmap = hash_bitmap(found, partition_bits(docs, mass), bits)
+    bitmap, bits = hash_bitmap(found, threshold, mass)
     n_parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-found.count() // PART_PHRASES))
     return exact_counts(docs, bitmap, bits, max_words, threshold, n_parts)
 

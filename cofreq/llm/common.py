@@ -31,7 +31,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cofreq_stage = path
+    return written
+
+
+def free(*staged: DataFrame | None) -> None:
+    """Delete the files of tables that ``stage`` returned, once everything made
+    from them is written itself."""
+    for df in staged:
+        path = getattr(df, "_cofreq_stage", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def batch_sizes(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

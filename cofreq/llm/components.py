@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.llm.common import stage
+from cofreq.llm.common import free, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         size = lambda e: e.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same = size(edges) == size(after)
+        free(edges)
         edges = after
         if same:
             break

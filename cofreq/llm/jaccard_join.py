@@ -3,23 +3,29 @@
 A document is the set of its distinct word n-grams (64-bit hashes); documents
 with equal sets form one class, and classes are joined.  Steps:
 
-1. *Order.*  Every document's n-grams are counted in a table of 2^22 counters
-   (a bounded statistic over all documents).  The global order puts n-grams
-   with outstanding counters last and the others by hash.  Any order gives the
-   same links; this one keeps shared passages out of the prefixes.
+1. *Order.*  Mergeable Misra-Gries summaries over all documents mark every
+   n-gram that ``RARE`` documents hold (``summaries``; a bitmap of bounded size).
+   The global order puts marked n-grams last and goes by hash otherwise.  Any
+   order gives the same links; this one keeps shared passages out of the
+   prefixes, at every size of the table.
 2. *Prefixes.*  Two sets with similarity >= t share at least k n-grams among
-   the first ``n - ceil(t n) + k`` of each (k = 2).  The documents of each
-   prefix n-gram are counted exactly: n-grams of at most ``RARE`` documents are
-   index keys by themselves; if two linked sets share none of those, they share
-   k frequent ones, so frequent n-grams are indexed as combinations of k.  Sets
+   the first ``n - ceil(t n) + k`` of each (k = 2).  The classes of each prefix
+   n-gram are counted exactly: n-grams of at most ``RARE`` classes are index
+   keys by themselves; if two linked sets share none of those, they share k
+   frequent ones, so frequent n-grams are indexed as combinations of k.  Sets
    so large that combinations would be too many (more than ``COMBINED`` prefix
    n-grams) use single frequent n-grams, sets near that size use both, so that a
    linked pair always has a key in common.
-3. *Verification.*  Under each key and size class every member is first paired
-   with one common partner only (a few rounds, each with another partner), and
-   links are merged into components, which is linear in a group of near
-   copies; then all pairs under a key that are still in different components,
-   after a size test and parity-bitmap tests (bounds, never approximations).
+3. *Rare keys.*  All pairs under a rare key (at most ``RARE`` classes) whose
+   places leave room for enough common n-grams: of the first rare n-gram that
+   two linked sets share, none of the rare ones before it are common.
+4. *Frequent keys.*  First every class of a frequent n-gram and size class is
+   paired with one common partner only (a few rounds, each with another
+   partner), which links a group of near copies in linear work.  Only n-grams
+   whose classes are still in different components are combined; pairs in
+   different components are tested under the combined keys.
+5. *Verification.*  Pairs pass a size test and parity-bitmap tests (bounds, never
+   approximations), then the whole sets are compared.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing (component: own id); fewer than n words are one n-gram; repeated
@@ -28,36 +34,24 @@ rows are members of one class; a null id gets the smallest id of its component
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.llm.common import ARROW_ROWS, map_arrow, stage
+from cofreq.llm.common import ARROW_ROWS, free, map_arrow, stage
 from cofreq.llm.components import components
-from cofreq.session import ship_package
+from cofreq.llm.summaries import M1 as _M1
+from cofreq.llm.summaries import frequent_hashes, hash_bitmap, in_bitmap
+from cofreq.llm.summaries import mix as _mix
 
-SKETCH_BITS = 22
-SKETCH_BLOCK = 1 << 16
-RARE = 24  # documents up to which an n-gram is an index key by itself
+RARE = 24  # classes up to which an n-gram is an index key by itself
 COMBINED = 65  # prefix n-grams up to which frequent ones are combined
 ROUNDS = 3  # rounds of pairs with one common partner
-SMALL = 1_000_000  # rows up to which a counted side is broadcast
+SMALL = 200_000  # rows up to which a counted side is broadcast
 PARITY_BITS = 1024
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
 
 def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text (A-Z lower-cased, words
@@ -94,36 +88,19 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def frequent_counters(docs: DataFrame, n: int) -> np.ndarray:
-    """Which of the 2^22 counters are outstanding: more than twice the mean
-    and 16 above it.  Counts cover every document; a task returns compressed
-    blocks, which Spark adds up."""
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in batches:
-            for i in range(0, batch.num_rows, ARROW_ROWS):
-                sets = ngram_sets(batch.column("text").slice(i, ARROW_ROWS), n)
-                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        blocks = counts.reshape(-1, SKETCH_BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], pa.binary())],
-            names=["block", "counts"])
-
-    ship_package(docs.sparkSession)
-    summed = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block")
-    total = np.zeros(((1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
-    for r in summed.applyInPandas(_add_blocks, "block int, counts binary").collect():  # one row a block
-        total[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-    mean = total.mean()
-    return np.packbits(total.ravel() > max(2 * mean, mean + 16))
-
-
-def _add_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH_BLOCK, np.int64)
-    for c in frame["counts"]:
-        total += np.frombuffer(zlib.decompress(c), np.int32)
-    return pd.DataFrame({"block": frame["block"].iloc[:1].to_numpy(), "counts": [zlib.compress(total.tobytes(), 1)]})
+def marked_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the n-grams that ``RARE`` documents or more hold (and of a
+    few others), and the number of leading hash bits it is over."""
+    mass = max(1, (docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0) // 6)
+
+    def hashes(batch: pa.RecordBatch):
+        for i in range(0, batch.num_rows, ARROW_ROWS):
+            yield from ngram_sets(batch.column("text").slice(i, ARROW_ROWS), n)
+
+    found = stage(frequent_hashes(docs.select("text"), hashes, RARE, mass), "marked")
+    bitmap = hash_bitmap(found, RARE, mass)
+    free(found)
+    return bitmap
 
 
 def prefix_grams(grams: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -141,19 +118,18 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8))
 
 
-def signatures(docs: DataFrame, n: int, num: int, den: int, marked: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, n: int, num: int, den: int, marked: tuple[np.ndarray, int]) -> DataFrame:
     """``[doc_id, n, fp, keys, bits]``: set size, fingerprint (null if empty),
     prefix n-grams, parity bitmap."""
     import xxhash
 
-    shared = docs.sparkSession.sparkContext.broadcast(marked)  # 512 KB
+    shared = docs.sparkSession.sparkContext.broadcast(marked)  # at most 128 MB
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = shared.value
+        marks = shared.value
         fp, size, keys, bit_rows = [], [], [], []
         for g in ngram_sets(batch.column("text"), n):
-            cell = (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            often = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+            often = in_bitmap(g, *marks)
             size.append(len(g))
             fp.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
             keys.append(prefix_grams(g, often, num, den).view(np.int64))
@@ -188,7 +164,7 @@ class _Classes:
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.docs, self.n, self.num, self.den = docs, n, num, den
-        sig = stage(signatures(docs, n, num, den, frequent_counters(docs, n)), "signatures")
+        sig = stage(signatures(docs, n, num, den, marked_grams(docs, n)), "signatures")
         salt = 0  # a class is named by 64 bits; should two share a name, all are named anew
         while True:
             self.sig = sig.withColumn("c", F.when(F.col("fp").isNotNull(), F.xxhash64("fp", F.lit(salt))))
@@ -201,13 +177,25 @@ class _Classes:
             F.first("bits").alias("bits"),
             *(F.first(f"w{i}").alias(f"w{i}") for i in range(4))), "classes")
 
+        self.staged: list[DataFrame] = []
+
+    def _own(self, df: DataFrame, label: str) -> DataFrame:
+        self.staged.append(stage(df, label))
+        return self.staged[-1]
+
+    def drop(self) -> list[DataFrame]:
+        """The tables that verification wrote since the last call."""
+        staged, self.staged = self.staged, []
+        return staged
+
     def postings(self) -> DataFrame:
-        """``[key, c, n]``, once for each class (repeated ids apart)."""
+        """``[pos, key, c, n]``, once for each class (repeated ids apart); ``pos``
+        is the place of the n-gram in the global order."""
         copies = self.one.where(F.col("copies") > 1).select("c", F.col("doc_id").alias("first"))
         copies = F.broadcast(copies) if copies.count() <= SMALL else copies
         rows = self.sig.where(F.size("keys") > 0).join(copies, "c", "left").where(
             F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
-        return rows.select(F.explode("keys").alias("key"), "c", "n")
+        return rows.select(F.posexplode("keys").alias("pos", "key"), "c", "n")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose parity bitmaps allow the similarity (a bound)."""
@@ -227,9 +215,9 @@ class _Classes:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``[a, b]`` whose similarity is at least num / den, by the
         whole sets of one document of each class concerned."""
-        pairs = stage(self.possible(pairs), "pairs")
+        pairs = self._own(self.possible(pairs), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        who = stage(self.one.join(wanted, "c", "left_semi").select("doc_id", "c"), "concerned")
+        who = self._own(self.one.join(wanted, "c", "left_semi").select("doc_id", "c"), "concerned")
         # a class of rows without id is found by its fingerprint alone
         nameless = who.where(F.col("doc_id").isNull()).limit(1).count() > 0
         ids = who.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -237,7 +225,7 @@ class _Classes:
         docs = self.docs.join(ids, "doc_id", "left_semi")
         docs = docs.unionAll(self.docs.where(F.col("doc_id").isNull())) if nameless else docs
         names = self.sig.select("fp", "c").join(wanted, "c", "left_semi").dropDuplicates(["c"])
-        sets = stage(_sets(docs, self.n).join(names, "fp").select("c", "grams").dropDuplicates(["c"]), "sets")
+        sets = self._own(_sets(docs, self.n).join(names, "fp").select("c", "grams").dropDuplicates(["c"]), "sets")
         num, den = self.num, self.den
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -252,14 +240,32 @@ class _Classes:
         return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint", 256)
 
 
-def index_keys(posting: DataFrame, num: int, den: int) -> DataFrame:
-    """``[key, c, n]`` from the prefix n-grams of all classes: rare ones, pairs
-    of frequent ones, and single frequent ones of large sets; only keys that
-    two classes have in common.  Counts are pre-aggregated, so a hot n-gram is
-    one row a task."""
+def shared_postings(posting: DataFrame) -> DataFrame:
+    """``[key, pos, c, n, m]``: the prefix n-grams that several classes have,
+    with their number m.  Counts are pre-aggregated, so a hot n-gram is one row
+    a task."""
     shared = posting.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    known = stage(posting.join(shared, "key"), "postings")
-    rare, often = known.where(F.col("m") <= RARE), known.where(F.col("m") > RARE)
+    return stage(posting.join(shared, "key"), "postings")
+
+
+def rare_pairs(known: DataFrame, num: int, den: int) -> DataFrame:
+    """``[a, b]``: classes that share a rare n-gram at places which leave room
+    for a link.  Frequent n-grams of a class may be common before that place, so
+    they are not counted."""
+    often = known.where(F.col("m") > RARE).groupBy("c").agg(F.count(F.lit(1)).alias("often"))
+    often = F.broadcast(often) if often.count() <= SMALL else often
+    rows = known.where(F.col("m") <= RARE).join(often, "c", "left").select(
+        "key", "c", "n", (F.col("n") - F.greatest(F.col("pos") - F.coalesce("often", F.lit(0)), F.lit(0))).alias("left"))
+    other = rows.select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
+    return rows.join(other, "key").where(
+        (F.col("c") < F.col("c2"))
+        & (F.least("left", "left2") * (num + den) >= (F.col("n") + F.col("n2")) * num)).select(
+        F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
+
+
+def frequent_keys(often: DataFrame, num: int, den: int) -> DataFrame:
+    """``[key, c, n]`` from frequent prefix n-grams: pairs of them, and single
+    ones of large sets; only keys that two classes have in common."""
     # sets this large, or that a set this large can be linked with
     large = often.where(F.col("n") * (den - num) >= COMBINED * num)
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
@@ -268,7 +274,13 @@ def index_keys(posting: DataFrame, num: int, den: int) -> DataFrame:
         F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
     pairs = own.where(F.size("k") > 1).select(F.explode(both).alias("key"), "c", "n")
     common = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
-    return rare.unionAll(large).select("key", "c", "n").unionAll(pairs.join(common, "key", "left_semi")).distinct()
+    return large.select("key", "c", "n").unionAll(pairs.join(common, "key", "left_semi")).distinct()
+
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """The rows ``[key, c, n, label]`` under keys of several components."""
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
+    return rows.join(keys.select("key"), "key", "left_semi")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -290,7 +302,9 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
             end, F.coalesce("l", end)).drop("l")
     joined = components(ends).select(F.col("node").alias("label"), F.col("label").alias("first"))
     every = labels.unionAll(joined.select(F.col("label").alias("c"), "label").join(labels.select("c"), "c", "left_anti"))
-    return stage(every.join(joined, "label", "left").select("c", F.coalesce("first", "label").alias("label")), "labels")
+    after = stage(every.join(joined, "label", "left").select("c", F.coalesce("first", "label").alias("label")), "labels")
+    free(labels)
+    return after
 
 
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -300,38 +314,42 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     bounds allow is verified unless its ends are already in one component."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     classes = _Classes(docs, n, num, den)
-    members = stage(index_keys(classes.postings(), num, den), "members")
+    known = shared_postings(classes.postings())
     pair = lambda d: d.select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
+    links = stage(classes.verified(rare_pairs(known, num, den)), "verified")
+    labels = _merge(None, links)
+    often = stage(known.where(F.col("m") > RARE).select("key", "c", "n"), "frequent")
+    free(links, known, *classes.drop())
 
-    # every member of a key and size class with one partner, another in each round
+    # every class of a frequent n-gram and size class with one partner, another in each round
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int")
-    labels = None
     for turn in range(ROUNDS):
-        rows = _labelled(members, labels).withColumn("class", size_class)
+        rows = still_open(_labelled(often, labels)).withColumn("class", size_class)
         partner = rows.groupBy("key", "class").agg(
             F.min(F.struct(F.xxhash64("c", F.lit(turn)), "c", "label")).alias("p"), F.min("label").alias("lo"),
             F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select(
             "key", "class", F.col("p.c").alias("other"), F.col("p.label").alias("label2"))
         near = rows.join(partner, ["key", "class"]).where(F.col("label") != F.col("label2"))
-        found = stage(classes.verified(pair(near)), "verified")
-        if not found.limit(1).count():
+        links = stage(classes.verified(pair(near)), "verified")
+        done = not links.limit(1).count()
+        labels = _merge(labels, links)
+        free(links, *classes.drop())
+        if done:
             break
-        labels = _merge(labels, found)
 
-    # all pairs under a key that are still in different components
-    labelled = _labelled(members, labels)
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
-        F.col("lo") != F.col("hi")).select("key")
+    # pairs under the keys of n-grams that are still in different components
+    members = stage(frequent_keys(still_open(_labelled(often, labels)).select("key", "c", "n"), num, den), "members")
     words = [f"w{i}" for i in range(4)]
-    left = labelled.join(open_keys, "key", "left_semi").join(classes.one.select("c", *words), "c")
+    left = still_open(_labelled(members, labels)).join(classes.one.select("c", *words), "c")
     right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("c", "n", "label", *words)))
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
     rest = left.join(right, "key").where(
         (F.col("c") < F.col("c2")) & (F.col("label") != F.col("label2"))
         & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
         & (differ * (num + den) <= (F.col("n") + F.col("n2")) * (den - num))).select("c", F.col("c2").alias("other"))
-    found = stage(classes.verified(pair(rest)), "verified")
-    labels = _merge(labels, found)
+    links = stage(classes.verified(pair(rest)), "verified")
+    labels = _merge(labels, links)
+    free(links, often, members, *classes.drop())
     rows = classes.sig.select("doc_id", "n", "c").join(labels, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "c").alias("label"))
     first = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("first"))

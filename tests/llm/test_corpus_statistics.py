@@ -83,7 +83,7 @@ def test_collocations(docs, threshold, max_words, absorbed, top):
 
 def test_no_frequent_phrase_is_lost_when_counters_are_few():
     """Summaries far smaller than the number of distinct keys, merged from parts."""
-    from cofreq.llm.collocations import Summary, added, pack, unpack
+    from cofreq.llm.summaries import Summary, added, pack, unpack
 
     rng = np.random.default_rng(5)
     for threshold in (2, 10, 100):
