@@ -118,11 +118,17 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8))
 
 
+def _words() -> list[str]:
+    return [f"w{i}" for i in range(PARITY_BITS // 64)]
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int, marked: tuple[np.ndarray, int]) -> DataFrame:
-    """``[doc_id, n, fp, keys, bits]``: set size, fingerprint (null if empty),
-    prefix n-grams, parity bitmap."""
+    """``[doc_id, n, fp, keys, w0, w1, ...]``: set size, fingerprint (null if
+    empty), prefix n-grams, parity bitmap in words of 64 cells."""
     import xxhash
 
+    names = _words()
+
     shared = docs.sparkSession.sparkContext.broadcast(marked)  # at most 128 MB
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,16 +141,14 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, marked: tuple[np.nda
             keys.append(prefix_grams(g, often, num, den).view(np.int64))
             bit_rows.append(parity(g).tobytes())
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-        # the bitmap folded to 256 cells: a weaker bound that fits into the rows of a join
-        words = np.bitwise_xor.reduce(np.frombuffer(b"".join(bit_rows), np.int64).reshape(-1, 4, 4), axis=1)
+        words = np.frombuffer(b"".join(bit_rows), np.int64).reshape(len(size), -1)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()),
-             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.array(bit_rows, pa.binary()),
-             *(pa.array(w) for w in words.T)], names=["doc_id", "n", "fp", "keys", "bits", "w0", "w1", "w2", "w3"])
+             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), *(pa.array(w) for w in words.T)],
+            names=["doc_id", "n", "fp", "keys", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, run, f"doc_id {kind}, n bigint, fp binary, keys array<bigint>, bits binary, "
-                               "w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+    return map_arrow(docs, run, f"doc_id {kind}, n bigint, fp binary, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in names))
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -174,8 +178,7 @@ class _Classes:
             salt += 1
         self.one = stage(self.sig.where(F.col("c").isNotNull()).groupBy("c").agg(
             F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-            F.first("bits").alias("bits"),
-            *(F.first(f"w{i}").alias(f"w{i}") for i in range(4))), "classes")
+            *(F.first(w).alias(w) for w in _words())), "classes")
 
         self.staged: list[DataFrame] = []
 
@@ -199,18 +202,11 @@ class _Classes:
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose parity bitmaps allow the similarity (a bound)."""
-        side = lambda c: self.one.select(F.col("c").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        num, den = self.num, self.den
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (np.frombuffer(b"".join(batch.column(f"bits_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                    for c in "ab")
-            size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (num + den) <= size * (den - num)
-            return batch.select(["a", "b"]).filter(pa.array(keep))
-
-        return map_arrow(both, run, "a bigint, b bigint", 8192)
+        words = _words()
+        side = lambda c: self.one.select(F.col("c").alias(c), F.col("n").alias(f"n_{c}"), *(F.col(w).alias(f"{w}_{c}") for w in words))
+        differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(
+            differ * (self.num + self.den) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num)).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``[a, b]`` whose similarity is at least num / den, by the
@@ -264,29 +260,54 @@ def rare_pairs(known: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def frequent_keys(often: DataFrame, num: int, den: int) -> DataFrame:
-    """``[key, c, n]`` from frequent prefix n-grams: pairs of them, and single
-    ones of large sets; only keys that two classes have in common."""
+    """``[key, c, n, left, first, own]`` from frequent prefix n-grams
+    ``[key, pos, c, n]``: pairs of them, and single ones of large sets; only keys
+    that two classes have in common.  ``left`` is the number of n-grams from the
+    (first) one on; ``own`` lists the n-grams of the class in the global order
+    and ``first`` the combined two (both null for single ones)."""
     # sets this large, or that a set this large can be linked with
     large = often.where(F.col("n") * (den - num) >= COMBINED * num)
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    own = often.where(prefix <= COMBINED).groupBy("c").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("key")).alias("k"))
-    both = F.flatten(F.transform("k", lambda x, i: F.transform(
-        F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    pairs = own.where(F.size("k") > 1).select(F.explode(both).alias("key"), "c", "n")
+    own = often.where(prefix <= COMBINED).groupBy("c").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("at"))
+    both = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", i + 2, F.size("at")), lambda y: F.struct(
+        (F.col("n") - x["pos"]).alias("left"), F.array(x["key"], y["key"]).alias("first")))))
+    pairs = own.where(F.size("at") > 1).select("c", "n", F.col("at.key").alias("own"), F.explode(both).alias("two")).select(
+        F.xxhash64("two.first").alias("key"), "c", "n", "two.left", "two.first", "own")
     common = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
-    return large.select("key", "c", "n").unionAll(pairs.join(common, "key", "left_semi")).distinct()
+    none = F.lit(None).cast("array<bigint>")
+    return large.select("key", "c", "n", (F.col("n") - F.col("pos")).alias("left"), none.alias("first"), none.alias("own")).unionAll(
+        pairs.join(common, "key", "left_semi"))
 
 
 def still_open(rows: DataFrame) -> DataFrame:
-    """The rows ``[key, c, n, label]`` under keys of several components."""
+    """The rows ``[key, c, label, ...]`` under keys of several components."""
     keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
     return rows.join(keys.select("key"), "key", "left_semi")
 
 
+def open_pairs(rows: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
+    """``[c, other]``: classes under one key of ``frequent_keys``, in different
+    components, whose sizes, places and whole parity bitmaps allow a link.  Two
+    classes have no rare n-gram in common here, so before the first frequent one
+    that they share they have none; a pair is taken under its first combination
+    only."""
+    words = _words()
+    left = rows.join(one.select("c", *words), "c")
+    right = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("c", "n", "label", "left", "own", *words)))
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    return left.join(right, "key").where(
+        (F.col("c") < F.col("c_b")) & (F.col("label") != F.col("label_b"))
+        & (F.least("left", "left_b") * (num + den) >= (F.col("n") + F.col("n_b")) * num)
+        & (differ * (num + den) <= (F.col("n") + F.col("n_b")) * (den - num))
+        & F.coalesce(F.slice(F.array_intersect("own", "own_b"), 1, 2) == F.col("first"), F.lit(True))
+    ).select("c", F.col("c_b").alias("other"))
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("label", F.col("c"))
-    return members.join(labels, "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
+    return members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
 
 
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -318,7 +339,7 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     pair = lambda d: d.select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
     links = stage(classes.verified(rare_pairs(known, num, den)), "verified")
     labels = _merge(None, links)
-    often = stage(known.where(F.col("m") > RARE).select("key", "c", "n"), "frequent")
+    often = stage(known.where(F.col("m") > RARE).select("key", "pos", "c", "n"), "frequent")
     free(links, known, *classes.drop())
 
     # every class of a frequent n-gram and size class with one partner, another in each round
@@ -338,15 +359,8 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             break
 
     # pairs under the keys of n-grams that are still in different components
-    members = stage(frequent_keys(still_open(_labelled(often, labels)).select("key", "c", "n"), num, den), "members")
-    words = [f"w{i}" for i in range(4)]
-    left = still_open(_labelled(members, labels)).join(classes.one.select("c", *words), "c")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("c", "n", "label", *words)))
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
-    rest = left.join(right, "key").where(
-        (F.col("c") < F.col("c2")) & (F.col("label") != F.col("label2"))
-        & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
-        & (differ * (num + den) <= (F.col("n") + F.col("n2")) * (den - num))).select("c", F.col("c2").alias("other"))
+    members = stage(frequent_keys(still_open(_labelled(often, labels)).drop("label"), num, den), "members")
+    rest = open_pairs(still_open(_labelled(members, labels)), classes.one, num, den)
     links = stage(classes.verified(pair(rest)), "verified")
     labels = _merge(labels, links)
     free(links, often, members, *classes.drop())
