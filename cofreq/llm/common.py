@@ -47,6 +47,17 @@ def free(*staged: DataFrame | None) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back() -> None:
+    """Return memory that a worker's batches no longer need to the system;
+    workers live on and serve later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def batch_sizes(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches that Python workers get, in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -65,6 +76,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

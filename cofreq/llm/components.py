@@ -30,14 +30,13 @@ def components(links: DataFrame) -> DataFrame:
     smallest node of the component.  Rows with a null end or equal ends are no
     links."""
     edges = stage(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "links")
+    # a fixed point: the same edges as before
+    size = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = size(edges)
     while True:
         after = stage(_small_star(_large_star(edges).distinct()).distinct(), "links")
-        # a fixed point: the same edges as before
-        size = lambda e: e.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = size(edges) == size(after)
         free(edges)
-        edges = after
+        edges, same, before = after, before == (now := size(after)), now
         if same:
             break
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

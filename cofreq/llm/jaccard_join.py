@@ -315,8 +315,6 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     between labels, so that later rounds work on little."""
     if labels is None:
         return stage(components(links).select(F.col("node").alias("c"), "label"), "labels")
-    if not links.limit(1).count():
-        return labels
     ends = links
     for end in "ab":
         ends = ends.join(labels.select(F.col("c").alias(end), F.col("label").alias("l")), end, "left").withColumn(
@@ -352,17 +350,17 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             "key", "class", F.col("p.c").alias("other"), F.col("p.label").alias("label2"))
         near = rows.join(partner, ["key", "class"]).where(F.col("label") != F.col("label2"))
         links = stage(classes.verified(pair(near)), "verified")
-        done = not links.limit(1).count()
-        labels = _merge(labels, links)
+        found = links.limit(1).count()
+        labels = _merge(labels, links) if found else labels
         free(links, *classes.drop())
-        if done:
+        if not found:
             break
 
     # pairs under the keys of n-grams that are still in different components
     members = stage(frequent_keys(still_open(_labelled(often, labels)).drop("label"), num, den), "members")
     rest = open_pairs(still_open(_labelled(members, labels)), classes.one, num, den)
     links = stage(classes.verified(pair(rest)), "verified")
-    labels = _merge(labels, links)
+    labels = _merge(labels, links) if links.limit(1).count() else labels
     free(links, often, members, *classes.drop())
     rows = classes.sig.select("doc_id", "n", "c").join(labels, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "c").alias("label"))

@@ -41,7 +41,7 @@ TIERS = (512, 1024, 2048, 4096)
 GROUP_PIECES = 40_000
 STEP_SEQUENCES = 64  # sequences of one step group, about
 END_ID = 2
-WORD_CACHE = 400_000  # words kept per generation in a worker
+CACHE_BYTES = 24 << 20  # of words and ids kept per generation in a worker
 
 # words of printable ASCII and Latin-1 letters: lower-casing and composition
 # are plain there; all others go through the library
@@ -80,6 +80,7 @@ class WordBpe:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.young: dict[bytes, bytes] = {}
+        self.young_bytes = 0
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +88,13 @@ class WordBpe:
         another) and the offsets of the texts in them."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.values.dictionary_encode()
-        if len(self.young) > WORD_CACHE:
-            self.old, self.young = self.young, {}
+        if self.young_bytes > CACHE_BYTES:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
         words = pc.cast(coded.dictionary, pa.binary()).to_pylist()
         missing = set(words).difference(self.young)
         if missing:
             self._learn(missing)
+            self.young_bytes += sum(100 + len(w) + len(self.young[w]) for w in missing)  # with the table's own
         known = [self.young[w] for w in words]  # once for each distinct word of the batch
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         first = np.cumsum(size) - size

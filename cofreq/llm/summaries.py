@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.llm.common import batch_sizes
+from cofreq.llm.common import batch_sizes, give_back
 from cofreq.session import ship_package
 
 KEY_BITS = 36  # of a hash within its partition
 HEADROOM = 2  # capacity is this many times mass / threshold
-HELD = 4_000_000  # occurrences that a task sorts at a time
-COUNTERS = 1 << 20  # of a partition, about
+HELD = 2_000_000  # occurrences that a task sorts at a time
+COUNTERS = 1 << 18  # of a partition, about
 MAX_BITMAP_BITS = 30  # 128 MB
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -75,7 +75,7 @@ class Summary:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.waiting.append((keys, counts))
         self.n_waiting += len(keys)
-        if self.n_waiting > max(self.capacity, 1 << 20):
+        if self.n_waiting > max(self.capacity, COUNTERS):
             self.settle()
 
     def settle(self) -> None:
@@ -137,6 +137,7 @@ def frequent_hashes(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[n
                     held, size = [], 0
         if held:
             yield handed(held)
+        give_back()
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, summary = None, None
@@ -155,6 +156,7 @@ def frequent_hashes(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[n
                 summary.add(*unpack(packed))
         if part is not None:
             yield done()
+        give_back()
 
     ship_package(df.sparkSession)
     batch_sizes(df.sparkSession)
