@@ -15,7 +15,7 @@ from cofreq.session import ensure_checkpoint_dir, ship_package
 
 # rows and bytes of an Arrow batch: they bound the Python workers' memory
 ARROW_ROWS = 512
-ARROW_BYTES = "16m"
+ARROW_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,17 +65,21 @@ def batch_sizes(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType,
-              rows: int = ARROW_ROWS) -> DataFrame:
-    """One output batch for each input batch of at most ``rows`` rows."""
+              rows: int = ARROW_ROWS, made_by_task: bool = False) -> DataFrame:
+    """One output batch for each input batch of at most ``rows`` rows.  With
+    ``made_by_task``, ``fn()`` makes the function for the batches of one task, so
+    that what it holds (a vocabulary, a cache) goes with the task."""
     ship_package(df.sparkSession)
     batch_sizes(df.sparkSession, rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = fn() if made_by_task else fn
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows))
+                out = step(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        del step
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -128,19 +128,13 @@ class WordBpe:
             self.young[w] = np.array(e.ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def _words(path: str | None) -> WordBpe:
-    return WordBpe(path)
-
-
 def pieces(df: DataFrame, path: str | None = None, window: int = TIERS[-1], id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``[doc_id, start, length, ids_crc32, doc_tokens]``: full windows and the
     rest of every row."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = _words(path)
+    def cut(bpe: WordBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
         at, start, length, crc, total = [], [], [], [], []
         ids, ends = bpe.encode(batch.column("text"))
         for row in range(batch.num_rows):
@@ -159,7 +153,8 @@ def pieces(df: DataFrame, path: str | None = None, window: int = TIERS[-1], id_c
             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_arrow(rows, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", 4096)
+    return map_arrow(rows, lambda: partial(cut, WordBpe(path)),
+                     f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", 4096, made_by_task=True)
 
 
 def pack_lengths(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> tuple[np.ndarray, np.ndarray]:

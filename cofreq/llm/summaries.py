@@ -21,7 +21,7 @@ from cofreq.session import ship_package
 
 KEY_BITS = 36  # of a hash within its partition
 HEADROOM = 2  # capacity is this many times mass / threshold
-HELD = 2_000_000  # occurrences that a task sorts at a time
+HELD = 1_000_000  # occurrences that a task sorts at a time
 COUNTERS = 1 << 18  # of a partition, about
 MAX_BITMAP_BITS = 30  # 128 MB
 
