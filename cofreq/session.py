@@ -84,11 +84,70 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+class Run:
+    """The intermediates of one run: the files and tables that ``materialize``
+    and ``bucketed_table`` wrote while it was the innermost open run.  Other
+    runs of the session keep theirs.
+
+        with Run(spark) as run:
+            result = hybrid_mine(tx, 100)
+            write_itemsets_text(result, path)
+        # everything the miner wrote is gone, the result is whole
+
+    Used without ``with``, ``open()`` and ``close()`` mark what belongs to it
+    and ``release()`` frees it (a lazy result of the run cannot be read after
+    that)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def open(self) -> Run:
+        _runs(self.spark).append(self)
+        return self
+
+    def close(self) -> None:
+        open_runs = _runs(self.spark)
+        if self in open_runs:
+            open_runs.remove(self)
+
+    def release(self) -> int:
+        """Drop the tables and delete the files; returns how many there were."""
+        n = len(self.tables) + len(self.paths)
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths, self.tables = [], []
+        return n
+
+    __enter__ = open
+
+    def __exit__(self, *_) -> None:
+        self.close()
+        self.release()
+
+
+def _runs(spark: SparkSession) -> list[Run]:
+    """The open runs of a session, the innermost last; below them one that owns
+    what is written outside any run."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_cofreq_runs"):
+        sc._cofreq_runs = [Run(spark)]
+    return sc._cofreq_runs
+
+
+def own_path(spark: SparkSession, path: str) -> None:
+    """Let the innermost open ``Run`` own the files at ``path``."""
+    _runs(spark)[-1].paths.append(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: the plan
-    runs once, and the lineage is cut in a way that survives executor loss."""
+    runs once, and the lineage is cut in a way that survives executor loss.
+    The files belong to the innermost open ``Run``."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{FILES}/{uuid.uuid4().hex[:16]}"
+    own_path(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -115,6 +174,8 @@ def bucketed_table(df: DataFrame, key: str, buckets: int, sort: bool = True) ->
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     name = f"{INTERMEDIATE_PREFIX}{uuid.uuid4().hex[:16]}"
+    _runs(spark)[-1].tables.append(name)
+    _runs(spark)[-1].paths.append(f"{base}/tables/{name}")
     writer = df.write.bucketBy(buckets, key)
     if sort:
         writer = writer.sortBy(key)
@@ -127,20 +188,20 @@ FILES = "cofreq-files"
 
 
 def drop_intermediate_tables(spark: SparkSession, names: list[str] | None = None) -> int:
-    """K7 (keep_intermediate=False): drop the intermediate tables written by
-    the miners (all of this session's, or ``names``) and delete their files;
-    without ``names`` the other materialized intermediates go too.  Call it
-    once the results built from them are written.  Returns the number of
-    tables dropped."""
+    """K7 (keep_intermediate=False): drop the named intermediate tables with
+    their files; without ``names``, everything that was written outside any
+    ``Run`` (what open or finished runs own is theirs to release).  Call it once
+    the results built from them are written.  Returns the number of tables
+    dropped."""
+    rest = _runs(spark)[0]
+    if names is None:
+        n = len(rest.tables)
+        rest.release()
+        return n
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    every = names is None
-    if every:
-        names = [t.name for t in spark.catalog.listTables() if t.name.startswith(INTERMEDIATE_PREFIX)]
-    for n in names:
-        spark.sql(f"DROP TABLE IF EXISTS {n}")
-        _delete(spark, f"{base}/tables/{n}")
-    if every:
-        _delete(spark, f"{base}/{FILES}")
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, f"{base}/tables/{name}")
     return len(names)
 
 

@@ -70,13 +70,44 @@ def test_result_table(spark, tmp_path):
 
 
 def test_encoded_total_and_release(spark, fis):
-    from cofreq.session import drop_intermediate_tables
+    from cofreq.session import Run
 
     enc = W.encode_itemsets(fis, max_sets=4)
     assert W.encoded_total(enc).first()["n_itemsets"] == fis.count()
-    res = apriori(tx_df(spark, ROWS), 2)
-    n = res.itemsets().count()
-    res.release()
-    assert drop_intermediate_tables(spark) >= 2
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cofreq_")]
+    with Run(spark) as run:
+        res = apriori(tx_df(spark, ROWS), 2)
+        n = res.itemsets().count()
+        res.release()
+        mine = list(run.tables)
+        assert len(mine) >= 2
+    assert not {t.name for t in spark.catalog.listTables()}.intersection(mine)
     assert n == fis.count()
+
+
+def test_live_runs_keep_their_files(spark, tmp_path):
+    """Of two live runs one is released; the other's lazy result is whole."""
+    import os
+
+    from cofreq.session import Run, drop_intermediate_tables
+
+    one, two = Run(spark), Run(spark)
+    results = []
+    for run in (one, two):
+        run.open()
+        results.append(hybrid_mine(tx_df(spark, ROWS), 2, mode="forward_closed"))
+        run.close()
+    want = as_map(results[1])
+    paths = list(one.paths)
+    assert paths and one.release() > 0 and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+    drop_intermediate_tables(spark)  # what belongs to no run; not the second run's
+    spark.catalog.clearCache()
+    assert as_map(results[1]) == want and want
+    # runs nest: the inner one owns what is written inside it
+    with Run(spark) as outer:
+        with Run(spark) as inner:
+            apriori(tx_df(spark, ROWS), 2).release()
+            assert inner.tables and not outer.tables
+        W.write_itemset_table(apriori(tx_df(spark, ROWS), 2).itemsets(), str(tmp_path / "kept"))
+        assert outer.tables and not inner.tables
+    assert R.read_itemset_table(spark, str(tmp_path / "kept")).count() == len(as_map(apriori(tx_df(spark, ROWS), 2).itemsets()))
+    assert two.release() > 0
