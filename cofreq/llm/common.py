@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cofreq.session import ensure_checkpoint_dir, ship_package
+from cofreq.session import ensure_checkpoint_dir, own_path, ship_package
 
 # rows and bytes of an Arrow batch: they bound the Python workers' memory
 ARROW_ROWS = 512
@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: the plan
     runs once, later uses scan the files, and the lineage is cut in a way that
-    survives lost executors.  The files belong to the cluster's retention of
-    that folder, like checkpoints."""
+    survives lost executors.  The files belong to the innermost open
+    ``cofreq.session.Run``, which frees them; outside any run, to the retention
+    of that folder, like checkpoints."""
     spark = df.sparkSession
     ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{label}-{uuid.uuid4().hex[:12]}"
+    own_path(spark, path)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._cofreq_stage = path

@@ -25,7 +25,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ TIERS = (512, 1024, 2048, 4096)
 GROUP_PIECES = 40_000
 STEP_SEQUENCES = 64  # sequences of one step group, about
 END_ID = 2
-CACHE_BYTES = 24 << 20  # of words and ids kept per generation in a worker
+CACHE_BYTES = 8 << 20  # of words and ids kept per generation in a worker
 
 # words of printable ASCII and Latin-1 letters: lower-casing and composition
 # are plain there; all others go through the library
@@ -61,9 +61,8 @@ class WordBpe:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = path or default_path("word_bpe_49k.json")
+        self.path = path = path or default_path("word_bpe_49k.json")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec["added_tokens"]}  # all begin with <|
@@ -76,13 +75,20 @@ class WordBpe:
         self.sep = ranks[_SEP.encode()]
         self.fast = tiktoken.Encoding("words", pat_str=rf"[^{_END}{_SEP}]+{_END}|{_SEP}", mergeable_ranks=ranks,
                                       special_tokens={})
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
         self.young: dict[bytes, bytes] = {}
         self.young_bytes = 0
         self.old: dict[bytes, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, for the words that need it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string array (unsigned 32-bit, one after
         another) and the offsets of the texts in them."""
@@ -124,7 +130,7 @@ class WordBpe:
             end = np.append(4 * cut, len(raw)).tolist()
             self.young.update(zip(plain, [raw[i:j] for i, j in zip(begin, end)]))
         for w, e in zip(odd, self.whole.encode_batch([w.decode("utf-8", "replace") for w in odd],
-                                                     add_special_tokens=False)):
+                                                     add_special_tokens=False) if odd else ()):
             self.young[w] = np.array(e.ids, "<u4").tobytes()
 
 
@@ -154,7 +160,7 @@ def pieces(df: DataFrame, path: str | None = None, window: int = TIERS[-1], id_c
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_arrow(rows, lambda: partial(cut, WordBpe(path)),
-                     f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", 4096, made_by_task=True)
+                     f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", made_by_task=True)
 
 
 def pack_lengths(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> tuple[np.ndarray, np.ndarray]:
