@@ -2,13 +2,16 @@
 
 A prefix group is ``[prefix, item, support, block, tids]``: the frequent
 one-item extensions of one prefix with their tid lists, blocked.  Groups whose
-total tid count is at most ``max_group_tids`` are mined inside a task: their
-tid lists become the rows of one bit matrix, and all extensions of a set are
-intersected with it in one vector operation.  Heavier groups are never shipped
-to one task: they are grown from their blocked tid lists (``plans.vertical``),
-where a support is a sum over blocks.  Both ways enumerate every frequent set
-of the group; the ``forward_closed`` output rule is applied afterwards, to the
-sets of all groups at once."""
+total tid count is at most ``max_group_tids`` are mined inside a task, depth
+first over diffsets in bounded memory (``plans.depthfirst``); for
+``forward_closed`` the closure break is part of that search.  Heavier groups
+are never shipped to one task: they are grown from their blocked tid lists
+(``plans.vertical``), where a support is a sum over blocks, and the output rule
+is applied to their sets afterwards.
+
+What mining hands back is the emitter's choice (X1, X2): ``sets``, or
+``lengths``, the number of sets of each length, for which no set is handed
+over."""
 
 from __future__ import annotations
 
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofreq.operators.condense import extension_ranks, forward_closed_rule
+from cofreq.plans.depthfirst import DEFAULT_BUDGET, DepthFirst
 from cofreq.plans.vertical import grow, seed_groups
 from cofreq.session import materialize
 
@@ -27,61 +31,72 @@ DEFAULT_MAX_GROUP_TIDS = 20_000_000
 ROWS_PER_FRAME = 50_000  # sets handed back to Spark at once
 
 
-def bit_matrix(tid_lists: list[np.ndarray]) -> np.ndarray:
-    """One row of bits for each tid list, over the tids that occur."""
-    universe = np.unique(np.concatenate(tid_lists))
-    rows = np.zeros((len(tid_lists), len(universe)), bool)
-    for row, tids in zip(rows, tid_lists):
-        row[np.searchsorted(universe, tids)] = True
-    return np.packbits(rows, axis=1)
-
-
-def frequent_sets(items: list[int], bits: np.ndarray, min_sup: int, max_items: int) -> Iterator[tuple[list[int], int]]:
-    """Every frequent non-empty set of ``items`` (bit rows in the same order)
-    with its support, at most ``max_items`` long."""
-    support = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    keep = support >= min_sup
-    pending = [([], np.asarray(items)[keep], bits[keep], support[keep])]
-    while pending:
-        chosen, names, rows, counts = pending.pop()
-        for at in range(len(names)):
-            grown = [*chosen, int(names[at])]
-            yield grown, int(counts[at])
-            if len(grown) < max_items and at + 1 < len(names):
-                shared = rows[at + 1:] & rows[at]
-                total = np.bitwise_count(shared).sum(axis=1, dtype=np.int64)
-                often = total >= min_sup
-                if often.any():
-                    pending.append((grown, names[at + 1:][often], shared[often], total[often]))
-
-
-def _mine_sorted(min_sup: int, max_len: int | None):
+class SetEmitter:
+    """Every set with its support, ``ROWS_PER_FRAME`` at a time."""
+
+    @staticmethod
+    def schema(item_type: str) -> str:
+        return f"items array<{item_type}>, support bigint"
+
+    def __init__(self):
+        self.items: list[list[int]] = []
+        self.support: list[int] = []
+
+    def add(self, prefix: list[int], chosen: list[int], support: int) -> Iterator[pd.DataFrame]:
+        self.items.append(sorted(prefix + chosen))
+        self.support.append(support)
+        if len(self.items) >= ROWS_PER_FRAME:
+            yield from self.done()
+
+    def done(self) -> Iterator[pd.DataFrame]:
+        if self.items:
+            yield pd.DataFrame({"items": self.items, "support": self.support})
+            self.items, self.support = [], []
+
+
+class LengthEmitter:
+    """The number of sets of each length; no set is kept."""
+
+    @staticmethod
+    def schema(item_type: str) -> str:
+        return "length int, n bigint"
+
+    def __init__(self):
+        self.n: dict[int, int] = {}
+
+    def add(self, prefix: list[int], chosen: list[int], support: int) -> Iterator[pd.DataFrame]:
+        length = len(prefix) + len(chosen)
+        self.n[length] = self.n.get(length, 0) + 1
+        return iter(())
+
+    def done(self) -> Iterator[pd.DataFrame]:
+        if self.n:
+            yield pd.DataFrame({"length": list(self.n), "n": list(self.n.values())}).astype({"length": "int32", "n": "int64"})
+
+
+EMITTERS = {"sets": SetEmitter, "lengths": LengthEmitter}
+
+
+def _mine_sorted(min_sup: int, max_len: int | None, closed: bool, emitter: type, budget: int):
     """Mines a partition sorted by prefix, one group after the other."""
 
-    def one(group: pd.DataFrame) -> Iterator[tuple[list[int], int]]:
+    def one(group: pd.DataFrame) -> Iterator[tuple[list[int], list[int], int]]:
         prefix = [int(x) for x in group["prefix"].iloc[0]]
         room = (1 << 30) if max_len is None else max_len - len(prefix)
         if room < 1:
             return
-        items, lists = [], []
-        for item, part in group.groupby("item"):
-            items.append(int(item))
-            lists.append(np.concatenate([np.asarray(t, np.int64) for t in part["tids"]]))
-        for chosen, support in frequent_sets(items, bit_matrix(lists), min_sup, room):
-            yield sorted(prefix + chosen), support
+        members = [(int(item), np.concatenate([np.asarray(t, np.int64) for t in part["tids"]])) for item, part in group.groupby("item")]
+        members.sort(key=lambda m: (len(m[1]), m[0]))  # ascending support, then item
+        search = DepthFirst([i for i, _ in members], [t for _, t in members], min_sup, room, closed, budget)
+        for chosen, support in search.sets():
+            yield prefix, chosen, support
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found_items: list[list[int]] = []
-        found_support: list[int] = []
+        out = emitter()
         for group in _groups(frames):
-            for items, support in one(group):
-                found_items.append(items)
-                found_support.append(support)
-                if len(found_items) >= ROWS_PER_FRAME:
-                    yield pd.DataFrame({"items": found_items, "support": found_support})
-                    found_items, found_support = [], []
-        if found_items:
-            yield pd.DataFrame({"items": found_items, "support": found_support})
+            for found in one(group):
+                yield from out.add(*found)
+        yield from out.done()
 
     return run
 
@@ -109,26 +124,36 @@ def group_totals(groups: DataFrame) -> DataFrame:
 
 def mine_groups(groups: DataFrame, min_sup: int, mode: str = "forward_closed", max_len: int | None = None,
                 max_group_tids: int = DEFAULT_MAX_GROUP_TIDS, totals: DataFrame | None = None,
-                pairs: DataFrame | None = None) -> DataFrame:
-    """F4 over all groups -> ``[items, support]`` (sets longer than the prefix).
+                pairs: DataFrame | None = None, emit: str = "sets", budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """F4 over all groups -> ``[items, support]`` (sets longer than the prefix),
+    or with ``emit="lengths"`` ``[length, n]``, their number for each length.
 
     ``totals`` (``[prefix, total]``) saves deriving the group sizes; ``pairs``
     (``[a, b]``, a < b) may list the item pairs that can occur together in a
-    frequent set, which heavy groups use to skip hopeless pairs of siblings."""
+    frequent set, which heavy groups use to skip hopeless pairs of siblings;
+    ``budget`` bounds the bytes a task holds beside the lists of its group."""
     if mode not in ("all", "forward_closed"):
         raise ValueError(f"unknown mode {mode!r}")
+    if emit not in EMITTERS:
+        raise ValueError(f"unknown emitter {emit!r}")
+    emitter = EMITTERS[emit]
     item_type = groups.schema["item"].dataType.simpleString()
     totals = group_totals(groups) if totals is None else totals
     sized = groups.join(totals, "prefix")
     light = sized.where(F.col("total") <= F.lit(max_group_tids)).select("prefix", "item", "tids")
     mined = light.repartition("prefix").sortWithinPartitions("prefix").mapInPandas(
-        _mine_sorted(min_sup, max_len), f"items array<{item_type}>, support bigint")
-    heavy = sized.where(F.col("total") > F.lit(max_group_tids)).drop("total")
+        _mine_sorted(min_sup, max_len, mode == "forward_closed", emitter, budget), emitter.schema(item_type))
     if totals.where(F.col("total") > F.lit(max_group_tids)).limit(1).count():
-        mined = mined.unionByName(grow(*seed_groups(heavy), min_sup, max_len, pairs))
-    if mode == "all":
-        return mined
-    return apply_rule(materialize(mined), groups, max_len)
+        heavy = sized.where(F.col("total") > F.lit(max_group_tids)).drop("total")
+        grown = grow(*seed_groups(heavy), min_sup, max_len, pairs)
+        if mode == "forward_closed":
+            grown = apply_rule(materialize(grown), heavy, max_len)
+        if emit == "lengths":
+            grown = grown.groupBy(F.size("items").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+        mined = mined.unionByName(grown)
+    if emit == "lengths":
+        return mined.groupBy("length").agg(F.sum("n").alias("n"))
+    return mined
 
 
 def apply_rule(sets: DataFrame, groups: DataFrame, max_len: int | None) -> DataFrame:

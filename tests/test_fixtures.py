@@ -9,7 +9,7 @@ from cofreq.operators import basket as B
 from cofreq.operators import condense as C
 from cofreq.operators import levelwise as L
 from cofreq.plans.apriori import apriori, first_level, next_level
-from cofreq.plans.groups import bit_matrix, frequent_sets
+from cofreq.plans.depthfirst import DepthFirst
 from cofreq.plans.miners import hybrid_mine, vertical_mine
 
 X1 = [[1, 2, 3]] * 4 + [[1, 4, 5, 6, 7], [2, 4, 5, 6, 7], [3, 4, 5, 6, 7], [4, 5, 6, 7]] + [[1, 3, 7]] * 4 + [[2, 6]] * 2
@@ -153,16 +153,20 @@ X6 = [[0, 9, 3, 5, 8], [1, 4, 2, 6, 7], [2, 4, 1, 7, 6], [3, 9, 0, 5, 8], [4, 2,
 
 
 def test_x6_group_sets_and_rule(spark):
-    """One group's sets from its bit matrix, then the output rule with the
-    caller's extension order."""
+    """One group's sets, depth first: all of them followed by the output rule
+    with the caller's extension order, and those that the search itself reports."""
     def mined(prefix, order, min_sup, max_len=None):
         base = [set(t) for t in X6 if set(prefix) <= set(t)]
         lists = [np.array([i for i, t in enumerate(base) if x in t], np.int64) for x in order]
-        found = frequent_sets(order, bit_matrix(lists), min_sup, 99 if max_len is None else max_len - len(prefix))
+        room = 99 if max_len is None else max_len - len(prefix)
+        found = list(DepthFirst(order, lists, min_sup, room).sets())
         rows = [(list(prefix), rest, sorted([*prefix, *rest]), n) for rest, n in found]
         members = spark.createDataFrame(rows, "group array<int>, rest array<int>, items array<int>, support bigint")
         ranks = spark.createDataFrame([(list(prefix), x, i) for i, x in enumerate(order)], "group array<int>, item int, rank int")
-        return as_map(C.forward_closed_rule(members, ranks, max_size=max_len))
+        by_rule = as_map(C.forward_closed_rule(members, ranks, max_size=max_len))
+        own = {" ".join(map(str, sorted([*prefix, *rest]))): n for rest, n in DepthFirst(order, lists, min_sup, room, True).sets()}
+        assert own == by_rule
+        return own
 
     assert mined([1], [2, 7], 6) == {"1 2": 9, "1 7": 8, "1 2 7": 8}
     assert mined([1], [2, 3, 5], 5) == {"1 2": 9, "1 5": 5, "1 2 5": 5, "1 3 5": 5, "1 2 3 5": 5}
