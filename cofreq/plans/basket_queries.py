@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from cofreq.functions.itemsets import itemset_string, tid_block
 from cofreq.operators import basket as B
 from cofreq.operators import condense as C
+from cofreq.operators import containment as N
 from cofreq.operators import levelwise as L
 from cofreq.operators import vertical as V
 from cofreq.plans.api import frequent_itemsets
 from cofreq.plans.apriori import apriori, first_level, next_level
+from cofreq.plans.groups import mine_groups
 from cofreq.plans.miners import hybrid_mine, prefix_groups as _prefix_groups, vertical_mine
 from cofreq.sources import readers as R
 from cofreq.sources import writers as W
@@ -158,6 +160,40 @@ def q_candidate_tids(spark, sf_dir):
     return t.select(itemset_string(F.concat("prefix", F.array("item"))).alias("itemset"), "block", _tids().alias("tids"))
 
 
+def _named_candidates(spark, sf_dir) -> DataFrame:
+    """Candidates that the data does not propose: each part's brand with its
+    suppliers' nations; and every such nation with the next region over, which
+    no transaction holds."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    sold = read("lineitem").select("l_partkey", "l_suppkey").distinct()
+    brand = read("part").select(F.col("p_partkey").alias("l_partkey"), F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int").alias("brand"))
+    place = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("l_suppkey"), (F.col("n_nationkey") + 100).cast("int").alias("nation"),
+        ((F.col("n_regionkey") + 1) % 5 + 200).cast("int").alias("next_region"))
+    both = sold.join(brand, "l_partkey").join(place, "l_suppkey").where(F.col("brand").isNotNull())
+    return both.select(F.explode(F.array(F.array("nation", "brand"), F.array("next_region", "nation"))).alias("items")).distinct()
+
+
+def q_containment_support(spark, sf_dir):
+    """J2 for a given candidate table, with candidates of support 0."""
+    return N.count_candidates(ctx(spark, sf_dir).basket, _named_candidates(spark, sf_dir)).select(
+        itemset_string("items").alias("itemset"), "support")
+
+
+def q_containment_tids(spark, sf_dir):
+    """J3 for a given candidate table, with candidates without tids."""
+    t = N.candidate_tid_lists(ctx(spark, sf_dir).basket, _named_candidates(spark, sf_dir), BLOCK)
+    return t.select(itemset_string("items").alias("itemset"), "block", _tids().alias("tids"))
+
+
+def q_grouped_length_counts(spark, sf_dir):
+    """Sets of each length counted while the prefix groups are mined; no
+    set is handed over."""
+    c = ctx(spark, sf_dir)
+    found = mine_groups(_prefix_groups(_two_levels(c), BLOCK), c.min_sup, "all", emit="lengths")
+    return found.select(F.col("length").cast("int").alias("level"), "n")
+
+
 def q_prefix_groups(spark, sf_dir):
     c = ctx(spark, sf_dir)
     res = _two_levels(c)
@@ -422,6 +458,9 @@ QUERIES = {
     "max_candidates": q_max_candidates,
     "candidate_support": q_candidate_support,
     "candidate_tids": q_candidate_tids,
+    "containment_support": q_containment_support,
+    "containment_tids": q_containment_tids,
+    "grouped_length_counts": q_grouped_length_counts,
     "prefix_groups": q_prefix_groups,
     "intersect_tids": q_intersect_tids,
     "diff_tids": q_diff_tids,

@@ -41,6 +41,14 @@ fis AS (SELECT [i1] AS items, support FROM f1
         UNION ALL SELECT [i1, i2, i3, i4, i5], support FROM f5)"""
 
 
+_NAMED_CANDIDATES = """, sold AS (
+SELECT DISTINCT TRY_CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS brand, n_nationkey + 100 AS nation,
+       (n_regionkey + 1) % 5 + 200 AS next_region
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+cand AS (SELECT DISTINCT brand AS a, nation AS b FROM sold WHERE brand IS NOT NULL
+         UNION SELECT DISTINCT nation, next_region FROM sold WHERE brand IS NOT NULL)"""
+
+
 def _with(body: str) -> str:
     return f"WITH {BASKET_SQL},{_LEVELS}\n{body}"
 
@@ -199,6 +207,15 @@ FROM fb a JOIN fb b ON a.tid = b.tid AND a.item < b.item
           JOIN f2 p ON p.i1 = a.item AND p.i2 = b.item
           JOIN f2 q ON q.i1 = a.item AND q.i2 = c.item
 GROUP BY 1"""),
+        "containment_support": _with(f"""{_NAMED_CANDIDATES}
+SELECT concat_ws(' ', c.a, c.b) AS itemset, count(y.tid) AS support
+FROM cand c LEFT JOIN basket x ON x.item = c.a LEFT JOIN basket y ON y.tid = x.tid AND y.item = c.b GROUP BY 1"""),
+        "containment_tids": _with(f"""{_NAMED_CANDIDATES}, hits AS (
+SELECT c.a, c.b, x.tid FROM cand c JOIN basket x ON x.item = c.a JOIN basket y ON y.tid = x.tid AND y.item = c.b)
+SELECT concat_ws(' ', c.a, c.b) AS itemset, CAST(floor(h.tid / {BLOCK}) AS BIGINT) AS block,
+       coalesce(string_agg(CAST(h.tid AS VARCHAR), ' ' ORDER BY h.tid), '') AS tids
+FROM cand c LEFT JOIN hits h ON h.a = c.a AND h.b = c.b GROUP BY c.a, c.b, CAST(floor(h.tid / {BLOCK}) AS BIGINT)"""),
+        "grouped_length_counts": _with("SELECT CAST(len(items) AS INTEGER) AS level, count(*) AS n FROM fis WHERE len(items) > 1 GROUP BY 1"),
         "candidate_tids": _tid_lists_of_pairs("concat_ws(' ', p.i1, p.i2) AS itemset"),
         "prefix_groups": _with(f"""
 SELECT CAST(p.i1 AS VARCHAR) AS prefix, p.i2 AS item, p.support, CAST(floor(a.tid / {BLOCK}) AS BIGINT) AS block,
