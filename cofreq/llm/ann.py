@@ -112,24 +112,23 @@ class Hashing:
 
 
 def _top(q_id: np.ndarray, q: np.ndarray, r_id: np.ndarray, r: np.ndarray, top: int):
-    """Best rows of each query in one block: (query, row, score) arrays."""
+    """Best rows of each query in one block: (query, row, score) arrays.  The
+    matrix product only selects, with room for its rounding; scores are sums of
+    products in the order of the components, so equal vectors have equal scores
+    wherever they stand."""
     out = [], [], []
+    room = 8 * r.shape[1] * np.finfo(float).eps * np.sqrt((r * r).sum(axis=1).max(initial=0))
     for at in range(0, len(q_id), 256):
         s = q[at:at + 256] @ r.T
         s[q_id[at:at + 256][:, None] == r_id[None, :]] = -np.inf
-        if s.shape[1] > top:
-            floor = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-        else:
-            floor = np.full(len(s), -np.inf)
-        a, b = np.nonzero(s >= floor[:, None])
-        v = s[a, b]
-        keep = np.isfinite(v)
-        a, b, v = a[keep], b[keep], v[keep]
-        order = np.lexsort((r_id[b], -v, a))
-        a, b, v = a[order], b[order], v[order]
-        nth = np.arange(len(a)) - np.searchsorted(a, a, "left")
-        for o, x in zip(out, (q_id[at + a], r_id[b], v)):
-            o.append(x[nth < top])
+        floor = -np.partition(-s, top - 1, axis=1)[:, top - 1] if s.shape[1] > top else np.full(len(s), -np.inf)
+        floor = floor - room * np.sqrt((q[at:at + 256] ** 2).sum(axis=1))
+        for i in range(len(s)):
+            some = np.flatnonzero((s[i] >= floor[i]) & (s[i] > -np.inf))
+            v = (r[some] * q[at + i]).sum(axis=1)
+            best = np.lexsort((r_id[some], -v))[:top]
+            for o, x in zip(out, (np.full(len(best), q_id[at + i]), r_id[some[best]], v[best])):
+                o.append(x)
     return [np.concatenate(o) if o else np.zeros(0) for o in out]
 
 

@@ -47,6 +47,7 @@ newsletter subscribe signup share sharing social related recommended trending po
 respond discussion disqus form login search breadcrumb breadcrumbs pagination pager copyright legal widget toolbar
 tags meta byline""".split()
 CONTENT = "article main content post entry story articlebody postbody text body-text entry-content post-content".split()
+_BOILER, _CONTENT = frozenset(BOILERPLATE), frozenset(CONTENT)
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
               "strong strike sub sup time tt u var wbr img".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -101,8 +102,34 @@ def _tags(page: str):
 
 def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     """(path, text, linked characters) of each leaf block."""
+    return [(path, text, linked) for path, text, linked in _unwrapped(_leaves(page))]
+
+
+def _unwrapped(leaves: list) -> list:
+    """Paths of names.  Utility classes on wrappers say nothing about what is
+    inside them: ``html`` and ``body`` are bare tags, and a container that holds
+    most of the page's text, a content container among it, loses the words of
+    boilerplate."""
+    size: dict[int, int] = {}
+    inside: set[int] = set()
+    for path, text, _ in leaves:
+        for k, (number, names) in enumerate(path):
+            size[number] = size.get(number, 0) + len(text)
+            if not _BOILER.isdisjoint(names) and any(
+                    not _CONTENT.isdisjoint(below) and _BOILER.isdisjoint(below) for _, below in path[k + 1:]):
+                inside.add(number)
+    half = sum(len(text) for _, text, _ in leaves) / 2
+    wrapper = {number for number in inside if size[number] > half}
+    plain = lambda names: (names[0], *(w for w in names[1:] if w not in _BOILER))
+    return [(tuple(plain(names) if number in wrapper else names for number, names in path), text, linked)
+            for path, text, linked in leaves]
+
+
+def _leaves(page: str) -> list:
+    """Leaf blocks whose paths are (number of the container, its names)."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    n_open = 0
+    stack: list[tuple[str, tuple[int, tuple[str, ...]]]] = []
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -142,8 +169,11 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         elif tag not in _VOID and not attrs.rstrip().endswith("/"):
             if stack and stack[-1][0] == _BLOCK_IN_P or tag in _CLOSED_BY_SAME and stack and stack[-1][0] == tag:
                 stack.pop()  # a paragraph ends where a block begins
+            n_open += 1
+            if tag in ("html", "body"):
+                attrs = ""
             # long attributes are not kept in the cache
-            stack.append((tag, (_named if len(attrs) <= 4096 else _named.__wrapped__)(tag, attrs)))
+            stack.append((tag, (n_open, (_named if len(attrs) <= 4096 else _named.__wrapped__)(tag, attrs))))
     add(page[at:])
     close()
     return out
@@ -227,7 +257,12 @@ def retemplated(rng: np.random.Generator, pages: list[list]) -> tuple[list, list
     top = (("html",), ("body",))
     wrap = (("div",),) * int(rng.integers(0, 3))
     tag = ("article", "main", "div", "section")[rng.integers(4)]
+    # names that say nothing: some templates name no container by what it holds
+    bare = lambda: "".join("bcdfghjklmnpqrstvwxz"[i] for i in rng.integers(20, size=int(rng.integers(1, 5))))
+    silent, thread = rng.random() < 0.3, ("thread", "msg", "msgs", "note-list")[rng.integers(4)]
     named = f'class="{pick(CONTENT)} {pick(CONTENT)}"' if rng.random() < 0.5 else f'class="{pick(CONTENT)}"'
+    if silent:
+        tag, named = ("div", "section")[rng.integers(2)], f'class="{bare()}"'
     holder = _named(tag, "" if tag in ("article", "main") else named)
     body = top + wrap + (holder,)
     out, labels = [], []
@@ -235,6 +270,10 @@ def retemplated(rng: np.random.Generator, pages: list[list]) -> tuple[list, list
     def boiler() -> None:
         word = pick(BOILERPLATE)
         place = (word,) if word in ("nav", "header", "footer", "aside", "form") else _named("div", f'class="{word}"')
+        if silent and rng.random() < 0.5:
+            place = _named("div", f'class="{bare()}"')
+        elif rng.random() < 0.1:
+            place = _named("div", f'class="{thread}"')
         # a container beside the text, or inside its holder
         base = body if rng.random() < 0.5 else top + wrap
         inner = (("p",), ("p",), ("li",), ("div",))[rng.integers(4)]
