@@ -259,24 +259,27 @@ def rare_pairs(known: DataFrame, num: int, den: int) -> DataFrame:
         F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
 
 
-def frequent_keys(often: DataFrame, num: int, den: int) -> DataFrame:
-    """``[key, c, n, left, first, own]`` from frequent prefix n-grams
-    ``[key, pos, c, n]``: pairs of them, and single ones of large sets; only keys
+def frequent_keys(often: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
+    """``[key, c, n, left, first, own, w0, w1, ...]`` from frequent prefix n-grams
+    ``[key, pos, c, n]`` and the classes' parity bitmaps: pairs of them, and single ones of large sets; only keys
     that two classes have in common.  ``left`` is the number of n-grams from the
     (first) one on; ``own`` lists the n-grams of the class in the global order
     and ``first`` the combined two (both null for single ones)."""
     # sets this large, or that a set this large can be linked with
-    large = often.where(F.col("n") * (den - num) >= COMBINED * num)
+    words = _words()
+    bits = one.select("c", *words)
+    large = often.where(F.col("n") * (den - num) >= COMBINED * num).join(bits, "c")
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     own = often.where(prefix <= COMBINED).groupBy("c").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("at"))
+        F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("at")).where(F.size("at") > 1).join(bits, "c")
     both = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", i + 2, F.size("at")), lambda y: F.struct(
         (F.col("n") - x["pos"]).alias("left"), F.array(x["key"], y["key"]).alias("first")))))
-    pairs = own.where(F.size("at") > 1).select("c", "n", F.col("at.key").alias("own"), F.explode(both).alias("two")).select(
-        F.xxhash64("two.first").alias("key"), "c", "n", "two.left", "two.first", "own")
+    pairs = own.select("c", "n", F.col("at.key").alias("own"), *words, F.explode(both).alias("two")).select(
+        F.xxhash64("two.first").alias("key"), "c", "n", "two.left", "two.first", "own", *words)
     common = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
     none = F.lit(None).cast("array<bigint>")
-    return large.select("key", "c", "n", (F.col("n") - F.col("pos")).alias("left"), none.alias("first"), none.alias("own")).unionAll(
+    return large.select("key", "c", "n", (F.col("n") - F.col("pos")).alias("left"), none.alias("first"), none.alias("own"),
+                        *words).unionAll(
         pairs.join(common, "key", "left_semi"))
 
 
@@ -286,14 +289,13 @@ def still_open(rows: DataFrame) -> DataFrame:
     return rows.join(keys.select("key"), "key", "left_semi")
 
 
-def open_pairs(rows: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
+def open_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
     """``[c, other]``: classes under one key of ``frequent_keys``, in different
     components, whose sizes, places and whole parity bitmaps allow a link.  Two
     classes have no rare n-gram in common here, so before the first frequent one
     that they share they have none; a pair is taken under its first combination
     only."""
     words = _words()
-    left = rows.join(one.select("c", *words), "c")
     right = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("c", "n", "label", "left", "own", *words)))
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
     return left.join(right, "key").where(
@@ -357,8 +359,8 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             break
 
     # pairs under the keys of n-grams that are still in different components
-    members = stage(frequent_keys(still_open(_labelled(often, labels)).drop("label"), num, den), "members")
-    rest = open_pairs(still_open(_labelled(members, labels)), classes.one, num, den)
+    members = stage(frequent_keys(still_open(_labelled(often, labels)).drop("label"), classes.one, num, den), "members")
+    rest = open_pairs(still_open(_labelled(members, labels)), num, den)
     links = stage(classes.verified(pair(rest)), "verified")
     labels = _merge(labels, links) if links.limit(1).count() else labels
     free(links, often, members, *classes.drop())
