@@ -41,7 +41,7 @@ TIERS = (512, 1024, 2048, 4096)
 GROUP_PIECES = 40_000
 STEP_SEQUENCES = 64  # sequences of one step group, about
 END_ID = 2
-CACHE_BYTES = 8 << 20  # of words and ids kept per generation in a worker
+CACHE_BYTES = 10 << 20  # of words and ids kept per generation in a worker
 
 # words of printable ASCII and Latin-1 letters: lower-casing and composition
 # are plain there; all others go through the library
@@ -100,7 +100,6 @@ class WordBpe:
         missing = set(words).difference(self.young)
         if missing:
             self._learn(missing)
-            self.young_bytes += sum(100 + len(w) + len(self.young[w]) for w in missing)  # with the table's own
         known = [self.young[w] for w in words]  # once for each distinct word of the batch
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         first = np.cumsum(size) - size
@@ -112,6 +111,7 @@ class WordBpe:
         return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
     def _learn(self, missing: set[bytes]) -> None:
+        self.young_bytes += 120 * len(missing)  # of the table itself, and of short words
         for w in missing & self.old.keys():
             self.young[w] = self.old[w]
         missing = [w for w in missing if w not in self.old]
@@ -126,12 +126,14 @@ class WordBpe:
             marked = _PIECES.sub(rf"\g<0>{_END}", joined.decode().lower()).replace("\n", _SEP)
             ids = np.array(self.fast.encode_ordinary(marked), "<u4")
             raw, cut = ids.tobytes(), np.flatnonzero(ids == self.sep)
+            self.young_bytes += len(joined) + len(raw)
             begin = np.concatenate([[0], 4 * (cut + 1)]).tolist()
             end = np.append(4 * cut, len(raw)).tolist()
             self.young.update(zip(plain, [raw[i:j] for i, j in zip(begin, end)]))
         for w, e in zip(odd, self.whole.encode_batch([w.decode("utf-8", "replace") for w in odd],
                                                      add_special_tokens=False) if odd else ()):
             self.young[w] = np.array(e.ids, "<u4").tobytes()
+            self.young_bytes += len(w) + len(self.young[w])
 
 
 def pieces(df: DataFrame, path: str | None = None, window: int = TIERS[-1], id_col: str = "doc_id",
