@@ -140,15 +140,90 @@ def test_repeated_strings(docs, plain, width, hot):
 
 
 def test_repeat_groups_have_all_occurrences():
-    from cofreq.llm.repeats import maximal_repeats
-
-    # five occurrences: three agree from 40 bytes before on, all five from 10 before
+    from cofreq.llm.repeats import SeedIndex, choosing
+
+    rnd = random.Random(3)
+    core = b""
+    while not core or not choosing(b"L" * 10 + core, 10, 80):  # the anchor of its window
+        core = bytes(rnd.choice(b"pqrstuv") for _ in range(70))
+    # five occurrences: three agree from 40 bytes before on, all five from 10 before;
+    # the three differ from each other on the right just where all five do
     left = [(b"L" * 10 + x)[:60] for x in (b"a" * 30 + b"1", b"a" * 30 + b"2", b"a" * 30 + b"3", b"b" * 9, b"c" * 9)]
-    right = [b"R" * 70 + x for x in (b"1", b"2", b"3", b"4", b"5")]
-    _, _, groups = maximal_repeats(left, right, 80)
-    assert {(a, b, frozenset(m.tolist())) for a, b, m in groups} == {(10, 70, frozenset(range(5)))}
-    to_left, to_right, _ = maximal_repeats(left, right, 80)
+    right = [core + x for x in (b"1", b"2", b"3", b"4", b"5")]
+    index = SeedIndex(left, right, 80)
+    assert {(a, b, frozenset(m.tolist())) for a, b, m in index.groups()} == {
+        (10, 70, frozenset(range(5))), (40, 70, frozenset(range(3)))}
+    to_left, to_right = index.reach()
     assert to_left.tolist() == [40, 40, 40, 10, 10] and to_right.tolist() == [70] * 5
+    # where two go on together to the right, no second group has the shorter right part and those two alone
+    right[:2] = [core + b"RRRRR1", core + b"RRRRR2"]
+    assert {(a, b, frozenset(m.tolist())) for a, b, m in SeedIndex(left, right, 80).groups()} == {
+        (10, 70, frozenset(range(5))), (40, 70, frozenset(range(3))), (40, 75, frozenset(range(2)))}
+
+
+def brute_groups(texts, width):
+    """The maximal repeats by definition: {string: places}."""
+    where = {}
+    for d, x in enumerate(texts):
+        for i in range(len(x) - width + 1):
+            where.setdefault(x[i:i + width], set()).add((d, i))
+    out = {}
+    for string, places in where.items():
+        if len(places) < 2:
+            continue
+        size, at = len(string), sorted(places)
+        same = lambda k: len({texts[d][i + k] if 0 <= i + k < len(texts[d]) else (d, i) for d, i in at}) == 1  # noqa: B023, E731
+        while same(size):
+            size += 1
+        while same(-1):
+            at, size = [(d, i - 1) for d, i in at], size + 1
+        out[texts[at[0][0]][at[0][1]:at[0][1] + size]] = set(at)
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_maximal_groups(spark, hot):
+    from cofreq.llm.repeats import maximal_groups
+
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    p, q, r = prose(300), prose(1200), prose(230)
+    rows = [prose(90) + p + prose(50), p + prose(70) + q, prose(20) + q + prose(99) + r, r + "é" + prose(300), prose(400),
+            prose(30) + p + "!" + prose(80) + q[200:700], q[900:] + r[:215], None, "", prose(40) + p + "!" + prose(7)]
+    texts = [(t or "").encode() for t in rows]
+    df = clashing(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(rows)], SCHEMA))
+    got = {}
+    for x in maximal_groups(df, hot=hot).collect():
+        got.setdefault(x["repeat"], (x["n"], x["length"], set()))[2].add((x["doc_id"], x["start"]))
+    assert all(n == len(at) for n, _, at in got.values())
+    found = {}
+    for _, length, at in got.values():
+        strings = {texts[d][i:i + length] for d, i in at}
+        assert len(strings) == 1
+        found[strings.pop()] = at
+    want = brute_groups(texts, 200)
+    if hot > 2:
+        # a long repeat around a commoner middle part is listed as the parts beside it
+        beside = {s for s in want if s not in found}
+        assert beside <= {q.encode()} and all(found[s] == want[s] for s in want if s not in beside)
+        parts = {s: at for s, at in found.items() if s not in want}
+        assert all(s in q.encode() and len(at) == 2 for s, at in parts.items())
+    # whatever the seeds, the groups cover the repeated bytes and list every occurrence
+    for s, at in found.items():
+        assert at == {(d, i) for d, x in enumerate(texts) for i in range(len(x)) if x.startswith(s, i)}
+    cover = lambda groups: {(d, k) for s, at in groups.items() for d, i in at for k in range(i, i + len(s))}
+    assert cover(found) == cover(want)
+
+
+def test_maximal_groups_of_awkward_rows(docs, spark):
+    from cofreq.llm.repeats import maximal_groups
+
+    groups = maximal_groups(docs)
+    assert groups.where("n < 2 or length < 200").count() == 0
+    assert maximal_groups(documents(spark, [])).count() == 0
+    rows = [(None, "a b c d e f g h " * 30, None, None, None), (3, "a b c d e f g h " * 30, None, None, None)]
+    ids = {x["doc_id"] for x in maximal_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert ids == {None, 3}
 
 
 def test_strip_keeps_columns(docs):
@@ -712,5 +787,5 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 14)}
     assert ("pipeline" in names) == os.path.exists(os.path.join(os.path.dirname(entry.__file__), "corpus_pipeline.py"))
