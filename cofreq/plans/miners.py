@@ -20,7 +20,7 @@ from cofreq.operators.levelwise import candidate_tids
 from cofreq.operators.vertical import intersect_tids
 from cofreq.plans.apriori import Levels, adaptive_apriori, as_basket, next_level
 from cofreq.plans.groups import mine_groups
-from cofreq.plans.vertical import vertical_sets
+from cofreq.plans.vertical import grow_closed, item_groups, vertical_sets
 from cofreq.session import BROADCAST_MAX_ROWS, materialize, maybe_broadcast
 
 
@@ -176,14 +176,14 @@ def seed_prefixes(fis_r: DataFrame, p: int) -> DataFrame:
 
 
 def seeds_of(data: DataFrame, min_sup: int, p: int) -> DataFrame:
-    """F3 end to end: rank the frequent items (W1), relabel, count up to
-    length p and keep the seeds the depth-first growth reports; returns
-    ``[items, support]`` in item ids."""
+    """F3 end to end: rank the frequent items (W1), relabel, and grow in rank
+    order with the closure break, so that skipped seeds are never extended;
+    returns ``[items, support]`` in item ids."""
     basket = as_basket(data)
     ranks = item_rank(frequent_items(basket, min_sup)).persist(StorageLevel.MEMORY_AND_DISK)
     n_ranks = ranks.count()
-    fis_r = materialize(vertical_sets(to_rank_space(basket, ranks, n_ranks), min_sup, p))
-    return from_rank_space(seed_prefixes(fis_r, p), ranks, n_ranks)
+    basket_r = to_rank_space(basket, ranks, n_ranks)
+    return from_rank_space(materialize(grow_closed(*item_groups(basket_r, min_sup), min_sup, p)), ranks, n_ranks)
 
 
 def vertical_mine(

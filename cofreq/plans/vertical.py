@@ -42,11 +42,13 @@ def frequent_pairs(lists: DataFrame, min_sup: int) -> DataFrame:
         F.col("n") >= min_sup).select("a", "b").distinct()
 
 
-def next_lists(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+def next_lists(lists: DataFrame, pairs: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
     """J4 for all siblings: ``[sid, psid, item, block, tids]`` of the sets one
-    item longer (``psid`` is the sibling that was extended)."""
+    item longer (``psid`` is the sibling that was extended).  ``siblings`` are
+    the sets to extend with, where not all of them are extended themselves."""
+    siblings = lists if siblings is None else siblings
     first = lists.select(F.col("sid").alias("first"), "psid", F.col("item").alias("a"), "block", F.col("tids").alias("ta"))
-    second = lists.select("psid", F.col("item").alias("b"), "block", F.col("tids").alias("tb"))
+    second = siblings.select("psid", F.col("item").alias("b"), "block", F.col("tids").alias("tb"))
     both = first.join(pairs.select("a", "b"), "a").join(second, ["psid", "block", "b"])
     shared = both.select(F.col("first").alias("psid"), F.col("b").alias("item"), "block",
                          tids_intersect("ta", "tb").alias("tids")).where(F.size("tids") > 0)
@@ -81,11 +83,55 @@ def grow(sets: DataFrame, lists: DataFrame, min_sup: int, max_len: int | None =
     return reduce(DataFrame.unionByName, levels).select(F.concat("prefix", F.array("item")).alias("items"), "support")
 
 
-def vertical_sets(basket: DataFrame, min_sup: int, max_len: int | None = None, block_size: int = 1 << 16) -> DataFrame:
-    """All frequent sets of a long basket ``[tid, item]`` by tid lists."""
+def grow_closed(sets: DataFrame, lists: DataFrame, min_sup: int, max_len: int) -> DataFrame:
+    """The sets of 2 to ``max_len`` items that the forward-closed search reports
+    from a first level of single items, whose values are the order of the
+    search: ``[items, support]``.
+
+    The closure break is part of the growth: where an extension has the support
+    of its set, the siblings after it are not extended (they still extend those
+    before them).  A set is reported if no extension has its support; sets of
+    ``max_len`` items are not extended, so they neither break nor are tested."""
+    sets, lists = materialize(sets), materialize(lists)
+    pairs = materialize(frequent_pairs(lists, min_sup))
+    visited, reported, length = sets, [sets.where(F.lit(False))], 1
+    while length < max_len:
+        extended = lists if length == 1 else lists.join(visited.select("sid"), "sid", "left_semi")
+        found = materialize(next_lists(extended, pairs, lists))
+        often = found.groupBy("sid", "psid", "item").agg(F.sum(F.size("tids")).cast("bigint").alias("support")).where(
+            F.col("support") >= min_sup)
+        parent = visited.select(F.col("sid").alias("psid"), F.concat("prefix", F.array("item")).alias("prefix"),
+                                F.col("support").alias("own"))
+        longer = materialize(often.join(parent, "psid").select("sid", "psid", "prefix", "item", "support", "own"))
+        n, names = longer.agg(F.count(F.lit(1)), F.count_distinct("sid")).first()
+        if n != names:
+            raise ArithmeticError("two sets share a 64-bit id")
+        equal = longer.where(F.col("support") == F.col("own")).groupBy("psid").agg(F.min("item").alias("last"))
+        if length > 1:
+            reported.append(visited.join(equal.select(F.col("psid").alias("sid")), "sid", "left_anti"))
+        length += 1
+        if n == 0:
+            break
+        if length == max_len:
+            reported.append(longer)
+            break
+        visited = materialize(longer.join(equal, "psid", "left").where(
+            F.col("last").isNull() | (F.col("item") <= F.col("last"))).drop("last"))
+        lists = materialize(found.join(longer.select("sid"), "sid", "left_semi"))
+    return reduce(DataFrame.unionByName, [r.select(F.concat("prefix", F.array("item")).alias("items"), "support")
+                                          for r in reported])
+
+
+def item_groups(basket: DataFrame, min_sup: int, block_size: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """First level of a long basket ``[tid, item]``: its frequent items."""
     item_type = basket.schema["item"].dataType.simpleString()
     lists = transpose(basket, block_size)
     often = lists.groupBy("item").agg(F.sum("support").alias("support")).where(F.col("support") >= min_sup)
     none = F.array().cast(f"array<{item_type}>")
     groups = lists.drop("support").join(often, "item").select(none.alias("prefix"), "item", "support", "block", "tids")
-    return grow(*seed_groups(groups), min_sup, max_len)
+    return seed_groups(groups)
+
+
+def vertical_sets(basket: DataFrame, min_sup: int, max_len: int | None = None, block_size: int = 1 << 16) -> DataFrame:
+    """All frequent sets of a long basket ``[tid, item]`` by tid lists."""
+    return grow(*item_groups(basket, min_sup, block_size), min_sup, max_len)
