@@ -24,7 +24,7 @@ from cofreq.plans.groups import mine_groups
 from cofreq.plans.miners import hybrid_mine, prefix_groups as _prefix_groups, vertical_mine
 from cofreq.sources import readers as R
 from cofreq.sources import writers as W
-from cofreq.session import ensure_checkpoint_dir
+from cofreq.session import ensure_checkpoint_dir, maybe_broadcast
 from cofreq.sources.basket import order_basket
 
 SUPPORT_DIVISOR = 150
@@ -365,10 +365,11 @@ def q_diffset_extend(spark, sf_dir):
     c = ctx(spark, sf_dir)
     res = _two_levels(c)
     level = res.levels[1].select(F.col("prefix")[0].alias("p"), "item", "support")
-    lists = B.transpose(c.basket, BLOCK)
+    # the lists are dealt out by block once; pairs of them meet inside a block
+    lists = V.by_block(B.transpose(c.basket, BLOCK))
     own = lists.select(F.col("item").alias("p"), "block", F.col("tids").alias("tp"))
     other = lists.select("item", "block", F.col("tids").alias("tx"))
-    group = level.join(own, "p").join(other, ["item", "block"], "left").select(
+    group = own.join(maybe_broadcast(level), "p").join(other.hint("shuffle_hash"), ["item", "block"], "left").select(
         F.array("p").alias("prefix"), "item", "support", "block",
         F.array_except("tp", F.coalesce("tx", F.array().cast("array<bigint>"))).alias("diff"))
     a = level.select("p", F.col("item").alias("a"))
