@@ -6,7 +6,11 @@ with an equi-join of siblings on ``(tid, psid)``, so both parents of a
 candidate are frequent, both sides stay co-partitioned by ``tid``, and the only
 shuffle per level is the partially-aggregated ``(set, item)`` count.
 Candidates are therefore the combinations that actually occur together; no
-pairing of all members of a prefix group is ever emitted."""
+pairing of all members of a prefix group is ever emitted.
+
+For counting alone no occurrence is shuffled or written: ``extend_transactions``
+grows the sets again inside each transaction, by joins with the small tables of
+frequent extensions, and only counts leave the task."""
 
 from __future__ import annotations
 
@@ -46,29 +50,80 @@ def extend_occurrences(occ: DataFrame) -> DataFrame:
     return _siblings(occ, occ)
 
 
-def extend_occurrences_split(occ: DataFrame, hot: DataFrame | None, salts: int = 64) -> DataFrame:
-    """J2 with hot transactions split.
+def child_id(parent: str = "sid", item: str = "item", salt: int = 0):
+    """Id of the set ``parent ∪ {item}``."""
+    return F.xxhash64(F.col(parent), F.col(item), F.lit(salt))
+
+
+def merge_transactions(basket: DataFrame) -> DataFrame:
+    """``[tid, item]`` -> ``[items, n]``: items ascending, equal transactions
+    once with their number."""
+    return basket.groupBy("tid").agg(F.array_sort(F.collect_list("item")).alias("items")).groupBy("items").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def split_hot(tx: DataFrame, limit: int, salts: int) -> DataFrame:
+    """``[items, ..., _salt]``: transactions of over ``limit`` items once for
+    each of ``salts`` sub-keys; a sub-key takes its share of the first items of
+    the sets, so every set of such a transaction is grown exactly once, and by
+    ``salts`` tasks instead of one.  For the others ``_salt`` is null."""
+    hot = tx.where(F.size("items") > limit).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cold = tx.where(F.size("items") <= limit).withColumn("_salt", F.lit(None).cast("int"))
+    return cold.unionByName(hot.repartition(salts))
+
+
+def _grown(rows: DataFrame, keep: list[str], level: int, to_come: int, salt: int, salts: int) -> DataFrame:
+    """One row ``[keep.., psid, sid, item, rest]`` for each item in ``rest`` that
+    has ``to_come`` items behind it, which are the new ``rest``; the set ``sid``
+    grows to one of ``level`` items."""
+    start = F.slice("rest", 1, F.greatest(F.size("rest") - to_come, F.lit(0)))
+    split = level == 1 and "_salt" in rows.columns
+    out = rows.select(*keep, "sid", "rest", *(["_salt"] if split else []), F.posexplode(start).alias("_at", "item"))
+    if split:
+        out = out.where(F.col("_salt").isNull() | (F.pmod("_at", F.lit(salts)) == F.col("_salt")))
+    sid = F.col("item").cast("bigint") if level == 1 else child_id("sid", "item", salt)
+    return out.select(*keep, F.col("sid").alias("psid"), sid.alias("sid"), "item",
+                      F.slice("rest", F.col("_at") + 2, F.size("rest")).alias("rest"))
+
+
+def _projected(tx: DataFrame, keep: list[str], extensions: dict[int, DataFrame], ids: list[int], k: int, size: int,
+               salts: int) -> DataFrame:
+    """``[keep.., sid, rest]``: for every frequent (k-1)-set in a transaction
+    the items there that extend it to a frequent k-set, if sets of ``size``
+    items can come of them."""
+    rows = tx.withColumn("sid", F.lit(0).cast("bigint")).withColumnRenamed("items", "rest")
+    for j in range(1, k):
+        rows = _grown(rows, keep, j, size - j, ids[j - 1], salts).join(extensions[j], "sid").select(
+            *keep, "sid", F.array_intersect("rest", "ext").alias("rest"))
+    return rows
+
+
+def extend_transactions(tx: DataFrame, extensions: dict[int, DataFrame], ids: list[int], k: int, salts: int = 64) -> DataFrame:
+    """J2 inside each transaction of ``[items, n]`` (items ascending): ``[n, sid,
+    item]`` for each k-set ``sid`` and later item in it, both of whose parents
+    (the k-set, and its sibling with that item) are frequent.
+
+    ``extensions[j]`` is ``[sid, ext]``, the items that extend a frequent j-set
+    to a frequent (j+1)-set, for j < k (with a broadcast hint if small: then
+    nothing is shuffled); ``ids[j-1]`` is the salt of the ids of j-sets.  With a
+    column ``_salt`` (``split_hot``) a transaction is grown by several tasks."""
+    rows = _grown(_projected(tx, ["n"], extensions, ids, k, k + 1, salts), ["n"], k, 1, ids[k - 1], salts)
+    return rows.select("n", "sid", F.explode("rest").alias("item"))
+
 
-    ``hot`` lists the tids whose item count exceeds the hot limit (with a
-    broadcast hint if it has been counted and is small).  Other transactions
-    keep the co-bucketed join.  A hot transaction's rows are spread over
-    ``salts`` sub-keys by their last item on one side and replicated once per
-    sub-key on the other, so its extensions are produced by ``salts`` tasks
-    instead of one; every pair of siblings still meets exactly once."""
-    if hot is None:
-        return extend_occurrences(occ)
-    cold = extend_occurrences(occ.join(hot, "tid", "left_anti"))
-    own = occ.join(hot, "tid", "left_semi")
-    warm = _siblings(own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
-                     own.withColumn("_salt", F.pmod(F.hash("last"), F.lit(salts))), "_salt")
-    return cold.unionByName(warm)
+def occurrences_of(tx: DataFrame, extensions: dict[int, DataFrame], ids: list[int], k: int) -> DataFrame:
+    """Occurrences ``[tid, psid, sid, last]`` of the frequent k-sets in ``[tid,
+    items]``, partitioned as that is."""
+    rows = _grown(_projected(tx, ["tid"], extensions, ids, k, k, 1), ["tid"], k, 0, ids[k - 1], 1)
+    return rows.select("tid", "psid", "sid", F.col("item").alias("last"))
 
 
 def count_extensions(ext: DataFrame) -> DataFrame:
     """A2: support of each (set id, item); Catalyst plans a partial
     (map-side) and a final hash aggregate over fixed-width keys, so a hot key
-    is pre-combined before the shuffle."""
-    return ext.groupBy("sid", "item").agg(F.count(F.lit(1)).alias("support"))
+    is pre-combined before the shuffle.  A row counts ``n`` times if it has that."""
+    n = F.sum("n").cast("bigint") if "n" in ext.columns else F.count(F.lit(1))
+    return ext.groupBy("sid", "item").agg(n.alias("support"))
 
 
 def filter_min_support(df: DataFrame, min_sup: int, col: str = "support") -> DataFrame:

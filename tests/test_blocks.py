@@ -41,3 +41,18 @@ def test_diffsets_of_a_block_are_not_moved(spark):
         assert got and all(n == sum({p, a, b} <= set(t) for t in rows) for (p, a, b), n in got.items())
     # no exchange by prefix carries diffsets: only sizes go on
     assert not re.search(r"Exchange hashpartitioning\(prefix#\d+, (b|block)#", _plan(found))
+
+
+def test_levels_write_no_occurrences(spark, monkeypatch):
+    """Only the pruned basket is written by tid, however many levels there are;
+    transactions that are equal are counted by their number."""
+    from conftest import as_map, brute_force
+    from cofreq.plans import apriori as A
+
+    rows = [[1, 2, 3, 4]] * 5 + [[2, 3, 4, 5]] * 2 + [[1, 5]]
+    written, plain = [], A.bucketed_table
+    monkeypatch.setattr(A, "bucketed_table", lambda *a, **k: written.append(1) or plain(*a, **k))
+    res = A.apriori(tx_df(spark, rows), 2)
+    assert res.depth == 4 and len(written) == 1
+    assert sorted((r["items"], r["n"]) for r in res.transactions.collect()) == [([1, 2, 3, 4], 5), ([1, 5], 1), ([2, 3, 4, 5], 2)]
+    assert as_map(res.itemsets()) == brute_force(rows, 2)
