@@ -92,7 +92,9 @@ def as_basket(data: DataFrame) -> DataFrame:
     return explode_items(data) if "items" in data.columns else data.select("tid", "item")
 
 
-ROWS_PER_BUCKET = 8_000_000  # (tid, item) rows per bucket of the pruned basket
+# (tid, item) rows per bucket of the pruned basket: what one task hashes, sorts
+# and nests, whatever the number of transactions
+ROWS_PER_BUCKET = 500_000
 
 
 def _buckets(df: DataFrame, n_rows: int) -> int:

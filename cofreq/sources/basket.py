@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cofreq.session import is_small
+
+ROWS_PER_PARTITION = 500_000  # (tid, item) rows that one task holds
+
 # Fixed offsets that keep the four item families apart.
 NATION_OFFSET = 100
 REGION_OFFSET = 200
@@ -22,21 +26,37 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(spark: SparkSession, n_rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_PARTITION))
+
+
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_small(df) else df.hint("shuffle_hash")
+
+
 def order_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form ``DataFrame[tid: bigint, item: int]`` (distinct pairs)."""
+    """Long form ``DataFrame[tid: bigint, item: int]`` (distinct pairs), hash
+    partitioned by ``tid``.
+
+    The rows are dealt out by ``tid`` once, before anything is held for them, to
+    as many partitions as there are rows for: the distinct pairs and all that is
+    grouped by ``tid`` later need no further exchange, and no task's hash table
+    grows with the input.  The sides of the joins are broadcast if counted small;
+    beyond that they are hashed, so that the lines and orders are not sorted."""
     lineitem = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    n_parts = partitions(spark, lineitem.count() + 3 * orders.count())
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
 
-    brands = lineitem.join(part, lineitem.l_partkey == part.p_partkey).select(
-        F.col("l_orderkey").alias("tid"),
-        F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int").alias("item"),
+    brand = part.select("p_partkey", F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int").alias("item"))
+    brands = lineitem.join(_side(brand), lineitem.l_partkey == brand.p_partkey).select(
+        F.col("l_orderkey").alias("tid"), "item"
     )
     # nation has 25 rows: a broadcast of a fixed-size dimension.
     geo = (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        orders.join(_side(customer), orders.o_custkey == customer.c_custkey)
         .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(
             F.col("o_orderkey").alias("tid"),
@@ -52,6 +72,7 @@ def order_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
         brands.unionByName(geo)
         .where(F.col("item").isNotNull())
         .select(F.col("tid").cast("bigint"), F.col("item").cast("int"))
+        .repartition(n_parts, "tid")
         .distinct()
     )
 
