@@ -3,7 +3,7 @@
 A level is two tables: the sets ``[sid, prefix, item, support]`` and their tid
 lists ``[sid, psid, item, block, tids]``, one row for each block of tids, so
 no row or task grows with the number of transactions.  The next level joins
-siblings (same parent ``psid``, same block), intersects their lists and adds
+siblings (same parent ``psid``), intersects their lists block by block and adds
 the sizes up over the blocks.  Only siblings whose last items form a frequent
 pair are joined, which keeps groups of many siblings from being paired off."""
 
@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofreq.functions.itemsets import tids_intersect
-from cofreq.operators.basket import transpose
-from cofreq.session import materialize
+from cofreq.functions.itemsets import tid_block, tids_intersect
+from cofreq.operators.slots import count_pairs, count_sets, deal
+from cofreq.session import materialize, maybe_broadcast
 
+ROWS_PER_TASK = 500_000  # (tid, item) rows that are transposed at once
 ROOT = 0  # id of the empty set
 
 
@@ -32,6 +33,21 @@ def seed_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, named.select("sid", "psid", "item", "block", "tids")
 
 
+def item_lists(lists: DataFrame) -> DataFrame:
+    """Blocked lists ``[item, block, tids]`` as lists of single items."""
+    named = lists.select(F.lit(ROOT).cast("bigint").alias("psid"), "item", "block", "tids")
+    return named.select(set_id("psid", "item").alias("sid"), "psid", "item", "block", "tids")
+
+
+def path_sets(first: DataFrame) -> DataFrame:
+    """Prefix groups ``[prefix, item, support]`` as a first level whose sets are
+    intersections of the lists of their items."""
+    own = lambda x: F.xxhash64(F.lit(ROOT).cast("bigint"), x)
+    named = first.withColumn("psid", F.xxhash64("prefix")).withColumn("sid", set_id("psid", "item"))
+    return named.select("sid", "prefix", "item", "support",
+                        F.transform(F.concat("prefix", F.array("item")), own).alias("path"))
+
+
 def frequent_pairs(lists: DataFrame, min_sup: int) -> DataFrame:
     """Item pairs ``[a, b]`` that are frequent together under some parent,
     counted where they occur together (pairs that never do are not formed)."""
@@ -56,31 +72,51 @@ def next_lists(lists: DataFrame, pairs: DataFrame, siblings: DataFrame | None =
 
 
 def grow(sets: DataFrame, lists: DataFrame, min_sup: int, max_len: int | None = None,
-         pairs: DataFrame | None = None) -> DataFrame:
+         pairs: DataFrame | None = None, n_tids: int | None = None) -> DataFrame:
     """All frequent sets grown from a first level: ``[items, support]``, the
-    first level included."""
-    sets, lists = materialize(sets), materialize(lists)
-    size = sets.select(F.size("prefix").alias("k")).limit(1).collect()
-    if not size:
-        return sets.select(F.concat("prefix", F.array("item")).alias("items"), "support")
-    length = size[0]["k"] + 1
-    pairs = materialize(frequent_pairs(lists, min_sup) if pairs is None else pairs)
-    levels = [sets] if max_len is None or length <= max_len else [sets.where(F.lit(False))]
-    while max_len is None or length < max_len:
-        found = materialize(next_lists(lists, pairs))
-        often = found.groupBy("sid", "psid", "item").agg(F.sum(F.size("tids")).cast("bigint").alias("support")).where(
-            F.col("support") >= min_sup)
-        parent = sets.select(F.col("sid").alias("psid"), F.concat("prefix", F.array("item")).alias("prefix"))
-        longer = materialize(often.join(parent, "psid").select("sid", "prefix", "item", "support"))
+    first level included.
+
+    The lists are dealt out by block once and never written again: each level
+    intersects them anew in their slots (``operators.slots``) and adds the counts
+    up.  ``sets`` may have a column ``path``, the lists that a set is the
+    intersection of (otherwise its own); the last of them is the one that its
+    siblings are extended by.  ``n_tids`` is the number of entries of the lists
+    where that is not the sum of the supports of ``sets``."""
+    if "path" not in sets.columns:
+        sets = sets.withColumn("path", F.array("sid"))
+    sets = materialize(sets.select("sid", F.xxhash64("prefix").alias("psid"), "prefix", "item", "support", "path"))
+    n, total = sets.agg(F.count(F.lit(1)), F.sum("support")).first()
+    levels = [sets] if n else []
+    first = sets.select(F.size("prefix").alias("k")).limit(1).collect()
+    length = first[0]["k"] + 1 if first else 0
+    if first and max_len is not None and length > max_len:
+        levels = []
+    elif first and (max_len is None or length < max_len):
+        dealt, slots = deal(lists, int(total) if n_tids is None else n_tids)
+        pairs = materialize(count_pairs(dealt, min_sup) if pairs is None else pairs.select("a", "b"))
+    while first and n > 1 and (max_len is None or length < max_len):
+        one = sets.select(F.col("sid").alias("parent"), "psid", F.col("item").alias("a"))
+        two = sets.select("psid", F.col("item").alias("b"), F.element_at("path", -1).alias("id"))
+        wanted = one.join(pairs, "a").join(two, ["psid", "b"]).groupBy("parent").agg(F.collect_list("id").alias("ids"))
+        wanted = wanted.join(sets.select(F.col("sid").alias("parent"), "path"), "parent").select(
+            F.col("parent").alias("psid"), "path", "ids")
+        often = count_sets(dealt, slots, wanted, n).where(F.col("support") >= min_sup)
+        own = sets.select(F.col("sid").alias("parent"), F.col("psid").alias("group"), F.col("path").alias("up"),
+                          F.concat("prefix", F.array("item")).alias("above"))
+        named = two.select(F.col("psid").alias("group"), "id", F.col("b").alias("item"))
+        found = often.withColumnRenamed("psid", "parent").join(own, "parent").join(named, ["group", "id"])
+        longer = materialize(found.select(set_id("parent", "item").alias("sid"), F.col("parent").alias("psid"),
+                                          F.col("above").alias("prefix"), "item", "support",
+                                          F.concat("up", F.array("id")).alias("path")))
         n, names = longer.agg(F.count(F.lit(1)), F.count_distinct("sid")).first()
         if n == 0:
             break
         if n != names:
             raise ArithmeticError("two sets share a 64-bit id")
         levels.append(longer)
-        lists = materialize(found.join(longer.select("sid"), "sid", "left_semi"))
         sets, length = longer, length + 1
-    return reduce(DataFrame.unionByName, levels).select(F.concat("prefix", F.array("item")).alias("items"), "support")
+    return reduce(DataFrame.unionByName, levels or [sets.where(F.lit(False))]).select(
+        F.concat("prefix", F.array("item")).alias("items"), "support")
 
 
 def grow_closed(sets: DataFrame, lists: DataFrame, min_sup: int, max_len: int) -> DataFrame:
@@ -122,13 +158,22 @@ def grow_closed(sets: DataFrame, lists: DataFrame, min_sup: int, max_len: int) -
                                           for r in reported])
 
 
+def transpose_dealt(basket: DataFrame, block_size: int = 1 << 16) -> DataFrame:
+    """A3 with the rows dealt out by block first, as many at a time as a task
+    can hold, so that lists are put together where they stay."""
+    n = max(basket.sparkSession.sparkContext.defaultParallelism, -(-basket.count() // ROWS_PER_TASK))
+    rows = basket.select("item", "tid", tid_block("tid", block_size).alias("block")).repartition(n, "block")
+    return rows.groupBy("item", "block").agg(F.array_sort(F.collect_set("tid")).alias("tids")).select(
+        "item", "block", F.size("tids").cast("bigint").alias("support"), "tids")
+
+
 def item_groups(basket: DataFrame, min_sup: int, block_size: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """First level of a long basket ``[tid, item]``: its frequent items."""
     item_type = basket.schema["item"].dataType.simpleString()
-    lists = transpose(basket, block_size)
+    lists = materialize(transpose_dealt(basket, block_size))
     often = lists.groupBy("item").agg(F.sum("support").alias("support")).where(F.col("support") >= min_sup)
     none = F.array().cast(f"array<{item_type}>")
-    groups = lists.drop("support").join(often, "item").select(none.alias("prefix"), "item", "support", "block", "tids")
+    groups = lists.drop("support").join(maybe_broadcast(often), "item").select(none.alias("prefix"), "item", "support", "block", "tids")
     return seed_groups(groups)
 
 
