@@ -143,9 +143,10 @@ def first_level(data: DataFrame, min_sup: int) -> Levels:
     pruned = bucketed_table(pruned.repartition(n_parts, "tid").dropDuplicates(["tid", "item"]), "tid", n_parts)
     if pruned.count() != n_rows:
         l1.unpersist()
+        n_before = n1
         l1, n1 = _keep_small(frequent_items(pruned, min_sup))
-        pruned = bucketed_table(pruned.join(_side(l1.select("item"), n1), "item", "left_semi").repartition(n_parts, "tid"),
-                                "tid", n_parts)
+        if n1 < n_before:  # supports only fell: as many items are the same items
+            pruned = pruned.join(_side(l1.select("item"), n1), "item", "left_semi")
     item_type = pruned.schema["item"].dataType.simpleString()
     level1 = l1.select(F.col("item").cast("bigint").alias("sid"), F.array().cast(f"array<{item_type}>").alias("prefix"),
                        "item", "support")
