@@ -260,27 +260,37 @@ def rare_pairs(known: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def frequent_keys(often: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
-    """``[key, c, n, left, first, own, w0, w1, ...]`` from frequent prefix n-grams
-    ``[key, pos, c, n]`` and the classes' parity bitmaps: pairs of them, and single ones of large sets; only keys
-    that two classes have in common.  ``left`` is the number of n-grams from the
-    (first) one on; ``own`` lists the n-grams of the class in the global order
-    and ``first`` the combined two (both null for single ones)."""
-    # sets this large, or that a set this large can be linked with
+    """``[key, c, n, label, left, first, own, w0, w1, ...]`` from frequent prefix
+    n-grams ``[key, pos, c, n, label]`` and the classes' parity bitmaps: pairs of
+    them, and single ones of large sets; only keys of several labels, at places
+    that leave room for a link with the smallest set under them.  ``left`` is the
+    number of n-grams from the (first) one on; ``own`` lists the n-grams of the
+    class in the global order and ``first`` the combined two (both null for
+    single ones).
+
+    Two linked classes with different labels have no rare n-gram in common, so of
+    the n-grams before the second frequent one that they share they share one:
+    that place alone decides whether a combination can be the first of a link."""
     words = _words()
     bits = one.select("c", *words)
-    large = often.where(F.col("n") * (den - num) >= COMBINED * num).join(bits, "c")
+    smallest = often.groupBy("key").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    rows = often.join(smallest.where(F.col("lo") != F.col("hi")).select("key", "least"), "key")
+    # n-grams that a link with a set of that size needs in common
+    needed = lambda least: F.ceil((F.col("n") + F.greatest(least, F.ceil(F.col("n") * num / den))) * num / (num + den))
+    # sets this large, or that a set this large can be linked with
+    large = rows.where((F.col("n") * (den - num) >= COMBINED * num) & (F.col("n") - F.col("pos") >= needed(F.col("least")))).join(bits, "c")
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    own = often.where(prefix <= COMBINED).groupBy("c").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("at")).where(F.size("at") > 1).join(bits, "c")
-    both = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", i + 2, F.size("at")), lambda y: F.struct(
-        (F.col("n") - x["pos"]).alias("left"), F.array(x["key"], y["key"]).alias("first")))))
-    pairs = own.select("c", "n", F.col("at.key").alias("own"), *words, F.explode(both).alias("two")).select(
-        F.xxhash64("two.first").alias("key"), "c", "n", "two.left", "two.first", "own", *words)
-    common = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
+    own = rows.where(prefix <= COMBINED).groupBy("c", "n", "label").agg(
+        F.array_sort(F.collect_set(F.struct("pos", "key", "least"))).alias("at")).where(F.size("at") > 1)
+    room = lambda x, y: F.col("n") - y["pos"] + 1 >= needed(F.greatest(x["least"], y["least"]))
+    both = F.flatten(F.transform("at", lambda x, i: F.transform(
+        F.filter(F.slice("at", i + 2, F.size("at")), lambda y: room(x, y)),
+        lambda y: F.struct((F.col("n") - x["pos"]).alias("left"), F.array(x["key"], y["key"]).alias("first")))))
+    pairs = own.join(bits, "c").select("c", "n", "label", F.col("at.key").alias("own"), *words, F.explode(both).alias("two")).select(
+        F.xxhash64("two.first").alias("key"), "c", "n", "label", "two.left", "two.first", "own", *words)
     none = F.lit(None).cast("array<bigint>")
-    return large.select("key", "c", "n", (F.col("n") - F.col("pos")).alias("left"), none.alias("first"), none.alias("own"),
-                        *words).unionAll(
-        pairs.join(common, "key", "left_semi"))
+    return large.select("key", "c", "n", "label", (F.col("n") - F.col("pos")).alias("left"), none.alias("first"),
+                        none.alias("own"), *words).unionAll(still_open(pairs))
 
 
 def still_open(rows: DataFrame) -> DataFrame:
@@ -345,7 +355,7 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # every class of a frequent n-gram and size class with one partner, another in each round
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int")
     for turn in range(ROUNDS):
-        rows = still_open(_labelled(often, labels)).withColumn("class", size_class)
+        rows = _labelled(often, labels).withColumn("class", size_class)
         partner = rows.groupBy("key", "class").agg(
             F.min(F.struct(F.xxhash64("c", F.lit(turn)), "c", "label")).alias("p"), F.min("label").alias("lo"),
             F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select(
@@ -359,8 +369,8 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             break
 
     # pairs under the keys of n-grams that are still in different components
-    members = stage(frequent_keys(still_open(_labelled(often, labels)).drop("label"), classes.one, num, den), "members")
-    rest = open_pairs(still_open(_labelled(members, labels)), num, den)
+    members = stage(frequent_keys(_labelled(often, labels), classes.one, num, den), "members")
+    rest = open_pairs(members, num, den)
     links = stage(classes.verified(pair(rest)), "verified")
     labels = _merge(labels, links) if links.limit(1).count() else labels
     free(links, often, members, *classes.drop())

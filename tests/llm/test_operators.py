@@ -306,6 +306,40 @@ def test_hot_passage_and_near_copies(spark):
     assert sorted(r["doc_id"] for r in keep_first(d, 3, 80, 100).collect()) == [0, *range(60, 120)]
 
 
+def test_combinations_without_room_are_not_made(spark):
+    """Under hot n-grams only the combinations that can be the first of a link."""
+    from cofreq.llm.jaccard_join import _words, frequent_keys
+
+    # 40 sets of 145, 5 or 20 n-grams of their own before the 10 or more shared ones
+    often = [(key, pos, c, 145, c) for c in range(40) for pos, key in enumerate(range(31)) if pos >= (5 if c % 2 else 20)]
+    often = spark.createDataFrame(often, "key bigint, pos int, c bigint, n bigint, label bigint")
+    one = spark.createDataFrame([(c, *[0] * len(_words())) for c in range(40)], "c bigint, " + ", ".join(f"{w} bigint" for w in _words()))
+    made = frequent_keys(often, one, 80, 100)
+    # two of 145 need 129 in common: the second may be the 18th at most
+    assert {r["c"] for r in made.select("c").distinct().collect()} == set(range(1, 40, 2))
+    assert made.count() == 20 * 13 * 12 // 2
+    assert all(len(r["own"]) == 26 for r in made.select("own").collect())
+
+
+def test_near_copies_around_the_threshold(spark):
+    from cofreq.llm.jaccard_join import jaccard_components
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    body, passage = [word() for _ in range(149)], [word() for _ in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(body[:149 - 4 * (i % 3)])
+        for _ in range(i % 6):
+            w[rnd.choice([rnd.randrange(len(w)), 7, 70])] = word()
+        rows.append(" ".join(w))
+    rows += [" ".join(passage + [word() for _ in range(i % 40)]) for i in range(60)]
+    d = documents(spark, rows).repartition(4)
+    for n, num, den in ((5, 80, 100), (3, 90, 100)):
+        got = by_id(jaccard_components(d, n, num, den).distinct(), "doc_id", "n_shingles", "component_id")
+        assert got == brute_join(list(enumerate(rows)), n, num, den)
+
+
 def test_components_of_a_chain(spark):
     from cofreq.llm.components import components
 
