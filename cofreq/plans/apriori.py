@@ -97,15 +97,25 @@ def as_basket(data: DataFrame) -> DataFrame:
 ROWS_PER_BUCKET = 500_000
 
 
-def _buckets(df: DataFrame, n_rows: int) -> int:
+def _buckets(df: DataFrame, n_rows: int, kept: int = 0) -> int:
     """Bucket count of the tid-bucketed tables: ``spark.cofreq.buckets`` when
     set, else sized from the data (the pruned basket's row count, known from
-    the item supports) and never below the cluster's parallelism."""
+    the item supports) and never below the cluster's parallelism.  A basket
+    kept in as many partitions (``kept``) or up to four times as many sets the
+    count: if it was dealt out by tid before (``order_basket``, which counts its
+    rows before the pruning), its rows stay where they are."""
     spark = df.sparkSession
     fixed = spark.conf.get("spark.cofreq.buckets", None)
     if fixed:
         return int(fixed)
-    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_BUCKET), 1)
+    n = max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_BUCKET), 1)
+    return kept if n < kept <= 4 * n else n
+
+
+def _kept_partitions(data: DataFrame) -> int:
+    """Partitions of a persisted ``data``; 0 if it is not (asking would run it)."""
+    level = data.storageLevel
+    return data.rdd.getNumPartitions() if level.useMemory or level.useDisk else 0
 
 
 def _hot_limit(df: DataFrame) -> int:
@@ -137,7 +147,7 @@ def first_level(data: DataFrame, min_sup: int) -> Levels:
     # tid-bucketed once: what joins or groups it by tid needs no exchange.  The
     # pruned basket has exactly sum(support of frequent items) rows.
     n_rows = int(l1.agg(F.sum("support")).first()[0] or 0) if n1 else 0
-    n_parts = _buckets(basket, n_rows)
+    n_parts = _buckets(basket, n_rows, _kept_partitions(data))
     # a repeated (tid, item) row counts once: removed inside the exchange by
     # tid; if there were any, the item supports are taken again
     pruned = bucketed_table(pruned.repartition(n_parts, "tid").dropDuplicates(["tid", "item"]), "tid", n_parts)

@@ -41,3 +41,25 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
     res = A.apriori(basket, 20)
     assert res.buckets >= basket.count() // 1000
     assert res.transactions.groupBy().sum("n").first()[0] == basket.select("tid").distinct().count()
+
+
+def test_kept_basket_is_not_dealt_out_again(spark, monkeypatch):
+    want = sorted((r["items"], r["support"]) for r in A.apriori(S.order_basket(spark, DIR), 20).itemsets().collect())
+    # repeated brands: the basket asks for more partitions than its pruned rows do
+    monkeypatch.setattr(S, "ROWS_PER_PARTITION", 100)
+    monkeypatch.setattr(A, "ROWS_PER_BUCKET", 100)
+    plans, write = [], A.bucketed_table
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(A, "bucketed_table", seen)
+    basket = S.order_basket(spark, DIR).persist()
+    n_parts = basket.rdd.getNumPartitions()
+    res = A.apriori(basket, 20)
+    assert -(-sum(r["support"] for r in res.levels[0].collect()) // 100) < n_parts == res.buckets
+    assert "Exchange" not in plans[0].split("InMemoryTableScan")[0]  # from the kept rows to the written table
+    assert sorted((r["items"], r["support"]) for r in res.itemsets().collect()) == want
+    # a basket in far more partitions than its rows need does not set the count
+    assert A._buckets(basket, 100, 10_000) < 10_000 and A._buckets(basket, 100 * 100, 99) == 100
